@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from .near_dup import near_duplicates
+from .recompression import remove_repeated_substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +18,12 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup,)}
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_substrings(_table(spark, sf_dir, "documents"), width=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op8_recompression)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -31,4 +39,12 @@ q as (select a, b from p union all select b, a from p),
 r as (select doc_id d, doc_id c from sh union select b, c from r join q on q.a = r.d where c < b),
 m as (select d, min(c) c from r group by d)
 select sh.doc_id, len(s)::bigint n_shingles, c component_id, c = sh.doc_id kept from sh join m on m.d = sh.doc_id""",
+    "op8_recompression": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+win as (select doc_id, unnest(range(1, len(ws) - 48)) i, unnest(list_transform(range(1, len(ws) - 48), lambda j: md5(array_to_string(ws[j:j+49], ' ')))) h from w),
+low as (select h, min(doc_id) d from win group by h having min(doc_id) < max(doc_id)),
+gone as (select doc_id, list(distinct i + o) g from win join low using (h), range(0, 50) t(o) where doc_id > d group by doc_id),
+k as (select doc_id, len(ws) n, coalesce(len(g), 0) r,
+  case when g is null then ws else list_filter(ws, lambda x, i: not list_contains(g, i)) end kept from w left join gone using (doc_id))
+select doc_id, n::bigint n_words, r::bigint n_removed, sha256(array_to_string(kept, ' ')) kept_sha256 from k""",
 }
