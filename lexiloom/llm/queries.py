@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .near_dup import near_duplicates
 from .recompression import remove_repeated_substrings
+from .suffix_dedup import remove_repeated_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,17 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_bytes(_table(spark, sf_dir, "documents"), width=200, keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_substrings(_table(spark, sf_dir, "documents"), width=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op8_recompression)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op4_suffix_dedup, op8_recompression)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -39,6 +45,20 @@ q as (select a, b from p union all select b, a from p),
 r as (select doc_id d, doc_id c from sh union select b, c from r join q on q.a = r.d where c < b),
 m as (select d, min(c) c from r group by d)
 select sh.doc_id, len(s)::bigint n_shingles, c component_id, c = sh.doc_id kept from sh join m on m.d = sh.doc_id""",
+    "op4_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+p as (select doc_id, unnest(range(0, length(x)::bigint // 2 - 199)) i, x from d),
+h as (select doc_id, i, md5(substr(x, 2 * i + 1, 400)) h from p),
+f as (select doc_id, i from h where h in (select h from h group by h having count(*) > 1)),
+g as (select *, sum(far) over (partition by doc_id order by i) run from
+  (select *, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end far from f)),
+s as (select doc_id, run, min(i) a, max(i) + 200 z from g group by doc_id, run),
+k as (select doc_id, a, z, lag(z, 1, 0) over (partition by doc_id order by a) y from s),
+r as (select doc_id, string_agg(substr(x, 2 * y + 1, 2 * (a - y)), '' order by a) part, max(z) z, sum(z - a) gone, count(*) n
+  from k join d using (doc_id) group by doc_id)
+select doc_id, length(x)::bigint // 2 n_bytes, coalesce(gone, 0)::bigint n_removed, coalesce(n, 0)::bigint n_spans,
+  sha256(unhex(case when z is null then x else part || substr(x, 2 * z + 1) end)) kept_sha256
+from d left join r using (doc_id)""",
     "op8_recompression": r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
 win as (select doc_id, unnest(range(1, len(ws) - 48)) i, unnest(list_transform(range(1, len(ws) - 48), lambda j: md5(array_to_string(ws[j:j+49], ' ')))) h from w),
