@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from . import quality_cnn
 from .near_dup import near_duplicates
 from .recompression import remove_repeated_substrings
 from .suffix_dedup import remove_repeated_bytes
@@ -24,12 +25,18 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality_cnn.classify(docs, quality_cnn.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_substrings(_table(spark, sf_dir, "documents"), width=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op4_suffix_dedup, op8_recompression)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op4_suffix_dedup, op5_quality_cnn, op8_recompression)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
