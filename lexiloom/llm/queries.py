@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_cnn
+from .decontam import contaminated
 from .near_dup import near_duplicates
 from .recompression import remove_repeated_substrings
 from .suffix_dedup import remove_repeated_bytes
@@ -36,7 +37,11 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op4_suffix_dedup, op5_quality_cnn, op8_recompression)}
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op4_suffix_dedup, op5_quality_cnn, op8_recompression, op9_decontam)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -74,4 +79,17 @@ gone as (select doc_id, list(distinct i + o) g from win join low using (h), rang
 k as (select doc_id, len(ws) n, coalesce(len(g), 0) r,
   case when g is null then ws else list_filter(ws, lambda x, i: not list_contains(g, i)) end kept from w left join gone using (doc_id))
 select doc_id, n::bigint n_words, r::bigint n_removed, sha256(array_to_string(kept, ' ')) kept_sha256 from k""",
+    "op9_decontam": rf"""
+with dw as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') ws from documents),
+iw as (select item_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') ws from benchmark),
+ds as (select doc_id, len(ws) n, unnest(range(0, len(ws) - 4)) p, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) s from dw),
+i1 as (select item_id, len(ws) m, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) s from iw),
+it as (select item_id, m, s, count(*) c from i1 group by all),
+st as (select distinct doc_id, item_id, least(m, n) - 4 span, m - 4 own, greatest(p - o, 0) a
+  from ds join it using (s), range(0, 400) t(o) where o < least(m, n) - 4 and greatest(p - o, 0) <= n - least(m, n)),
+wc as (select st.*, s, count(*) c from st join ds on ds.doc_id = st.doc_id and p >= a and p < a + span group by all),
+j as (select doc_id, item_id, a, span, own, sum(least(wc.c, it.c)) b from wc join it using (item_id, s) group by all),
+r as (select *, row_number() over (partition by doc_id, item_id order by b::double / (span + own - b) desc, a) k
+  from j where 100 * b >= 80 * (span + own - b))
+select doc_id, item_id, a::bigint start_word, (span + 4)::bigint n_words, b::double / (span + own - b)::double similarity from r where k = 1""",
 }
