@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from . import quality_cnn
 from .decontam import contaminated
+from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .recompression import remove_repeated_substrings
+from .sharding import shard
 from .suffix_dedup import remove_repeated_bytes
 
 
@@ -32,6 +34,15 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_substrings(_table(spark, sf_dir, "documents"), width=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -41,7 +52,7 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op4_suffix_dedup, op5_quality_cnn, op8_recompression, op9_decontam)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -71,6 +82,40 @@ r as (select doc_id, string_agg(substr(x, 2 * y + 1, 2 * (a - y)), '' order by a
 select doc_id, length(x)::bigint // 2 n_bytes, coalesce(gone, 0)::bigint n_removed, coalesce(n, 0)::bigint n_spans,
   sha256(unhex(case when z is null then x else part || substr(x, 2 * z + 1) end)) kept_sha256
 from d left join r using (doc_id)""",
+    "op6_sharding": r"""
+with recursive bits(k, b, c) as (select range, 0, range::bigint from range(256) union all
+  select k, b + 1, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where b < 8),
+tab as (select list(c order by k) t from bits where b = 8),
+d as (select doc_id, text, hex(encode(coalesce(text, ''))) x from documents),
+r as (select doc_id, length(x)::bigint // 2 + 1 size, coalesce(md5(text), '') digest, md5(coalesce(doc_id::varchar, ''))[:2] part,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(x)::bigint // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+    lambda c, v: xor(c >> 8, t[xor(c, v) % 256 + 1])), 4294967295) text_crc32 from d, tab),
+g as (select digest, sum(size) bytes, sum(sum(size)) over (order by digest)::bigint upto from r group by digest),
+u as (select list(upto order by upto) u, max(upto)::bigint total, max(bytes)::bigint widest from g),
+bs(lo, hi) as (select greatest((total + 7) // 8, widest), (total + 7) // 8 + widest from u union all
+  select case when ok then lo else mid + 1 end, case when ok then mid else hi end from (select lo, hi, (lo + hi) // 2 mid,
+    list_reduce(list_prepend(0::bigint, range(8)), lambda a, i: coalesce(list_max(list_filter(u, lambda v: v <= a + (lo + hi) // 2)), a)) >= total ok
+    from bs, u where lo < hi)),
+cap as (select min(hi) c from bs where lo = hi),
+ends(k, e) as (select 0, list_max(list_filter(u, lambda v: v <= c)) from u, cap union all
+  select k + 1, list_max(list_filter(u, lambda v: v <= e + c)) from ends, u, cap where k < 7),
+s as (select digest, (select min(k) from ends where upto <= e) shard from g)
+select doc_id, size, text_crc32, 'bytes' law, shard::int shard,
+  row_number() over (partition by shard order by digest, part, doc_id) - 1 slot, null::int grown_shard from r join s using (digest)""",
+    "op7_mixing": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
+  -ln((('0x' || md5(coalesce(doc_id::varchar, ''))[:12])::bigint + 0.5::double) / 281474976710656::double) / (0.1::double + 0.9::double *
+    coalesce(length(regexp_replace(coalesce(text, ''), '[^\p{L}0-9 \n.,]', '', 'g'))::double / nullif(length(coalesce(text, '')), 0)::double, 0)) k from documents),
+s as (select source, sum(size)::bigint source_size, [5.0, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double w from d group by source),
+f as (select *, source_size * 3.0::double / w full_at from s),
+l as (select *, (sum(source_size) over () - coalesce(sum(source_size) over (order by full_at, source rows between unbounded preceding and 1 preceding), 0) * 3.0::double)::double
+  / sum(w) over (order by full_at, source rows between current row and unbounded following) level from f),
+t as (select source, source_size, case when full_at < v then source_size * 3.0::double else v * w end target
+  from l, (select arg_min(level, full_at) v from l where level <= full_at)),
+e as (select *, floor(target / nullif(source_size, 0)::double)::int ep from t),
+c as (select doc_id, d.source, size, source_size, target, coalesce(ep, 0) ep, coalesce(sum(size) over (partition by d.source order by k, doc_id rows between unbounded preceding and 1 preceding), 0) b
+  from d join e on d.source is not distinct from e.source)
+select doc_id, size, source_size, target, size * (ep + case when target - ep * source_size > 0 and b + size / 2.0::double <= target - ep * source_size then 1 else 0 end) taken from c""",
     "op8_recompression": r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
 win as (select doc_id, unnest(range(1, len(ws) - 48)) i, unnest(list_transform(range(1, len(ws) - 48), lambda j: md5(array_to_string(ws[j:j+49], ' ')))) h from w),
