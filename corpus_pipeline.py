@@ -1,15 +1,60 @@
-"""The corpus pipeline: stages that each read what the one before them kept."""
+"""The corpus pipeline: quality, near-dedup, decontamination, mixing, sharding, each over what the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from lexiloom.llm import quality_cnn
+from lexiloom.llm.common import Scratch
+from lexiloom.llm.decontam import drop_contaminated
+from lexiloom.llm.mixing import mix_sources
+from lexiloom.llm.near_dup import drop_near_duplicates
+from lexiloom.llm.sharding import shard
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the classifier, fitted on the labelled ones of these, scores below its threshold."""
+    columns = docs.columns
+    model = quality_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_cnn.classify(docs, model).where("predicted = 1").select(*columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least doc_id in each group of near copies (five-word shingles, similarity 0.8)."""
+    return drop_near_duplicates(docs, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, whole or nearly."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw sources to their target weights; a document that is taken several times comes as several rows."""
+    columns = docs.columns
+    mixed = mix_sources(docs).where("times > 0")
+    return mixed.select(*columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).select(*columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place every row into one of eight shards of near equal size."""
+    return shard(docs, shards=8)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mixture", mixture), ("sharding", sharding)]
+
+#: The classifier's fitted scores are not expressible in SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to documents; each one's result is written and read again by the next."""
+    scratch = Scratch(spark, "pipeline")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)

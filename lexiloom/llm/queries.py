@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import quality_cnn
+from . import quality_cnn, secret_scan
 from .decontam import contaminated
 from .mixing import mix_sources
 from .near_dup import near_duplicates
@@ -52,10 +52,38 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    n = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    base = F.filter("spans", lambda s: s["rank"] < len(secret_scan.BASE))
+    return found.select(
+        "doc_id",
+        *[n(i).alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE)],
+        F.sha2(secret_scan.described(base), 256).alias("base_sha256"),
+        secret_scan.described(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam, op10_secret_scan)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _secrets_sql() -> str:
+    """Every rule over every text: pieces between the matches tell the positions."""
+    parts = []
+    for rank, r in enumerate(secret_scan.BASE + secret_scan.MORE):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(f"""select doc_id, {rank} k, '{r.kind}' kind, list_sum(list_transform(pc[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i-1], lambda x: length(x))), 0) s, length(m[i]) l
+  from (select doc_id, m, g, pc, unnest(range(1, len(m) + 1)) i from (select doc_id, regexp_extract_all(t, {p}, 0) m, regexp_extract_all(t, {p}, {r.group}) g, regexp_split_to_array(t, {p}) pc from d)) where length(g[i]) >= {r.least}""")
+    return f"""
+with d as (select doc_id, coalesce(text, '') t from documents), s as ({" union all ".join(parts)}),
+x as (select doc_id, k, s, kind || ':' || s::bigint || ':' || (s + l)::bigint v from s),
+a as (select doc_id, count(*) filter (k = 0) a0, count(*) filter (k = 1) a1, count(*) filter (k = 2) a2,
+  coalesce(string_agg(v, ',' order by s, k) filter (k < 3), '') base, string_agg(v, ',' order by s, k) spans from x group by doc_id)
+select doc_id, coalesce(a0, 0) n_assign, coalesce(a1, 0) n_access, coalesce(a2, 0) n_hex,
+  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join a using (doc_id)"""
+
+
 ORACLES = {
     "op1_near_dup": rf"""
 with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') ws from documents),
@@ -137,4 +165,5 @@ j as (select doc_id, item_id, a, span, own, sum(least(wc.c, it.c)) b from wc joi
 r as (select *, row_number() over (partition by doc_id, item_id order by b::double / (span + own - b) desc, a) k
   from j where 100 * b >= 80 * (span + own - b))
 select doc_id, item_id, a::bigint start_word, (span + 4)::bigint n_words, b::double / (span + own - b)::double similarity from r where k = 1""",
+    "op10_secret_scan": _secrets_sql(),
 }
