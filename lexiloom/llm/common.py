@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,9 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+        # Spark deletes the shuffle files of a finished query once its plan is garbage, and learns that only by collecting.
+        gc.collect()
+        jvm.System.gc()
 
 
 class WordHashes(dict):

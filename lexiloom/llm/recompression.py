@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, mix
-from .repeats import Rolling, chunks, find_repeats, occurrence_batch, range_argmin, removed_units, repeated_windows, texts_of
+from .repeats import Rolling, chunks, compare_in_buckets, context_batches, find_repeats, in_buckets, occurrence_batch, range_argmin, removed_units, spread_batch, window_batch
 
-WINDOW, ROUNDS = 50, 3
+WINDOW, ROUNDS, BUCKET = 50, 3, 64
+#: Windows that are compared at once within a task.
+AT_ONCE = 1 << 17
 
 
 def _runs(sym, lo, hi, doc, begin, end, outside):
@@ -104,19 +106,39 @@ def _occurrences(width: int, rounds: int):
     return run
 
 
-def _windows(width: int):
-    def run(batches):
-        hashes = WordHashes()
-        for b in batches:
-            for doc, tid, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
-                first = np.concatenate([np.arange(a["first"], a["first"] + a["n"]) for a in asked])
-                sym = np.repeat([a["sym"] for a in asked], [a["n"] for a in asked])
-                wh = Rolling(hashes.of(text.split())).of(first, first + width).view(np.int64)
-                n = len(first)
-                cols = [pa.array(sym), pa.array(wh), pa.array(np.full(n, doc)), pa.array(np.full(n, tid)), pa.array(first.astype(np.int32)), pa.array(np.repeat([a["copies"] for a in asked], [a["n"] for a in asked]))]
-                yield pa.RecordBatch.from_arrays(cols, ["sym", "hash", "doc_id", "tid", "first", "copies"])
+def _contexts(width: int):
+    """The hashes of each occurrence's windows."""
+    hashes = WordHashes()
 
-    return run
+    def of(text, asked):
+        roll = Rolling(hashes.of(text.split()))
+        first = [np.arange(a["first"], a["first"] + a["n"]) for a in asked]
+        return [roll.of(f, f + width).tobytes() for f in first]
+
+    return lambda batches: context_batches(batches, of)
+
+
+def _earlier(batches):
+    """Windows that also start in a smaller document, among those with the same anchor."""
+
+    def solve(buckets):
+        n = np.array([r[4] for _, r in buckets])
+        number, doc, tid, first = (np.repeat(np.array(x, np.int64), n) for x in ([b for b, _ in buckets], *([r[k] for _, r in buckets] for k in (1, 2, 3))))
+        first += np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        hashes = np.frombuffer(b"".join(r[5] for _, r in buckets), np.uint64)
+        order = np.lexsort((doc, hashes, number))
+        turn = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (number[order][1:] != number[order][:-1]))
+        least = doc[order][np.maximum.accumulate(np.where(turn, np.arange(len(order)), 0))]
+        hit = order[doc[order] > least]
+        return window_batch(doc[hit], tid[hit], first[hit])
+
+    return in_buckets(batches, solve, AT_ONCE)
+
+
+def _spread(batches):
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield spread_batch(r, np.frombuffer(r[5], np.uint64))
 
 
 def _cut(width: int):
@@ -146,10 +168,8 @@ def remove_repeated_substrings(docs: DataFrame, width: int = WINDOW, rounds: int
     scratch = Scratch(docs.sparkSession, "recompression")
 
     def compare(rest: DataFrame, docs: DataFrame) -> DataFrame:
-        schema = "sym long, hash long, doc_id long, tid long, first int, copies long"
-        return repeated_windows(scratch.save(texts_of(rest, docs).mapInArrow(_windows(width), schema), "windows"), "earlier_doc")
+        return compare_in_buckets(rest, docs, _contexts(width), _earlier, _spread, "earlier_doc", BUCKET, scratch)
 
     found = find_repeats(docs, _occurrences(width, rounds), compare, "earlier_doc", scratch)
-    scratch.drop("windows")
     marked = docs.join(found, ["doc_id", "tid"], "left").select("doc_id", "text", "spans")
     return marked.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -104,25 +104,87 @@ def find_repeats(docs: DataFrame, occurrences: Callable, compare: Callable[[Data
     # First members, and those that the rule doesn't call later although they aren't first.
     rest = cls.select("sym", "least.*", "copies").unionByName(members.where(~later & (F.struct("doc_id", "first") > F.struct("least.doc_id", "least.first"))).select("sym", "doc_id", "first", "tid", "n", F.lit(1).cast("long").alias("copies")))
     windows = compare(rest.join(shared, "sym", "left_semi"), docs)
+    scratch.drop("classes", "shared", "several", "occurrences")
     found = covered.unionByName(windows).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     found = scratch.save(found, "found")
-    scratch.drop("occurrences", "classes", "shared", "several", "members")
+    scratch.drop("members", "near", "spread")
     return found
 
 
 def texts_of(rest: DataFrame, docs: DataFrame) -> DataFrame:
     """The texts of the documents in ``rest``, each with the list of its occurrences."""
-    asked = rest.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("sym", "first", "n", "copies")).alias("asked"))
-    return docs.join(asked, ["doc_id", "tid"]).select("doc_id", "tid", "text", "asked").dropDuplicates(["doc_id", "tid"])
+    asked = rest.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("sym", "first", "n", "copies", "large")).alias("asked"))
+    return docs.join(asked.hint("merge"), ["doc_id", "tid"]).select("doc_id", "tid", "text", "asked").dropDuplicates(["doc_id", "tid"])
+
+
+def compare_in_buckets(rest: DataFrame, docs: DataFrame, contexts: Callable, solve: Callable, spread: Callable, rule: str, bucket: int, scratch: Scratch) -> DataFrame:
+    """Compare the windows of the occurrences of ``rest`` that have the same anchor.
+
+    contexts: reads texts with their occurrences and gives each occurrence the bytes that its comparison needs. solve:
+    finds the repeated windows in partitions sorted by anchor. spread: gives one hash for each window. Anchors with
+    up to ``bucket`` occurrences are solved together in a task; the windows of the others are dealt out by hash.
+    """
+    rest = scratch.save(rest, "rest")
+    large = scratch.save(rest.groupBy("sym").count().where(F.col("count") > bucket).select("sym", F.lit(True).alias("large")), "large")
+    rest = rest.join(large, "sym", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    rows = scratch.save(texts_of(rest, docs).mapInArrow(contexts, "sym long, doc_id long, tid long, first int, n int, bytes binary, copies long, large boolean"), "contexts")
+    scratch.drop("rest", "large")
+    near = rows.where(~F.col("large")).drop("large").repartition("sym").sortWithinPartitions("sym").mapInArrow(solve, "doc_id long, tid long, first int, n int")
+    near = scratch.save(near, "near")
+    spread_out = scratch.save(rows.where("large").drop("large").mapInArrow(spread, "sym long, hash long, doc_id long, tid long, first int, copies long"), "spread")
+    scratch.drop("contexts")
+    return near.unionByName(repeated_windows(spread_out, rule))
 
 
 def repeated_windows(windows: DataFrame, rule: str) -> DataFrame:
     """Of ``windows`` (sym, hash, doc_id, tid, first, copies) those that the rule calls repeated."""
-    least = windows.groupBy("sym", "hash").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.sum("copies").alias("all"), F.count("*").alias("rows"))
-    least = least.where("all > 1" if rule == "any" else "rows > 1")
-    out = windows.join(least, ["sym", "hash"])
-    later = {"any": F.lit(True), "earlier": F.struct("doc_id", "first") > F.col("least"), "earlier_doc": F.col("doc_id") > F.col("least.doc_id")}[rule]
-    return out.where(later).select("doc_id", "tid", "first", F.lit(1).alias("n"))
+    least = {"any": F.sum("copies"), "earlier": F.min(F.struct("doc_id", "first")), "earlier_doc": F.min("doc_id")}[rule]
+    least = windows.groupBy("sym", "hash").agg(least.alias("least"), F.count("*").alias("rows")).where("least > 1" if rule == "any" else "rows > 1")
+    later = {"any": F.lit(True), "earlier": F.struct("doc_id", "first") > F.col("least"), "earlier_doc": F.col("doc_id") > F.col("least")}[rule]
+    return windows.join(least, ["sym", "hash"]).where(later).select("doc_id", "tid", "first", F.lit(1).alias("n"))
+
+
+def in_buckets(batches, solve: Callable[[list[tuple]], pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor, handed to ``solve`` in lists of whole buckets with about ``at_once`` windows each.
+
+    solve gets (bucket number, row) for each row and returns the repeated windows.
+    """
+    held: list[tuple] = []
+    size, number, last = 0, 0, None
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[0] != last:
+                if size > at_once:
+                    yield solve(held)
+                    held, size, number = [], 0, 0
+                last, number = r[0], number + 1
+            held.append((number, r))
+            size += r[4]
+    if held:
+        yield solve(held)
+
+
+def context_batches(batches, of: Callable[[bytes, list], list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """One row per asked occurrence with what ``of`` makes of it."""
+    names = ["sym", "doc_id", "tid", "first", "n", "bytes", "copies", "large"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()]
+    for b in batches:
+        out: list = []
+        for doc, tid, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+            out += [(a["sym"], doc, tid, a["first"], a["n"], x, a["copies"], a["large"]) for a, x in zip(asked, of(text, asked), strict=True)]
+        cols = zip(*out, strict=True) if out else [[]] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+
+def spread_batch(r: tuple, hashes: np.ndarray) -> pa.RecordBatch:
+    sym, doc, tid, first, n, _, copies = r
+    cols = [np.full(n, sym), hashes.view(np.int64), np.full(n, doc), np.full(n, tid), (first + np.arange(n)).astype(np.int32), np.full(n, copies)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sym", "hash", "doc_id", "tid", "first", "copies"])
+
+
+def window_batch(doc: np.ndarray, tid: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array(doc), pa.array(tid), pa.array(first.astype(np.int32)), pa.array(np.ones(len(first), np.int32))]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "tid", "first", "n"])
 
 
 def removed_units(n: int, spans, width: int) -> np.ndarray:

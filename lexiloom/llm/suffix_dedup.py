@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix
-from .repeats import Rolling, chunks, find_repeats, occurrence_batch, removed_units, repeated_windows, texts_of
+from .repeats import Rolling, chunks, compare_in_buckets, context_batches, find_repeats, in_buckets, occurrence_batch, removed_units, spread_batch, window_batch
 
 WIDTH, GRAM, BUCKET = 200, 32, 64
 #: Suffixes that are sorted at once within a task.
@@ -74,18 +74,7 @@ def _occurrences(width: int, gram: int):
 
 
 def _contexts(width: int):
-    """One row per asked occurrence with the bytes of its windows."""
-
-    def run(batches):
-        for b in batches:
-            out: list = []
-            for doc, tid, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
-                out += [(a["sym"], doc, tid, a["first"], a["n"], text[a["first"] : a["first"] + a["n"] - 1 + width], a["copies"]) for a in asked]
-            cols = zip(*out, strict=True) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["sym", "doc_id", "tid", "first", "n", "bytes", "copies"])
-
-    return run
+    return lambda batches: context_batches(batches, lambda text, asked: [text[a["first"] : a["first"] + a["n"] - 1 + width] for a in asked])
 
 
 def previous_factors(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -142,34 +131,17 @@ def _factors(width: int, both: bool):
             hit |= previous_factors(-position, lcp) >= width
         row, at = row[hit], at[hit]
         doc, tid = (np.array([b[1][k] for b in buckets], np.int64)[row] for k in (1, 2))
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tid), pa.array(at.astype(np.int32)), pa.array(np.ones(len(row), np.int32))], ["doc_id", "tid", "first", "n"])
+        return window_batch(doc, tid, at)
 
-    def run(batches):
-        held: list[tuple] = []
-        size, number, last = 0, 0, None
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[0] != last:
-                    if size > AT_ONCE:
-                        yield solve(held)
-                        held, size, number = [], 0, 0
-                    last, number = r[0], number + 1
-                held.append((number, r))
-                size += r[4]
-        if held:
-            yield solve(held)
-
-    return run
+    return lambda batches: in_buckets(batches, solve, AT_ONCE)
 
 
 def _hashed(width: int):
     def run(batches):
         for b in batches:
-            for sym, doc, tid, first, n, text, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                j = np.arange(n)
-                h = Rolling(_bytes(text)).of(j, j + width).view(np.int64)
-                cols = [np.full(n, sym), h, np.full(n, doc), np.full(n, tid), (first + j).astype(np.int32), np.full(n, copies)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sym", "hash", "doc_id", "tid", "first", "copies"])
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = np.arange(r[4])
+                yield spread_batch(r, Rolling(_bytes(r[5])).of(at, at + width))
 
     return run
 
@@ -206,13 +178,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, keep_first: bool
     rule = "earlier" if keep_first else "any"
 
     def compare(rest: DataFrame, docs: DataFrame) -> DataFrame:
-        contexts = scratch.save(texts_of(rest, docs).mapInArrow(_contexts(width), "sym long, doc_id long, tid long, first int, n int, bytes binary, copies long"), "contexts")
-        large = scratch.save(contexts.groupBy("sym").count().where(F.col("count") > bucket).select("sym"), "large")
-        small = contexts.join(large, "sym", "left_anti").repartition("sym").sortWithinPartitions("sym")
-        by_order = small.mapInArrow(_factors(width, not keep_first), "doc_id long, tid long, first int, n int")
-        windows = contexts.join(large, "sym", "left_semi").mapInArrow(_hashed(width), "sym long, hash long, doc_id long, tid long, first int, copies long")
-        return by_order.unionByName(repeated_windows(scratch.save(windows, "windows"), rule))
+        return compare_in_buckets(rest, docs, _contexts(width), _factors(width, not keep_first), _hashed(width), rule, bucket, scratch)
 
     found = find_repeats(docs, _occurrences(width, gram), compare, rule, scratch)
-    scratch.drop("contexts", "large", "windows")
     return docs.join(found, ["doc_id", "tid"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
