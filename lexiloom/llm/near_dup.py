@@ -169,8 +169,9 @@ def _confirm(shingle: int, percent: int):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    # Sort-merge at every size: a plan that broadcasts small inputs would tell nothing about large ones.
+    with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
     return with_b.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
@@ -196,8 +197,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     sketch = scratch.save(docs.mapInArrow(_sketcher(shingle, trees * levels), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")
     reps = scratch.save(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "nodes")
     cand = scratch.save(forest_candidates(reps.select("node", "sig"), scratch, trees, levels, depth, reach), "candidates")
+    scratch.drop("neighbours")
     ends = cand.select(F.col("a").alias("doc_id")).unionByName(cand.select(F.col("b").alias("doc_id"))).distinct()
-    texts = scratch.save(docs.join(ends, "doc_id", "left_semi"), "texts")
+    texts = scratch.save(docs.join(ends.hint("merge"), "doc_id", "left_semi"), "texts")
     # Round one: each node's best candidate among the smaller ids, and among the larger ones.
     best = cand.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")).select("a", "b")
     best = best.unionByName(cand.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b")).select("a", "b")).distinct()
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     open_ = scratch.save(open_.join(best, ["a", "b"], "left_anti").distinct(), "open")
     second = scratch.save(_links(open_, texts, shingle, percent), "links-2")
     comp = scratch.save(connected_components(first.unionByName(second), scratch, "cc-2"), "components")
-    scratch.drop("candidates", "texts", "neighbours", "open", "links-1", "links-2", "components-1")
+    scratch.drop("candidates", "texts", "open", "links-1", "links-2", "components-1")
     of_node = scratch.save(reps.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "classes")
     out = sketch.select("doc_id", "n_shingles", "digest").join(of_node, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
