@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import SHINGLE, Scratch, WordHashes, lower_words, ngrams
 from .components import connected_components
 
-TREES, LEVELS, DEPTH, NEIGHBOURS = 20, 8, 4, 8
+TREES, LEVELS, DEPTH, NEIGHBOURS = 20, 8, 5, 8
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
