@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import quality_cnn, secret_scan
 from .decontam import contaminated
+from .hamming_search import sign_codes, top_k
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .recompression import remove_repeated_substrings
@@ -23,6 +24,11 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = sign_codes(_table(spark, sf_dir, "embeddings"))
+    return top_k(codes, codes.where("vec_id % 100 = 0"), k=10)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_bytes(_table(spark, sf_dir, "documents"), width=200, keep_first=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -64,7 +70,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_hamming_search, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam, op10_secret_scan)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -96,6 +102,11 @@ q as (select a, b from p union all select b, a from p),
 r as (select doc_id d, doc_id c from sh union select b, c from r join q on q.a = r.d where c < b),
 m as (select d, min(c) c from r group by d)
 select sh.doc_id, len(s)::bigint n_shingles, c component_id, c = sh.doc_id kept from sh join m on m.d = sh.doc_id""",
+    "op2_hamming_search": """
+with b as (select vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) b from embeddings),
+p as (select q.vec_id query_id, e.vec_id, list_sum(list_transform(range(1, len(e.b) + 1), lambda i: abs(q.b[i] - e.b[i])))::int distance
+  from b q, b e where q.vec_id % 100 = 0)
+select query_id, rank::int rank, vec_id, distance from (select *, row_number() over (partition by query_id order by distance, vec_id) rank from p) where rank <= 10""",
     "op4_suffix_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
 p as (select doc_id, unnest(range(0, length(x)::bigint // 2 - 199)) i, x from d),
