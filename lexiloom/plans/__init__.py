@@ -1,4 +1,6 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the driver's tables, and their SQL twins for DuckDB."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .oracles import ORACLES
+from .queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1,24 @@
-"""Streaming."""
+"""Segmentation of streams: the same narrow functions, in append mode and without watermark or state."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import segment as sg
+
+
+def token_stream(docs: DataFrame, lang: Column | str | None = "en") -> DataFrame:
+    """Tokens of a stream of documents."""
+    return sg.token_table(docs, lang)
+
+
+def sentence_stream(docs: DataFrame, lang: Column | str | None = "en", sbd: str = "fsm", model=None) -> DataFrame:
+    """Sentences of a stream of documents."""
+    return sg.sentence_table(docs, lang, sbd=sbd, model=model)
+
+
+def type_counts(docs: DataFrame, ts: str, window: str, delay: str, lang: Column | str | None = "en") -> DataFrame:
+    """Token types per time window of a stream with timestamps; documents later than ``delay`` are left out."""
+    kinds = docs.withWatermark(ts, delay).select(F.window(ts, window).alias("window"), F.explode(sg.token_types("text", lang)).alias("type"))
+    return kinds.groupBy("window", "type").agg(F.count("*").alias("n"))
