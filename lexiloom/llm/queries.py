@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import quality_cnn, secret_scan
 from .decontam import contaminated
 from .hamming_search import sign_codes, top_k
+from .line_dedup import remove_similar_lines
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .recompression import remove_repeated_substrings
@@ -29,6 +30,11 @@ def op2_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(codes, codes.where("vec_id % 100 = 0"), k=10)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_similar_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_bytes(_table(spark, sf_dir, "documents"), width=200, keep_first=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -70,7 +76,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_hamming_search, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_hamming_search, op3_line_dedup, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam, op10_secret_scan)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -107,6 +113,19 @@ with b as (select vec_id, list_transform(embedding, lambda x: case when x > 0 th
 p as (select q.vec_id query_id, e.vec_id, list_sum(list_transform(range(1, len(e.b) + 1), lambda i: abs(q.b[i] - e.b[i])))::int distance
   from b q, b e where q.vec_id % 100 = 0)
 select query_id, rank::int rank, vec_id, distance from (select *, row_number() over (partition by query_id order by distance, vec_id) rank from p) where rank <= 10""",
+    "op3_line_dedup": r"""
+with l as (select doc_id, unnest(range(len(x))) i, unnest(x) line from (select doc_id, string_split(coalesce(text, ''), chr(10)) x from documents)),
+t as (select doc_id, i, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) w from l),
+s as (select array_to_string(w, ' ') k, any_value(w) w, any_value(len(w)) n, min(doc_id * 1000000 + i) f from t where len(w) > 0 group by all),
+u as (select k, n, f, unnest(w) x from s),
+df as (select x, count(*) c from u group by x),
+r as (select k, n, f, x, row_number() over (partition by k order by c, x) p from u join df using (x)),
+pre as (select * from r where p <= n - (80 * n + 99) // 100 + 1),
+c as (select distinct a.k ka, b.k kb from pre a join pre b on a.x = b.x and b.f < a.f and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+v as (select distinct ka k from (select ka, a.w wa, b.w wb from c join s a on a.k = ka join s b on b.k = kb)
+  where 100 * len(list_intersect(wa, wb)) >= 80 * (len(wa) + len(wb) - len(list_intersect(wa, wb)))),
+g as (select doc_id, i, line, len(t.w) > 0 and (v.k is not null or doc_id * 1000000 + i > f) gone from t left join s on s.k = array_to_string(t.w, ' ') left join v on v.k = s.k)
+select doc_id, count(*) n_lines, count(*) filter (gone) n_removed, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256 from g group by doc_id""",
     "op4_suffix_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
 p as (select doc_id, unnest(range(0, length(x)::bigint // 2 - 199)) i, x from d),
