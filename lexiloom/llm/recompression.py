@@ -76,10 +76,11 @@ def _occurrences(width: int, rounds: int):
         hashes = WordHashes()
         for b in batches:
             ids, tids = b.column(0).to_numpy(), b.column(1).to_numpy()
-            words = [w for t in b.column(2).cast(pa.binary()).to_pylist() for w in [(t or b"").split()]]
-            for x, y in chunks([len(w) for w in words]):
-                size = np.array([len(w) for w in words[x:y]])
-                h = np.concatenate([hashes.of(w) for w in words[x:y]]) if size.sum() else np.zeros(0, np.uint64)
+            texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
+            for x, y in chunks([len(t) for t in texts]):
+                parts = [hashes.of(t.split()) for t in texts[x:y]]  # words are held for one document at a time
+                size = np.array([len(p) for p in parts])
+                h = np.concatenate(parts)
                 offset = np.cumsum(size) - size
                 start = np.concatenate([np.arange(o, o + max(0, s - width + 1)) for o, s in zip(offset, size, strict=True)] or [np.zeros(0, int)]).astype(np.int64)
                 if not len(start):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix
 
 OCCURRENCE = "sym long, ctx long, doc_id long, tid long, first int, n int"
-#: Units that are worked on at once; a longer document is taken alone.
+#: Bytes of text that are worked on at once; a longer document is taken alone.
 CHUNK = 1 << 18
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -67,7 +67,7 @@ def range_argmin(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
 
 
 def chunks(lengths: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with about CHUNK units together."""
+    """Ranges of documents with about CHUNK bytes together."""
     at, total = 0, 0
     for i, n in enumerate(lengths):
         if total and total + n > CHUNK:
