@@ -56,8 +56,8 @@ LOWER = f"(?:[{ranges(_lower)}]{MARK}*)"
 #: One or more Latin letters or digits.
 LATIN = f"(?:{RAW}{MARK}*|[0-9])"
 
-NEWLINE = "\r\n\x0b\x0c\x85  "
-HORIZONTAL = " \t\x0b\xa0 -   ​"
+NEWLINE = "\r\n\x0b\x0c\x85\u2028\u2029"
+HORIZONTAL = " \t\x0b\xa0\u2000-\u200a\u202f\u205f\u200b"
 BLANK = f"[{HORIZONTAL}{NEWLINE}]"
 NONBLANK = f"[^{HORIZONTAL}{NEWLINE}]"
 
@@ -67,7 +67,7 @@ OPEN_DOUBLE, CLOSE_DOUBLE = "(?:``|<<|[\"“„«‹])", "(?:''|>>|[\"”»›])
 DOUBLE = f"(?:{OPEN_DOUBLE}|{CLOSE_DOUBLE})"
 OPEN_BRACKET, CLOSE_BRACKET = r"[(\[{]", r"[)\]}]"
 HYPHEN, MINUS, DASH = "[-‐‑﹣]", "[-﹣−]", "[‒–—﹘⸺⸻]"
-PERIODS = ".․﹒．"
+PERIODS = ".\u2024﹒．"
 PERIOD = f"[{PERIODS}]"
 ELLIPSIS = r"(?:\.{2,}|\.(?: \.){2,}|…)"
 VOWELS = "aeiouyáéíóúàèìòùäëïöüâêîôûāēīōū"

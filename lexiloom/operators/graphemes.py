@@ -48,7 +48,7 @@ def pattern() -> re.Pattern:
     lead, vowel, trail = (cls(points(x)) for x in ("1100-115F A960-A97C", "1160-11A7 D7B0-D7C6", "11A8-11FF D7CB-D7FB"))
     hangul = f"{lead}*(?:{vowel}+|{cls(lv)}{vowel}*|{cls(lvt)}){trail}*|{lead}+|{trail}+"
     people, tone = "[\U0001f466-\U0001f469]", "[\U0001f3fb-\U0001f3ff]"
-    emoji = f"(?:{cls(points(E_BASE))}|{people}){ext}*{tone}|‍{people}{ext}*{tone}|‍(?:[❤\U0001f48b\U0001f5e8]|{people})"
+    emoji = f"(?:{cls(points(E_BASE))}|{people}){ext}*{tone}|\u200d{people}{ext}*{tone}|\u200d(?:[❤\U0001f48b\U0001f5e8]|{people})"
     control = cls(points(CONTROL))[1:-1]
     core = f"(?:{hangul}|{emoji}|[\U0001f1e6-\U0001f1ff]{{2}}|[^\r\n{control}])"
     return re.compile(f"\r\n|{cls(points(PREPEND))}*{core}{after}*|[\r\n{control}]")

@@ -15,7 +15,7 @@ from ..functions import lexicons
 
 TYPES = ("UNK", "LATIN", "PREFIX", "SUFFIX", "SYM", "NUM", "ABBR", "EMAIL", "URI", "PATH")
 LANGUAGES = ("de", "en", "fr", "it")
-BOM = "﻿"
+BOM = "\ufeff"
 
 _L, _A, _N = cs.LATIN, cs.LETTER, cs.NONBLANK
 _CHUNK = f"(?:(?:{cs.APOSTROPHE}|{cs.HYPHEN}|{cs.PERIOD}{cs.HYPHEN}?|&){_L}+)"
