@@ -41,14 +41,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
+    def drop(self, *names: str, tidy: bool = True) -> None:
+        """Delete tables, and unless told otherwise the shuffle files of finished queries."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
-        # Spark deletes the shuffle files of a finished query once its plan is garbage, and learns that only by collecting.
-        gc.collect()
-        jvm.System.gc()
+        if tidy:  # Spark deletes the shuffle files of a finished query once its plan is garbage, and learns that by collecting
+            gc.collect()
+            jvm.System.gc()
 
 
 class WordHashes(dict):

@@ -16,20 +16,22 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     adaptive planner can split the partition of a node with very many neighbours.
     """
     cur = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}-0")
-    seen, k = None, 0
-    while True:
+    k = 0
+    while not _stars(cur):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         large = scratch.save(large, f"{name}-large")
         low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low2")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        nxt = scratch.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), f"{name}-{k + 1}")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{name}-{k}")
-        cur, k = nxt, k + 1
-        if now == seen:
-            break
-        seen = now
-    scratch.drop(f"{name}-low", f"{name}-low2", f"{name}-large")
+        cur = scratch.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), f"{name}-{k + 1}")
+        scratch.drop(f"{name}-{k}", tidy=False)
+        k += 1
+    scratch.drop(f"{name}-low", f"{name}-low2", f"{name}-large", tidy=False)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one parent that has none itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").limit(1).count() == 0

@@ -8,7 +8,8 @@ on the full shingle sets.
 
 Equal sets are first collapsed into one node, so that any number of copies costs one candidate. Confirming goes in
 two rounds: first each node's best candidates; then, of the rest, those that still lie in different components,
-since a link inside a component changes nothing.
+since a link inside a component changes nothing. Where a region holds more documents than the reach, further forests
+with other hash functions are laid over those documents until one of them finds no new link.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from .components import connected_components
 TREES, LEVELS, DEPTH, NEIGHBOURS = 20, 8, 5, 8
 
 
-def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(20)
+def _permutations(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(20 + seed)
     return r.integers(0, 2**64, (n, 1), np.uint64) | np.uint64(1), r.integers(0, 2**64, (n, 1), np.uint64)
 
 
-def _sketcher(shingle: int, n: int):
+def _sketcher(shingle: int, n: int, seed: int = 0):
     def run(batches):
-        mult, add = _permutations(n)
+        mult, add = _permutations(n, seed)
         hashes = WordHashes()
         for b in batches:
             size, digest, sig = [], [], []
@@ -93,6 +94,9 @@ def _neighbours(depth: int, reach: int, levels: int):
                 if hit.any():
                     u, v = node[x][hit], node[y][hit]
                     yield batch(np.minimum(u, v), np.maximum(u, v), lcp[hit], [None] * len(u), [None] * len(u), [None] * len(u), pid)
+                    if lag == reach:  # there may be more beyond the reach
+                        full = np.unique(np.concatenate([u, v]))
+                        yield batch(full, [None] * len(full), [None] * len(full), [None] * len(full), np.full(len(full), -1), [None] * len(full), pid)
             at += b.num_rows
             kept = tree[-reach:], keys[-reach:], node[-reach:]
         if at:
@@ -121,8 +125,9 @@ def _seam(depth: int, reach: int, levels: int):
     return run
 
 
-def forest_candidates(nodes: DataFrame, scratch: Scratch, trees: int = TREES, levels: int = LEVELS, depth: int = DEPTH, reach: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, score): candidate pairs of ``nodes`` (node, sig); the score sums their common prefixes."""
+def forest_candidates(nodes: DataFrame, scratch: Scratch, trees: int = TREES, levels: int = LEVELS, depth: int = DEPTH, reach: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
+    """(a, b, score), the candidate pairs of ``nodes`` (node, sig), the score being the sum of their common prefixes;
+    and (node), those in regions that are denser than the reach."""
     rows = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig", "node")
     rows = rows.select("tree", F.expr(f"substring(sig, tree * {2 * levels} + 1, {2 * levels})").alias("key"), "node")
     order = ["tree", "key", "node"]
@@ -151,7 +156,7 @@ def forest_candidates(nodes: DataFrame, scratch: Scratch, trees: int = TREES, le
         ends = found.where("pos is not null").join(F.broadcast(seams), "pid").select("start", (F.col("first") + F.col("pos")).alias("rank"), F.col("a").alias("node"), "tree", "key")
         ends = ends.where(f"rank >= start - {reach} and rank < start + {reach}")
         pairs = pairs.unionByName(ends.groupBy("start").applyInArrow(_seam(depth, reach, levels), "a long, b long, lcp int"))
-    return pairs.groupBy("a", "b").agg(F.sum("lcp").alias("score"))
+    return pairs.groupBy("a", "b").agg(F.sum("lcp").alias("score")), found.where("tree = -1").select(F.col("a").alias("node")).distinct()
 
 
 def _confirm(shingle: int, percent: int):
@@ -189,14 +194,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if their shingle sets' Jaccard similarity is at least ``percent`` / 100. A missing or
-    empty text has no shingles and no link. Rows that share a doc_id count as one document; a missing doc_id can't
-    be linked: its component_id is null and it is kept. Other columns, whatever their names, are not read.
+    empty text has no shingles and no link. Rows with one doc_id and different texts are judged each for itself; a
+    missing doc_id can't be linked: its component_id is null and it is kept. Other columns, whatever their names, are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "near-dup")
     sketch = scratch.save(docs.mapInArrow(_sketcher(shingle, trees * levels), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")
     reps = scratch.save(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "nodes")
-    cand = scratch.save(forest_candidates(reps.select("node", "sig"), scratch, trees, levels, depth, reach), "candidates")
+    cand, dense = forest_candidates(reps.select("node", "sig"), scratch, trees, levels, depth, reach)
+    cand, dense = scratch.save(cand, "candidates"), scratch.save(dense, "dense-0")
     scratch.drop("neighbours")
     ends = cand.select(F.col("a").alias("doc_id")).unionByName(cand.select(F.col("b").alias("doc_id"))).distinct()
     texts = scratch.save(docs.join(ends.hint("merge"), "doc_id", "left_semi"), "texts")
@@ -206,15 +212,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     first = scratch.save(_links(best, texts, shingle, percent), "links-1")
     comp = scratch.save(connected_components(first, scratch, "cc-1"), "components-1")
     # Round two: every other candidate that would still join two components and may be similar enough.
-    of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    open_ = cand.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
-    sig = lambda end: reps.select(F.col("node").alias(end), F.col("sig").alias(f"s{end}"))
     slack = 6 * (percent * (100 - percent) / 1e4 / (trees * levels)) ** 0.5
-    open_ = open_.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing(percent / 100 - slack), "a long, b long")
-    open_ = scratch.save(open_.join(best, ["a", "b"], "left_anti").distinct(), "open")
-    second = scratch.save(_links(open_, texts, shingle, percent), "links-2")
-    comp = scratch.save(connected_components(first.unionByName(second), scratch, "cc-2"), "components")
-    scratch.drop("candidates", "texts", "open", "links-1", "links-2", "components-1")
+
+    def more_links(cand: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        sig = lambda end: nodes.select(F.col("node").alias(end), F.col("sig").alias(f"s{end}"))
+        open_ = cand.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
+        open_ = open_.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing(percent / 100 - slack), "a long, b long")
+        open_ = scratch.save(open_.join(best, ["a", "b"], "left_anti").distinct(), "open")
+        return scratch.save(_links(open_, texts, shingle, percent), name)
+
+    def merged(links: DataFrame, name: str) -> DataFrame:
+        stars = comp.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return scratch.save(connected_components(stars.unionByName(links), scratch, f"cc-{name}"), f"components-{name}")
+
+    second = more_links(cand, reps, "links-2")
+    comp = merged(second, "2")
+    # Where regions were denser than the reach, new forests over their documents alone until one finds no new link.
+    k = 0
+    while dense.limit(1).count():
+        k += 1
+        own = texts.join(dense.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        nodes = own.mapInArrow(_sketcher(shingle, trees * levels, k), "doc_id long, n_shingles long, digest binary, sig binary")
+        nodes = scratch.save(nodes.groupBy(F.col("doc_id").alias("node")).agg(F.min("sig").alias("sig")), f"nodes-{k}")
+        again, dense = forest_candidates(nodes, scratch, trees, levels, depth, reach)
+        again, dense = scratch.save(again, f"candidates-{k}"), scratch.save(dense, f"dense-{k}")
+        found = more_links(again, nodes, f"links-{k + 2}")
+        if not found.limit(1).count():
+            break
+        comp = merged(found, str(k + 2))
+    scratch.drop("candidates", "texts", "neighbours", "open", "links-1", "links-2", "components-1")
     of_node = scratch.save(reps.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "classes")
     out = sketch.select("doc_id", "n_shingles", "digest").join(of_node, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
