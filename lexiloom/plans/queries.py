@@ -17,7 +17,9 @@ from ..sources import text as src
 
 
 def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that is a single row group is dealt out, since segmentation is work for the CPU and not for the disk."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) == 1 and cores > 1 else rows
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
