@@ -8,12 +8,14 @@ on the full shingle sets.
 
 Equal sets are first collapsed into one node, so that any number of copies costs one candidate. Confirming goes in
 two rounds: first each node's best candidates; then, of the rest, those that still lie in different components,
-since a link inside a component changes nothing. Where a region holds more documents than the reach, further forests
-with other hash functions are laid over those documents until one of them finds no new link.
+since a link inside a component changes nothing. Where a region holds more documents than the reach, the links that
+are left are found by ``dense_links``, an exact set-similarity join of those documents' shingle sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -180,6 +182,84 @@ def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     return with_b.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
+def _gram_sets(shingle: int):
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [np.unique(ngrams(hashes.of(lower_words(t)), shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(np.diff(ends).astype(np.int64)), grams], ["doc_id", "digest", "n", "grams"])
+
+    return run
+
+
+def _similar(percent: int):
+    def run(batches):
+        for b in batches:
+            ok = []
+            for i in range(b.num_rows):
+                s, t = (b.column(j)[i].values.to_numpy() for j in (2, 3))
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                ok.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def dense_links(sets: DataFrame, comp: DataFrame, merged: Callable[[DataFrame, DataFrame, str], DataFrame], scratch: Scratch, percent: int) -> DataFrame:
+    """The components ``comp`` (node, component), joined until no two hold similar ones of ``sets`` (digest, node, n, grams).
+
+    ``merged`` joins components by links (a, b), and writes them by a name.
+
+    A shingle that only one component has can't be shared by two. Of the others each set's rarest are its prefix, as
+    long as it must be for two similar sets to share one. First each set is held against the earliest set of each of
+    its prefix shingles, which joins most of a family. Then, for each shingle, the sets that are not in its
+    largest component are held against all of other components. Lengths and places rule out pairs as in ``line_dedup``.
+    """
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    of = lambda comp: comp.select("node", F.col("component").alias("_c"))
+    known = scratch.save(sets.select("digest", "node", "n").join(of(comp).hint("merge"), "node", "left").select("digest", "n", "node", F.coalesce("_c", "node").alias("component")), "dense-known")
+    rows = sets.select("digest", "grams").join(known.hint("merge"), "digest").select("digest", "n", "node", "component", F.explode("grams").alias("gram"))
+    # Which shingles more than one component has, and how many sets.
+    counts = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    counts = scratch.save(counts.select("gram", "k"), "dense-counts")
+    mine = rows.select("digest", "n", "node", "gram").join(counts.hint("merge"), "gram")
+    mine = mine.groupBy("digest").agg(F.first("n").alias("n"), F.first("node").alias("node"), F.array_sort(F.collect_list(F.struct("k", "gram"))).alias("order"))
+    mine = mine.withColumn("m", F.size("order")).withColumn("length", (F.col("m") - least + 1).cast("int")).where("length > 0")
+    prefixes = scratch.save(mine.select("digest", "n", "m", "node", F.posexplode(F.expr("transform(slice(order, 1, length), x -> x.gram)")).alias("place", "gram")), "dense-prefixes")
+
+    def placed(comp: DataFrame, name: str) -> DataFrame:
+        return scratch.save(prefixes.join(of(comp).hint("merge"), "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c"), name)
+
+    def pairs(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place")
+        room = F.least(i, j) + 1 + F.least(F.col("a.m") - i - 1, F.col("b.m") - j - 1)
+        may = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m)) & (F.col("a.component") != F.col("b.component"))
+        found = a.alias("a").join(b.alias("b").hint("merge"), "gram").where(may)
+        return scratch.save(found.select(F.least("a.digest", "b.digest").alias("x"), F.greatest("a.digest", "b.digest").alias("y")).distinct(), name)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        side = lambda d, v, g: sets.select(F.col("digest").alias(d), F.col("node").alias(v), F.col("grams").alias(g)).hint("merge")
+        both = pairs.join(side("x", "a", "ga"), "x").join(side("y", "b", "gb"), "y").select("a", "b", "ga", "gb")
+        return scratch.save(both.mapInArrow(_similar(percent), "a long, b long"), name)
+
+    at = placed(comp, "dense-placed-1")
+    first = at.groupBy("gram").agg(F.min(F.struct("node", "digest", "n", "m", "place", "component")).alias("e"), F.count("*").alias("k")).where("k > 1").select("gram", "e.*")
+    tried = pairs(at, first, "dense-pairs-1")
+    comp = merged(comp, verified(tried, "dense-links-1"), "dense-1")
+    at = placed(comp, "dense-placed-2")
+    sizes = at.groupBy("gram", "component").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
+    at = scratch.save(at.join(sizes.where("parts > 1").hint("merge"), "gram"), "dense-open")
+    more = pairs(at.where("component != main").drop("main", "parts"), at.drop("main", "parts"), "dense-pairs-2").join(tried, ["x", "y"], "left_anti")
+    comp = merged(comp, verified(more, "dense-links-2"), "dense-2")
+    scratch.drop("dense-known", "dense-counts", "dense-prefixes", "dense-placed-1", "dense-placed-2", "dense-open", "dense-pairs-1", "dense-pairs-2", "dense-links-1", "dense-links-2")
+    return comp
+
+
 def _agreeing(least: float):
     def run(batches):
         for b in batches:
@@ -222,25 +302,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
         open_ = scratch.save(open_.join(best, ["a", "b"], "left_anti").distinct(), "open")
         return scratch.save(_links(open_, texts, shingle, percent), name)
 
-    def merged(links: DataFrame, name: str) -> DataFrame:
+    def merged(comp: DataFrame, links: DataFrame, name: str) -> DataFrame:
         stars = comp.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         return scratch.save(connected_components(stars.unionByName(links), scratch, f"cc-{name}"), f"components-{name}")
 
     second = more_links(cand, reps, "links-2")
-    comp = merged(second, "2")
-    # Where regions were denser than the reach, new forests over their documents alone until one finds no new link.
-    k = 0
-    while dense.limit(1).count():
-        k += 1
-        own = texts.join(dense.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        nodes = own.mapInArrow(_sketcher(shingle, trees * levels, k), "doc_id long, n_shingles long, digest binary, sig binary")
-        nodes = scratch.save(nodes.groupBy(F.col("doc_id").alias("node")).agg(F.min("sig").alias("sig")), f"nodes-{k}")
-        again, dense = forest_candidates(nodes, scratch, trees, levels, depth, reach)
-        again, dense = scratch.save(again, f"candidates-{k}"), scratch.save(dense, f"dense-{k}")
-        found = more_links(again, nodes, f"links-{k + 2}")
-        if not found.limit(1).count():
-            break
-        comp = merged(found, str(k + 2))
+    comp = merged(comp, second, "2")
+    # Where regions were denser than the reach, an exact join of their documents.
+    if dense.limit(1).count():
+        own = texts.join(dense.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+        sets = own.mapInArrow(_gram_sets(shingle), "doc_id long, digest binary, n long, grams array<long>").where("digest is not null")
+        sets = sets.join(reps.select("digest", "node").hint("merge"), "digest").where("doc_id = node").dropDuplicates(["digest"]).select("digest", "node", "n", "grams")
+        comp = dense_links(scratch.save(sets, "dense-sets"), comp, merged, scratch, percent)
+        scratch.drop("dense-sets")
     scratch.drop("candidates", "texts", "neighbours", "open", "links-1", "links-2", "components-1")
     of_node = scratch.save(reps.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "classes")
     out = sketch.select("doc_id", "n_shingles", "digest").join(of_node, "digest", "left")
