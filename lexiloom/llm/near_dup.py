@@ -121,6 +121,8 @@ def _seam(depth: int, reach: int, levels: int):
             lcp = np.where((tree[x] == tree[y]) & (rank[x] < start[x]) & (rank[y] >= start[y]) & (rank[y] - rank[x] <= reach), _common(keys[x], keys[y]), 0)
             hit = lcp >= depth
             out += zip(np.minimum(node[x], node[y])[hit].tolist(), np.maximum(node[x], node[y])[hit].tolist(), lcp[hit].tolist(), strict=True)
+            full = hit & (rank[y] - rank[x] == reach)  # there may be more beyond the reach
+            out += ((i, None, None) for i in np.unique(np.concatenate([node[x][full], node[y][full]])).tolist())
         a, b, lcp = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "lcp": pa.array(lcp, pa.int32())})
 
@@ -135,7 +137,7 @@ def forest_candidates(nodes: DataFrame, scratch: Scratch, trees: int = TREES, le
     order = ["tree", "key", "node"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = scratch.save(rows.mapInArrow(_neighbours(depth, reach, levels), "a long, b long, lcp int, pid int, pos long, tree int, key binary"), "neighbours")
-    pairs = found.where("lcp is not null").select("a", "b", "lcp")
+    pairs, full = found.where("lcp is not null").select("a", "b", "lcp"), found.where("tree = -1").select("a")
     # Seams: only the rows next to a partition's ends. The driver holds one count per partition.
     counts = {r.pid: r.a for r in found.where("b = -1").select("pid", "a").collect()}
     starts, at = {}, 0
@@ -157,8 +159,10 @@ def forest_candidates(nodes: DataFrame, scratch: Scratch, trees: int = TREES, le
         seams = spark.createDataFrame(near, "pid int, first long, start long")
         ends = found.where("pos is not null").join(F.broadcast(seams), "pid").select("start", (F.col("first") + F.col("pos")).alias("rank"), F.col("a").alias("node"), "tree", "key")
         ends = ends.where(f"rank >= start - {reach} and rank < start + {reach}")
-        pairs = pairs.unionByName(ends.groupBy("start").applyInArrow(_seam(depth, reach, levels), "a long, b long, lcp int"))
-    return pairs.groupBy("a", "b").agg(F.sum("lcp").alias("score")), found.where("tree = -1").select(F.col("a").alias("node")).distinct()
+        across = scratch.save(ends.groupBy("start").applyInArrow(_seam(depth, reach, levels), "a long, b long, lcp int"), "seams")
+        pairs = pairs.unionByName(across.where("lcp is not null"))
+        full = full.unionByName(across.where("lcp is null").select("a"))
+    return pairs.groupBy("a", "b").agg(F.sum("lcp").alias("score")), full.select(F.col("a").alias("node")).distinct()
 
 
 def _confirm(shingle: int, percent: int):
@@ -283,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     reps = scratch.save(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "nodes")
     cand, dense = forest_candidates(reps.select("node", "sig"), scratch, trees, levels, depth, reach)
     cand, dense = scratch.save(cand, "candidates"), scratch.save(dense, "dense-0")
-    scratch.drop("neighbours")
+    scratch.drop("neighbours", "seams")
     ends = cand.select(F.col("a").alias("doc_id")).unionByName(cand.select(F.col("b").alias("doc_id"))).distinct()
     texts = scratch.save(docs.join(ends.hint("merge"), "doc_id", "left_semi"), "texts")
     # Round one: each node's best candidate among the smaller ids, and among the larger ones.

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lexiloom.llm import line_dedup, near_dup, recompression, suffix_dedup
+from lexiloom.llm.common import Scratch
 from lexiloom.llm.repeats import range_argmin
 
 from .conftest import sentence
@@ -83,6 +84,19 @@ def test_near_duplicates_of_one_original(spark):
     assert len(got) == 1501 and {x.component_id for x in got} == {0}
 
 
+def test_dense_runs_across_partitions(spark):
+    """Runs longer than the reach are told also where no partition holds one."""
+    nodes = spark.createDataFrame([(i, bytearray(range(16))) for i in range(20)], "node long, sig binary")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs, dense = near_dup.forest_candidates(nodes, Scratch(spark, "test"), trees=1)
+        assert {(x.a, x.b) for x in pairs.collect()} == {(i, j) for j in range(20) for i in range(j) if j - i <= 8}
+        assert {x.node for x in dense.collect()} == set(range(20))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def cut_bytes(rows, width, keep_first):
     seen = defaultdict(list)
     data = [(d, i, (t or "").encode()) for i, (d, t) in enumerate(rows)]
