@@ -27,6 +27,13 @@ from .common import SHINGLE, Scratch, WordHashes, lower_words, ngrams
 from .components import connected_components
 
 TREES, LEVELS, DEPTH, NEIGHBOURS = 20, 8, 5, 8
+#: The largest chance that a sparse pair exactly at the threshold shares ``depth`` values in no tree.
+MISS = 3e-5
+
+
+def _depth(percent: int, trees: int, levels: int) -> int:
+    """The largest depth that keeps within ``MISS``; 1 if none does."""
+    return max((d for d in range(1, levels + 1) if (1 - (percent / 100) ** d) ** trees <= MISS), default=1)
 
 
 def _permutations(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -274,13 +281,15 @@ def _agreeing(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, trees: int = TREES, levels: int = LEVELS, depth: int = DEPTH, reach: int = NEIGHBOURS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, trees: int = TREES, levels: int = LEVELS, depth: int | None = None, reach: int = NEIGHBOURS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if their shingle sets' Jaccard similarity is at least ``percent`` / 100. A missing or
     empty text has no shingles and no link. Rows with one doc_id and different texts are judged each for itself; a
     missing doc_id can't be linked: its component_id is null and it is kept. Other columns, whatever their names, are not read.
+    The depth follows from the threshold unless given.
     """
+    depth = _depth(percent, trees, levels) if depth is None else depth
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "near-dup")
     sketch = scratch.save(docs.mapInArrow(_sketcher(shingle, trees * levels), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")

@@ -97,6 +97,26 @@ def test_dense_runs_across_partitions(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_depth_follows_from_the_threshold(monkeypatch, percent):
+    used = []
+
+    def stop(nodes, scratch, trees, levels, depth, reach):
+        used.append((1 - (percent / 100) ** depth) ** trees)
+        raise StopIteration
+
+    class Any:
+        def __getattr__(self, name):
+            return lambda *args, **kwargs: self
+
+    monkeypatch.setattr(near_dup, "forest_candidates", stop)
+    monkeypatch.setattr(near_dup, "Scratch", lambda *args: Any())
+    monkeypatch.setattr(near_dup, "F", Any())
+    with pytest.raises(StopIteration):
+        near_dup.near_duplicates(Any(), percent)
+    assert used[0] <= 3e-5
+
+
 def cut_bytes(rows, width, keep_first):
     seen = defaultdict(list)
     data = [(d, i, (t or "").encode()) for i, (d, t) in enumerate(rows)]
