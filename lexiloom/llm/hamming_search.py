@@ -5,26 +5,25 @@ searched with a growing radius s: every code whose distance is below (s + 1) tim
 with the query in some segment up to s bits, so it has been found. A query is done once its kth verified distance is
 covered in that way; the others go on with a larger radius.
 
+A round probes only the values at exactly s bits and adds to what earlier rounds have found. The kth distance found so
+far bounds what can still matter, so the join itself drops farther codes and what is kept of a query stays near k rows.
+
 Rows with equal codes are one index entry with their k least ids, since no other can come among the k nearest by
 distance and then id; so a code that a third of all rows share is no hot entry. A round is one equi-join of the open
-queries' probes with the index; where probing would cost more lookups than there are index entries, the round compares
-the open queries with all entries instead, dealt out over tasks (queries are the stated set, taken in blocks).
+queries' probes with the index, by segment and value.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 K, SEGMENT = 10, 16
-#: Queries that are compared with all codes at once.
-BLOCK = 2048
 
 
 def sign_codes(vectors: DataFrame) -> DataFrame:
@@ -37,36 +36,22 @@ def sign_codes(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.size("embedding") > 0, F.transform(words, lambda w: F.conv(w, 16, 10).cast("int"))).alias("words"))
 
 
-def _distance(a, b) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
-def _nearest(found: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-    """(query, rank, vec_id, distance) of the k nearest by distance and id, from verified codes (query, code, distance)."""
-    rows = found.join(codes.select("code", F.explode("ids").alias("vec_id")), "code")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "vec_id", "distance")
+def _distance(a: str, b: str, segments: int) -> F.Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(segments)]).cast("int")
 
 
-def _scan(block: np.ndarray, numbers: np.ndarray, k: int):
-    """Compare a block of query codes with all codes of a task, keeping each query's k least distances and their ties."""
-    table = np.array([x.bit_count() for x in range(1 << 16)], np.uint8)
+def _masks(bits: int) -> F.Column:
+    """All segment values with so many bits, as one constant array."""
+    values = (sum(1 << b for b in picked) for picked in combinations(range(SEGMENT), bits))
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            words = np.array(b.column(1).to_pylist(), np.uint16)
-            code = np.array(b.column(0).to_pylist(), object)
-            copies = np.array([len(x) for x in b.column(2).to_pylist()])
-            for q, number in zip(block, numbers, strict=True):
-                d = table[words ^ q].sum(axis=1)
-                order = np.argsort(d, kind="stable")
-                enough = min(len(order) - 1, int(np.searchsorted(np.cumsum(copies[order]), k)))
-                hit = np.flatnonzero(d <= d[order[enough]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), number)), pa.array(code[hit].tolist(), pa.string()), pa.array(d[hit].astype(np.int32))], ["query", "code", "distance"])
 
-    return run
+def _index(codes: DataFrame, k: int) -> DataFrame:
+    """(code, words, ids): the codes with their k least ids, taken per part of a code's rows first, so that no task gathers all of them."""
+    part = F.row_number().over(Window.partitionBy("code", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id"))
+    rows = codes.withColumn("n", part).where(F.col("n") <= k)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))).where(F.col("n") <= k)
+    return rows.groupBy("code").agg(F.first("words").alias("words"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -74,53 +59,40 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Both have (vec_id, words). Distance is the Hamming distance; ties are ordered by vec_id. Rows without code or id
     take no part, repeated rows count as often as they stand there, and a query with fewer than k rows to find gets
-    those there are. All codes must have the same length.
+    those there are. All codes must have the same length. Other columns are not read.
     """
     scratch = Scratch(codes.sparkSession, "hamming")
     code = F.array_join(F.transform("words", lambda w: w.cast("string")), ",").alias("code")
-    known = codes.where("vec_id is not null and words is not null").select("vec_id", "words", code)
-    # The k least ids of each code: per part of its rows first, so that no task gathers all of them.
-    part = F.row_number().over(Window.partitionBy("code", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id"))
-    known = known.withColumn("n", part).where(F.col("n") <= k)
-    known = known.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))).where(F.col("n") <= k)
-    index = scratch.save(known.groupBy("code").agg(F.first("words").alias("words"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "codes")
-    asked = queries.where("vec_id is not null and words is not null").select("vec_id", "words", code)
-    asked = scratch.save(asked, "asked")
-    open_ = scratch.save(asked.groupBy("code").agg(F.first("words").alias("words")).select(F.col("code").alias("query"), F.col("words").alias("q")), "open-0")
-    size = index.agg(F.count("*"), F.max(F.size("words"))).first()
-    entries, m = size[0], size[1] or 1
-    segments = index.select("code", "words", "ids", F.posexplode("words").alias("seg", "value")).select("seg", "value", "code", "words", F.size("ids").alias("copies"))
-    done, s = [], 0
+    index = scratch.save(_index(codes.where("vec_id is not null and words is not null").select("vec_id", "words", code), k), "codes")
+    entries, rows, m = index.agg(F.count("*"), F.sum(F.size("ids")), F.max(F.size("words"))).first()
+    asked = scratch.save(queries.where("vec_id is not null and words is not null").select("vec_id", code, "words"), "asked")
+    if not entries or not asked.limit(1).collect():
+        return codes.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
+    enough = min(k, rows)
+    segments = index.select("code", F.size("ids").alias("copies"), "words", F.posexplode("words").alias("seg", "value"))
+    open_ = asked.groupBy("code").agg(F.first("words").alias("q")).select(F.col("code").alias("query"), "q", F.lit(None).cast("int").alias("bound"))
+    open_, near, done, s = scratch.save(open_, "open-0"), None, [], 0
     while open_.limit(1).collect():
-        masks = [sum(1 << b for b in bits) for r in range(s + 1) for bits in combinations(range(SEGMENT), r)]
-        if len(masks) * m * 16 > entries:
-            parts = []
-            block: list = []
-            for row in [*open_.toLocalIterator(), None]:
-                if block and (row is None or len(block) == BLOCK):
-                    q = np.array([r.q for r in block], np.uint16)
-                    names = scratch.spark.createDataFrame([(i, r.query) for i, r in enumerate(block)], "query long, name string")
-                    got = index.select("code", "words", "ids").repartition("code").mapInArrow(_scan(q, np.arange(len(block)), k), "query long, code string, distance int")
-                    parts.append(got.join(names, "query").select(F.col("name").alias("query"), "code", "distance"))
-                    block = []
-                if row is not None:
-                    block.append(row)
-            done += parts
-            break
-        probes = open_.select("query", "q", F.posexplode("q").alias("seg", "v")).select("query", "q", "seg", F.explode(F.transform(F.array(*[F.lit(x) for x in masks]), lambda x: x.bitwiseXOR(F.col("v")))).alias("value"))
-        found = probes.join(segments, ["seg", "value"]).select("query", "code", "copies", _distance(F.col("q"), F.col("words")).alias("distance")).distinct()
-        found = scratch.save(found, f"found-{s}")
-        # The kth distance: the least one up to which there are k rows.
+        at_s = F.transform(_masks(s), lambda x: x.bitwiseXOR(F.col("v")))
+        probes = open_.select("query", "q", "bound", F.posexplode("q").alias("seg", "v")).select("query", "q", "bound", "seg", F.explode(at_s).alias("value"))
+        found = probes.hint("merge").join(segments.hint("merge"), ["seg", "value"]).withColumn("distance", _distance("q", "words", m))
+        found = found.where("bound is null or distance <= bound").select("query", "code", "copies", "distance")
+        found = found if near is None else found.unionByName(near)
+        found = found.groupBy("query", "code").agg(F.first("copies").alias("copies"), F.first("distance").alias("distance"))
+        # The kth distance: the least one up to which there are k rows. What lies beyond can't be an answer any more.
         upto = F.sum("copies").over(Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0))
-        kth = found.withColumn("upto", upto).where(F.col("upto") >= k).groupBy("query").agg(F.min("distance").alias("kth"))
-        covered = scratch.save(kth.where(F.col("kth") < m * (s + 1)).select("query", "kth"), f"covered-{s}")
-        done.append(found.join(covered, "query").where("distance <= kth").select("query", "code", "distance"))
-        open_ = scratch.save(open_.join(covered, "query", "left_anti"), f"open-{s + 1}")
+        bound = F.min(F.when(F.col("upto") >= enough, F.col("distance"))).over(Window.partitionBy("query"))
+        found = found.withColumn("upto", upto).withColumn("bound", bound).where("bound is null or distance <= bound").drop("upto")
+        found = scratch.save(found, f"found-{s}")
+        covered = F.coalesce(F.col("bound") < m * (s + 1), F.lit(False))
+        done.append(found.where(covered).select("query", "code", "distance"))
+        near = found.where(~covered).drop("bound")
+        bounds = found.groupBy("query").agg(F.min("bound").alias("bound"))
+        open_ = scratch.save(open_.drop("bound").join(bounds.hint("merge"), "query", "left").where(~covered), f"open-{s + 1}")
+        scratch.drop(f"open-{s}", tidy=False)
         s += 1
-    if not done:
-        return codes.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
-    found = done[0]
-    for x in done[1:]:
-        found = found.unionByName(x)
-    near = _nearest(found, index, k)
-    return asked.select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).join(near, "query").select("query_id", "rank", "vec_id", "distance")
+    found = reduce(DataFrame.unionByName, done)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))
+    found = found.join(index.select("code", F.explode("ids").alias("vec_id")).hint("merge"), "code").withColumn("rank", rank).where(F.col("rank") <= k)
+    out = asked.select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).join(found.drop("code").hint("merge"), "query")
+    return out.select("query_id", "rank", "vec_id", "distance")
