@@ -5,7 +5,8 @@ The index maps each trigram that some rule asks for to the documents that contai
 documents in the intersection (or union) of its postings, and only those are matched against the expression. Rules
 without mandatory trigrams are matched against every document.
 
-All matching is done by Spark's own expressions. Positions are told by the lengths of the pieces between matches.
+All matching is done by Spark's own expressions. Positions are running sums of the lengths of the matches and of the
+pieces between them, taken over rows, so a text with very many matches costs no more than in proportion.
 """
 
 from __future__ import annotations
@@ -15,13 +16,17 @@ import re._parser as rp
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches of ``pattern`` whose ``group`` has at least ``least`` characters."""
+    """A kind of secret: matches of ``pattern`` whose ``group`` has at least ``least`` characters.
+
+    Where only runs of a length count, that length stands in the pattern: a run that is too short holds no match, so
+    the matches are those of the open pattern that are long enough.
+    """
 
     kind: str
     pattern: str
@@ -31,15 +36,15 @@ class Rule:
 
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", r"[0-9a-f]+", 0, 32),
+    Rule("access", r"AKIA[A-Z0-9]{12,}"),
+    Rule("hex", r"[0-9a-f]{32,}"),
 )
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{20,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ ){0,4}PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 
 #: A query is True (anything may match), a trigram, or ("and" | "or", parts).
@@ -109,28 +114,27 @@ def _holds(query: Query, present) -> F.Column:
 
 
 def trigram_index(docs: DataFrame, wanted: set[str]) -> DataFrame:
-    """(trigram, doc_id): postings of the wanted trigrams, ASCII letters in lower case."""
-    low = F.lower(F.col("text").cast("string"))
+    """(trigram, doc_id, tid): postings of the wanted trigrams, ASCII letters in lower case."""
+    low = F.lower(F.col("text"))
     found = F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(wanted)]), lambda t: t.isNotNull())
-    return docs.select(F.explode(found).alias("trigram"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return docs.select(F.explode(found).alias("trigram"), "doc_id", "tid")
 
 
-def _spans(text, rule: Rule, rank: int) -> F.Column:
-    """Sorted structs of start, rank, end in code points for the matches of one rule."""
-    pattern = F.lit(rule.pattern)
-    match = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
-    picked = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
-    piece = F.transform(F.split(text, rule.pattern, -1), F.length)
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    each = F.transform(F.arrays_zip(match.alias("m"), picked.alias("g")), lambda x, i: F.struct((total(F.slice(piece, 1, i + 1)) + total(F.slice(match, 1, i))).alias("start"), x["m"].alias("m"), x["g"].alias("g")))
-    each = F.filter(each, lambda x: x["g"] >= rule.least)
-    each = F.transform(each, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + x["m"]).alias("end")))
-    return F.when(F.regexp_like(text, F.lit(_quick(rule))), each).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>"))
+def candidates(docs: DataFrame, queries: dict[str, Query]) -> DataFrame:
+    """(doc_id, tid, kinds): the documents in the postings that each rule's query asks for."""
+    postings = trigram_index(docs, set().union(*map(trigrams, queries.values())))
+    have = postings.groupBy("doc_id", "tid").agg(F.collect_set("trigram").alias("present"))  # no more than the rules' trigrams
+    kinds = F.filter(F.array(*[F.when(_holds(q, F.col("present")), F.lit(k)) for k, q in queries.items()]), lambda k: k.isNotNull())
+    return have.select("doc_id", "tid", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def _quick(rule: Rule) -> str:
-    """An expression that matches somewhere wherever the rule has a match that is long enough."""
-    return f"{rule.pattern[:-1]}{{{rule.least}}}" if rule.group == 0 and rule.least and rule.pattern.startswith("[") else rule.pattern
+def _pieces(text, rule: Rule) -> F.Column:
+    """For each match of a rule: the lengths of the piece before it, of the match, and of the group that counts."""
+    pattern = F.lit(rule.pattern)
+    match = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    picked = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else match
+    piece = F.slice(F.transform(F.split(text, rule.pattern, -1), F.length), 1, F.size(match))
+    return F.when(F.regexp_like(text, pattern), F.arrays_zip(piece.alias("p"), match.alias("m"), picked.alias("g"))).otherwise(F.array().cast("array<struct<p:int,m:int,g:int>>"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
@@ -138,25 +142,40 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
 
     start and end are code points, end exclusive; rank is the rule's place in ``rules``. Spans are sorted by start and
     rank. Matches are leftmost and non-overlapping within each rule, and a match that is too short still uses up its
-    text. A missing text counts as empty. Rows that share a doc_id (or have none) share their index entries, which can
-    only add candidates. Other columns are not read.
+    text. A missing text counts as empty. Rows are told apart by doc_id and a hash of the text, so a shared or missing
+    doc_id is no matter and repeated rows get the same spans. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    indexed = [r for r in rules if queries[r.kind] is not True]
-    marked = docs.withColumn("kinds", F.array().cast("array<string>"))
+    indexed = {k: q for k, q in queries.items() if q is not True}
+    of = lambda df, *cols: df.select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), *cols).hint("merge")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tid") == F.col("_tid"))
+    found = []
     if indexed:
-        postings = trigram_index(docs, set().union(*[trigrams(queries[r.kind]) for r in indexed]))
-        have = postings.groupBy("doc_id").agg(F.collect_set("trigram").alias("present"))  # no more than the rules' trigrams
-        kinds = F.filter(F.array(*[F.when(_holds(queries[r.kind], F.col("present")), F.lit(r.kind)) for r in indexed]), lambda k: k.isNotNull())
-        candidates = have.select(F.col("doc_id").alias("candidate"), kinds.alias("kinds")).where(F.size("kinds") > 0)
-        marked = docs.join(candidates, docs["doc_id"].eqNullSafe(candidates["candidate"]), "left").select("doc_id", "text", "kinds")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    parts = []
-    for rank, rule in enumerate(rules):
-        own = _spans(F.col("text"), rule, rank)
-        parts.append(own if queries[rule.kind] is True else F.when(F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)), own).otherwise(none))
-    return marked.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))
+        texts = docs.join(of(candidates(docs, indexed), "kinds"), same)
+        one = texts.groupBy("doc_id", "tid").agg(F.first("text").alias("text"), F.first("kinds").alias("kinds"))  # repeated rows once
+        none = F.array().cast("array<struct<p:int,m:int,g:int>>")
+        parts = [F.when(F.array_contains("kinds", r.kind), _pieces(F.col("text"), r)).otherwise(none) for r in rules if r.kind in indexed]
+        found.append((one, [i for i, r in enumerate(rules) if r.kind in indexed], parts))
+    whole = [i for i, r in enumerate(rules) if queries[r.kind] is True]
+    if whole:
+        some = reduce(lambda a, b: a | b, [F.regexp_like("text", F.lit(rules[i].pattern)) for i in whole])
+        found.append((docs.where(some).dropDuplicates(["doc_id", "tid"]), whole, [_pieces(F.col("text"), rules[i]) for i in whole]))
+    spans = None
+    for texts, ranks, parts in found:
+        by_rule = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), p.alias("pieces")) for i, p in zip(ranks, parts, strict=True)])).alias("rule")
+        rows = texts.select("doc_id", "tid", by_rule).select("doc_id", "tid", "rule.rank", F.posexplode("rule.pieces").alias("i", "x"))
+        upto = F.sum(F.col("x.p") + F.col("x.m")).over(Window.partitionBy("doc_id", "tid", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+        least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rank") + 1)
+        rows = rows.withColumn("end", upto).where(F.col("x.g") >= least)
+        rows = rows.select("doc_id", "tid", F.struct((F.col("end") - F.col("x.m")).alias("start"), "rank", "end").alias("span"))
+        spans = rows if spans is None else spans.unionByName(rows)
+    if spans is None:
+        return docs.select("doc_id", F.array().cast("array<struct<start:int,rank:int,end:int>>").alias("spans"))
+    spans = spans.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    out = docs.select("doc_id", "tid").join(of(spans, "spans"), same, "left")
+    return out.select("doc_id", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,end:int>>")).alias("spans"))
 
 
 def described(spans, rules: tuple[Rule, ...] = BASE + MORE) -> F.Column:

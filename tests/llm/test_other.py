@@ -21,14 +21,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # --- 2 -------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("bits", "n", "k"), [(64, 300, 10), (20, 200, 5), (64, 6, 10)])
+@pytest.mark.parametrize(("bits", "n", "k"), [(64, 300, 10), (64, 2000, 10), (20, 200, 5), (64, 6, 10)])
 def test_top_k(spark, bits, n, k):
     r = np.random.default_rng(bits + n)
     centres = r.standard_normal((4, bits))
     vectors = centres[r.integers(0, 4, n)] + 0.4 * r.standard_normal((n, bits))
     vectors[n // 2 :: 3] = vectors[0]  # one code that many share
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(None, [1.0] * bits), (n + 1, None), (n + 2, [])]
-    codes = hamming_search.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    rows = [(i, [float(x) for x in v], *["clash"] * 4) for i, v in enumerate(vectors)] + [(None, [1.0] * bits, *"abcd"), (n + 1, None, *"abcd"), (n + 2, [], *"abcd")]
+    codes = hamming_search.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, code string, query string, words string, distance string"))
     got = defaultdict(list)
     for x in hamming_search.top_k(codes, codes.where("vec_id % 20 = 0"), k).orderBy("query_id", "rank").collect():
         got[x.query_id].append((x.distance, x.vec_id))
@@ -291,6 +291,17 @@ def test_secrets(spark, odd, none):
     assert secret_scan.scan(none).count() == 0 and secret_scan.scan(odd).count() == odd.count()
 
 
+def test_secrets_in_very_long_texts(spark):
+    """10 MB of each kind of text that is hard on an expression or on positions."""
+    n = 10 << 20
+    texts = ["-----BEGIN " + "A " * (n // 2) + "PRIVATE KEY-----", "ab cafe " * (n // 8) + "0123456789abcdef" * 2, "eyJ" * (n // 3), "-eyJabcdefgh.eyJ" * (n // 16), "token=a " * (n // 8) + "token=abcdefgh", "password" + " " * n, "AKIA" * (n // 4), "f" * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secret_scan.scan(df).collect()}
+    kinds = {r.kind: i for i, r in enumerate(secret_scan.BASE + secret_scan.MORE)}
+    m = len(texts[1]), len(texts[4])
+    assert got == {0: [], 1: [(m[0] - 32, kinds["hex"], m[0])], 2: [], 3: plain_spans(texts[3]), 4: [(m[1] - 14, kinds["assign"], m[1])], 5: [], 6: [(0, kinds["access"], len(texts[6]))], 7: [(0, kinds["hex"], n)]}
+
+
 @pytest.mark.parametrize("rule", secret_scan.BASE + secret_scan.MORE, ids=lambda r: r.kind)
 def test_every_match_meets_its_query(rule):
     query = secret_scan.trigram_query(rule.pattern)
