@@ -1,16 +1,20 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Equal sets are one entry, so any number of copies costs one. In each set the words are
-put in order of rarity; two sets whose Jaccard similarity reaches the threshold must share a word among the first few
-of each (the prefix filter), must be of similar size (the length filter), and the places of the shared word must leave
-room for enough overlap (the positional filter). What passes is verified on the whole sets.
+A line is the set of its words. Equal sets are one entry, numbered in the order of their first lines, so any number of
+copies costs one. In each set the words are put in order of rarity; two sets whose Jaccard similarity reaches the
+threshold must share a word among the first few of each (the prefix filter), must be of similar size (the length
+filter), and the places of the shared word must leave room for enough overlap (the positional filter). What passes is
+verified on the whole lines.
 
 A line goes if any earlier line is similar, so one such line is enough to know. First each set is held against the
 earliest set of each of its prefix words, which settles most members of a large family of variants at a cost that is
-linear in it. Only sets that are still open are then joined with all.
+linear in it. Only sets that are still open are then joined with all. Two similar sets of several words share a second
+word right behind the first one's prefix, so where a prefix word is in more than ``HOT`` sets, it is joined together
+with each word behind it instead of alone.
 
-Rarity needs only some order that is the same everywhere: words are counted in 16,384 hash buckets over all lines, and
-a word's bucket count, then its hash, is its place.
+Rarity needs only some order that is the same everywhere: words are counted in 65,536 hash buckets over all lines, and
+a word's place is its bucket's rank, then its hash. Words that make up more than that share of a corpus stand apart
+by their own counts, and all others are rarer.
 """
 
 from __future__ import annotations
@@ -20,98 +24,138 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-PERCENT, BUCKETS = 80, 1 << 14
+PERCENT, BUCKETS, HOT = 80, 1 << 16, 64
 _BLANKS = r"[\x20\x09-\x0D]+"
+#: A set's number, size and a word's place in one long, the last two up to a limit from which on the filters let all pass.
+_SIZE, _PLACE = 12, 11
 
 
-def line_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, line_no, set_id, words): the lines that have words, each with the hashes of its distinct words."""
-    lines = docs.where("doc_id is not null").select("doc_id", "tid", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    words = F.array_distinct(F.filter(F.split("line", _BLANKS, -1), lambda w: w != ""))
-    lines = lines.select("doc_id", "tid", "line_no", F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("words")).where(F.size("words") > 0)
-    return lines.withColumn("set_id", F.unhex(F.md5(F.array_join(F.transform("words", lambda w: w.cast("string")), ","))))
+def _hashes(text: Column) -> Column:
+    """64-bit hashes of the words of a text, in its order; of a text without words, none."""
+    words = F.array_remove(F.split(text, _BLANKS, -1), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
+
 
+def word_ranks(docs: DataFrame) -> list[int]:
+    """The rank of each bucket of words by how many words of all texts fall into it. The driver holds one number a bucket."""
+    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    words = docs.select(F.explode(F.split("text", _BLANKS, -1)).alias("word")).groupBy(bucket).agg(F.count("*").alias("n"))
+    counted = {r.bucket: r.n for r in words.collect()}
+    ranks = [0] * BUCKETS
+    for k, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counted.get(b, 0), b))):
+        ranks[b] = k
+    return ranks
 
-def _prefixes(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
-    """(word, set_id, n, place): the prefix words of each set with their places in order of rarity."""
-    known = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
-    n = F.size("words")
-    length = n - F.floor((n * percent + 99) / 100).cast("int") + 1
-    order = F.array_sort(F.transform("words", lambda w: F.struct(F.get(known, F.pmod(w, F.lit(BUCKETS)).cast("int")).alias("count"), w.alias("word"))))
-    rows = lines.select("set_id", n.alias("n"), F.posexplode(F.slice(F.transform(order, lambda x: x["word"]), 1, length)).alias("place", "word"))
-    return rows.groupBy("word", "set_id").agg(F.first("n").alias("n"), F.first("place").alias("place"))
 
+def line_sets(docs: DataFrame, ranks: list[int], percent: int) -> DataFrame:
+    """(doc_id, tid, line_no, set_id, check, n, codes): the lines that have words, with one code more than their prefixes.
 
-def _may_match(a: str, b: str, percent: int) -> Column:
-    """The length and positional filters for two rows that share a prefix word."""
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.place"), F.col(f"{b}.place")
+    A code is a word's rank and 47 bits of its hash; the order of codes is that of rarity.
+    """
+    known = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    lines = docs.where("doc_id is not null").select("doc_id", "tid", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    code = lambda h: F.shiftleft(F.get(known, F.pmod(h, F.lit(BUCKETS)).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
+    lines = lines.select("doc_id", "tid", "line_no", F.sort_array(F.array_distinct(F.transform(_hashes(F.col("line")), code))).alias("all"))
+    n = F.size("all")
+    length = n - F.floor((n * percent + 99) / 100).cast("int") + 2
+    return lines.where(n > 0).select("doc_id", "tid", "line_no", F.xxhash64("all").alias("set_id"), F.hash("all").alias("check"), n.alias("n"), F.slice("all", F.lit(1), length).alias("codes"))
+
+
+def numbered(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, set_id, check, n, codes, doc_id, tid, line_no): one row per set, with its first line, numbered in that order."""
+    first = F.min(F.struct("doc_id", "line_no", "tid")).alias("first")
+    sets = lines.groupBy("set_id", "check").agg(first, F.first("n").alias("n"), F.first("codes").alias("codes"))
+    sets = sets.repartitionByRange("first").sortWithinPartitions("first")
+    sets = scratch.save(sets.select("set_id", "check", "n", "codes", "first.*", F.monotonically_increasing_id().alias("at")), "sets-raw")
+    part = F.shiftright("at", 33).cast("int")
+    counts = sorted((r.part, r.n) for r in sets.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # one number a partition
+    starts, total = [0] * ((counts[-1][0] if counts else 0) + 1), 0
+    for p, n in counts:
+        starts[p], total = total, total + n
+    if total >= 1 << (63 - _SIZE - _PLACE):
+        raise ValueError("too many different lines to number")
+    start = F.get(F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), part)
+    return sets.select((start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"), "set_id", "check", "n", "codes", "doc_id", "tid", "line_no")
+
+
+def _packed(place) -> Column:
+    low = lambda c, bits: F.least(c.cast("long"), F.lit((1 << bits) - 1))
+    return F.shiftleft(F.shiftleft(F.col("id"), _SIZE).bitwiseOR(low(F.col("n"), _SIZE)), _PLACE).bitwiseOR(low(place, _PLACE))
+
+
+def _id(packed) -> Column:
+    return F.shiftright(packed, _SIZE + _PLACE)
+
+
+def _may_match(a, b, percent: int) -> Column:
+    """The length and positional filters for two packed rows that share a prefix word."""
+    of = lambda x, bits, at: F.shiftright(x, at).bitwiseAND(F.lit((1 << bits) - 1))
+    n, m, i, j = of(a, _SIZE, _PLACE), of(b, _SIZE, _PLACE), of(a, _PLACE, 0), of(b, _PLACE, 0)
     room = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m))
+    unknown = (F.greatest(n, m) == (1 << _SIZE) - 1) | (F.greatest(i, j) == (1 << _PLACE) - 1)
+    return unknown | ((100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m)))
+
+
+def _pairs(a: DataFrame, b: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(id, earlier): the pairs of rows of ``a`` with earlier ones of ``b`` that may match, once each. Both have keys and x."""
+    rows = a.join(b.select(*keys, F.col("x").alias("y")).hint("merge"), keys).where(F.col("y") < F.col("x"))
+    return rows.where(_may_match(F.col("x"), F.col("y"), percent)).select(_id("x").alias("id"), _id("y").alias("earlier")).where("earlier < id").distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """(id): of the pairs (id, earlier) those whose lines are similar, told by the whole lines."""
+    asked = pairs.select("id").unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
+    asked = sets.select("id", "doc_id", "tid", "line_no").join(asked.hint("merge"), "id", "left_semi")
+    asked = asked.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("line_no", "id")).alias("asked"))
+    texts = docs.join(asked.hint("merge"), ["doc_id", "tid"]).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("a"))
+    lines = texts.select(F.col("a.id").alias("id"), F.struct("doc_id", "a.line_no").alias("place"), F.get("lines", F.col("a.line_no")).alias("line")).dropDuplicates(["id"])
+    lines = scratch.save(lines.select("id", "place", F.array_distinct(_hashes(F.col("line"))).alias("words")), f"words-{name}")
+    theirs = lines.select(F.col("id").alias("earlier"), F.col("place").alias("before"), F.col("words").alias("others"))
+    rows = pairs.join(lines.hint("merge"), "id").join(theirs.hint("merge"), "earlier").where("before < place")  # one place in two texts of one id is neither
+    both = F.size(F.array_intersect("words", "others"))
+    return scratch.save(rows.where(100 * both >= percent * (F.size("words") + F.size("others") - both)).select("id").distinct(), f"similar-{name}")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (set_id, earlier) those whose sets are similar: the distinct set_id."""
-    mine = sets.select("set_id", "words").hint("merge")
-    theirs = sets.select(F.col("set_id").alias("earlier"), F.col("words").alias("others")).hint("merge")
-    both = F.size(F.array_intersect("words", "others"))
-    rows = pairs.join(mine, "set_id").join(theirs, "earlier")
-    return rows.where(100 * both >= percent * (F.size("words") + F.size("others") - both)).select("set_id").distinct()
-
-
-def similar_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, tid, line_no) of the lines that are similar to an earlier one, by doc_id and place."""
-    lines = line_sets(docs)
-    words = lines.select(F.explode("words").alias("word"))
-    counted = {r.bucket: r.n for r in words.groupBy(F.pmod("word", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n")).collect()}
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    where = scratch.save(lines.select("doc_id", "tid", "line_no", "set_id"), "lines")
-    known = scratch.save(where.groupBy("set_id").agg(first), "firsts")
-    prefixes = scratch.save(_prefixes(lines, [counted.get(i, 0) for i in range(BUCKETS)], percent).join(known.hint("merge"), "set_id"), "prefixes")
+def similar_sets(sets: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(id): the sets that are similar to an earlier one."""
+    prefix = F.posexplode(F.slice("codes", F.lit(1), F.size("codes") - 1)).alias("place", "code")
+    rows = sets.select("id", "n", prefix).select("code", _packed(F.col("place")).alias("x"))
     # A word of one set only can't bring two together.
-    least = prefixes.groupBy("word").agg(F.min(F.struct("first", "set_id", "n", "place")).alias("e"), F.count("*").alias("k")).where("k > 1")
-    least = scratch.save(least.select("word", "e.*"), "earliest")
-    a, b = prefixes.alias("a"), least.alias("b")
-    pairs = a.join(b.hint("merge"), "word").where((F.col("b.first") < F.col("a.first")) & _may_match("a", "b", percent))
-    pairs = scratch.save(pairs.select(F.col("a.set_id").alias("set_id"), F.col("b.set_id").alias("earlier")).distinct(), "pairs-1")
-    sets = _sets_of(lines, pairs, scratch, "sets-1")
-    settled = scratch.save(_verified(pairs, sets, percent), "settled-1")
+    known = scratch.save(rows.groupBy("code").agg(F.min("x").alias("x"), F.count("*").alias("k")).where("k > 1"), "earliest")
+    tried = scratch.save(_pairs(rows, known, ["code"], percent), "pairs-1")
+    settled = _similar(tried, sets, docs, percent, scratch, "1")
     # Open sets against all that share a prefix word with them; pairs that were tried need no second look.
-    rows = prefixes.join(least.select("word").hint("merge"), "word", "left_semi")
-    open_ = scratch.save(rows.join(settled, "set_id", "left_anti"), "open")
-    a, b = open_.alias("a"), rows.alias("b")
-    more = a.join(b.hint("merge"), "word").where((F.col("b.first") < F.col("a.first")) & _may_match("a", "b", percent))
-    more = more.select(F.col("a.set_id").alias("set_id"), F.col("b.set_id").alias("earlier")).distinct().join(pairs, ["set_id", "earlier"], "left_anti")
-    more = scratch.save(more, "pairs-2")
-    scratch.drop("prefixes", "earliest", "open", "pairs-1", "sets-1")
-    later = scratch.save(_verified(more, _sets_of(lines, more, scratch, "sets-2"), percent), "settled-2")
-    scratch.drop("pairs-2", "sets-2")
-    gone = scratch.save(settled.unionByName(later).select("set_id", F.lit(True).alias("similar")), "gone")
-    known = scratch.save(known.join(gone, "set_id", "left"), "known")
-    scratch.drop("firsts", "settled-1", "settled-2", "gone")
-    out = where.join(known, "set_id").where(F.coalesce("similar", F.lit(False)) | (F.struct("doc_id", "line_no") > F.col("first")))
-    return out.select("doc_id", "tid", "line_no")
-
-
-def _sets_of(lines: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The word hashes of the sets in ``pairs``."""
-    asked = pairs.select("set_id").unionByName(pairs.select(F.col("earlier").alias("set_id"))).distinct()
-    return scratch.save(lines.select("set_id", "words").join(asked.hint("merge"), "set_id", "left_semi").dropDuplicates(["set_id"]), name)
+    left = sets.join(settled.select("id", F.lit(True).alias("settled")).hint("merge"), "id", "left").select("id", "n", "codes", F.col("settled").isNull().alias("open"))
+    behind = F.posexplode("codes").alias("place", "code")
+    rows = left.select("id", "n", "open", "codes", behind).where("place < size(codes) - 1").select("code", "open", _packed(F.col("place")).alias("x"), F.expr("slice(codes, place + 2, size(codes))").alias("next"))
+    cold, hot = known.where(F.col("k") <= HOT).select("code"), known.where(F.col("k") > HOT).select("code")
+    one = scratch.save(rows.drop("next").join(cold.hint("merge"), "code", "left_semi"), "cold")
+    two = rows.join(hot.hint("merge"), "code", "left_semi").select("code", "open", "x", F.explode("next").alias("second"))
+    two = scratch.save(two, "hot")
+    more = _pairs(one.where("open").drop("open"), one.drop("open"), ["code"], percent).unionByName(_pairs(two.where("open").drop("open"), two.drop("open"), ["code", "second"], percent))
+    more = scratch.save(more.distinct().join(tried, ["id", "earlier"], "left_anti"), "pairs-2")
+    return settled.unionByName(_similar(more, sets, docs, percent, scratch, "2"))
 
 
 def remove_similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_lines, n_removed, kept_text.
 
     Lines are parted by line feeds. A line goes if a line before it, by doc_id and then by place, has a word set of
-    Jaccard similarity ``percent`` / 100 or more; what else goes doesn't matter. Lines without words stay. An empty
-    text is one empty line, a missing one has none. A missing doc_id takes no part and keeps all lines. Repeated rows
-    are one document; rows with one doc_id and different texts are compared by doc_id and place like all others.
-    Other columns are not read.
+    Jaccard similarity ``percent`` / 100 (above a half) or more; what else goes doesn't matter. Lines without words
+    stay. An empty text is one empty line, a missing one has none. A missing doc_id takes no part and keeps all lines.
+    Repeated rows are one document; rows with one doc_id and different texts are compared by doc_id and place like all
+    others. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = similar_lines(docs, scratch, percent).groupBy("doc_id", "tid").agg(F.collect_set("line_no").alias("gone"))
-    gone = scratch.save(gone, "removed")
-    scratch.drop("lines", "known")
+    lines = scratch.save(line_sets(docs, word_ranks(docs), percent), "lines")
+    sets = numbered(lines, scratch)
+    gone = similar_sets(sets, docs, scratch, percent).select("id", F.lit(True).alias("similar"))
+    known = sets.join(gone.hint("merge"), "id", "left").select("set_id", "check", "similar", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
+    out = lines.select("doc_id", "tid", "line_no", "set_id", "check").join(scratch.save(known, "known").hint("merge"), ["set_id", "check"])
+    out = out.where(F.coalesce("similar", F.lit(False)) | (F.struct("doc_id", "line_no") > F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))))
+    gone = scratch.save(out.groupBy("doc_id", "tid").agg(F.collect_set("line_no").alias("gone")), "removed")
+    scratch.keep("removed")
     rows = docs.join(gone.hint("merge"), ["doc_id", "tid"], "left").withColumn("lines", F.split("text", "\n", -1))
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
     rows = rows.withColumn("kept", kept)
