@@ -29,22 +29,37 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
+#: Bytes of an Arrow batch, so that a batch of very long texts stays small in Python too.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's bound on Arrow batches to ``BATCH_BYTES`` unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int((spark.conf.get(key, None) or "0").rstrip("b") or 0) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Intermediate tables of one call, written to the shared folder so that no lineage needs recomputing
     when an executor is lost. Tables that the result doesn't read are dropped as soon as they are used up."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.held: list[str] = []
+        bound_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.held.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str, tidy: bool = True) -> None:
         """Delete tables, and unless told otherwise the shuffle files of finished queries."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
+            self.held = [x for x in self.held if x != name]
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
         if tidy:  # Spark deletes the shuffle files of a finished query once its plan is garbage, and learns that by collecting
@@ -52,6 +67,11 @@ class Scratch:
             jvm.System.gc()
 
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*[x for x in self.held if x not in names])
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgotten all at once when they grow many, so memory is bounded."""
 

@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, mix
-from .repeats import Rolling, chunks, compare_in_buckets, context_batches, find_repeats, in_buckets, occurrence_batch, range_argmin, removed_units, spread_batch, window_batch
+from .repeats import Rolling, chunks, compare_in_buckets, context_batches, find_repeats, in_buckets, occurrence_batch, range_argmin, removed_units, window_batch
 
 WINDOW, ROUNDS, BUCKET = 50, 3, 64
+#: Intervals of the anchor's offset by which large buckets are split.
+SIZES = (16, 4, 1)
 #: Windows that are compared at once within a task.
 AT_ONCE = 1 << 17
 
@@ -95,14 +97,15 @@ def _occurrences(width: int, rounds: int):
                     pick[new], level[new] = range_argmin(mix(sym), a[new], z[new]), k
                 turn = np.flatnonzero(np.append(True, (pick[1:] != pick[:-1]) | (level[1:] != level[:-1]) | (owner[1:] != owner[:-1])))
                 n = np.append(turn[1:], len(start)) - turn
-                sym = np.zeros(len(turn), np.uint64)
+                first = start[turn]
+                sym, off = np.zeros(len(turn), np.uint64), np.zeros(len(turn), np.int64)
                 for k in range(rounds + 1):
                     at = level[turn] == k
-                    sym[at] = mix(tables[k][0][pick[turn][at]] + np.uint64(k))
-                first = start[turn]
+                    own = pick[turn][at]
+                    sym[at], off[at] = mix(tables[k][0][own] + np.uint64(k)), tables[k][1][own] - first[at]
                 ctx = Rolling(h).of(first, first + n - 1 + width)
                 d = owner[turn]
-                yield occurrence_batch(sym, ctx, ids[x:y][d], tids[x:y][d], first - offset[d], n)
+                yield occurrence_batch(sym, ctx, off, ids[x:y][d], tids[x:y][d], first - offset[d], n)
 
     return run
 
@@ -136,10 +139,9 @@ def _earlier(batches):
     return in_buckets(batches, solve, AT_ONCE)
 
 
-def _spread(batches):
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            yield spread_batch(r, np.frombuffer(r[5], np.uint64))
+def _part():
+    """Hashes of some windows; a single window's hash is its key."""
+    return (lambda x, skip, n: F.substring(x, 8 * skip + 1, 8 * n)), lambda at, size: [F.col("bytes")] if size == 1 else []
 
 
 def _cut(width: int):
@@ -157,7 +159,7 @@ def _cut(width: int):
     return run
 
 
-def remove_repeated_substrings(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+def remove_repeated_substrings(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, bucket: int = BUCKET) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text.
 
     A word is removed if a window of ``width`` consecutive words covers it whose word sequence also starts in a
@@ -169,7 +171,7 @@ def remove_repeated_substrings(docs: DataFrame, width: int = WINDOW, rounds: int
     scratch = Scratch(docs.sparkSession, "recompression")
 
     def compare(rest: DataFrame, docs: DataFrame) -> DataFrame:
-        return compare_in_buckets(rest, docs, _contexts(width), _earlier, _spread, "earlier_doc", BUCKET, scratch)
+        return compare_in_buckets(rest, docs, _contexts(width), _earlier, _part(), SIZES, "earlier_doc", bucket, scratch)
 
     found = find_repeats(docs, _occurrences(width, rounds), compare, "earlier_doc", scratch)
     marked = docs.join(found, ["doc_id", "tid"], "left").select("doc_id", "text", "spans")

@@ -7,8 +7,9 @@ prefixes with the nearest entries, before and after it in suffix order, that sta
 longest next factor is the same with larger positions. A suffix whose previous factor reaches ``width`` repeats an
 earlier one: removing those keeps the first copy. Where any other copy counts, the next factor counts too.
 
-A bucket with many different members (a frequent passage's edge) is not given to one task: there, windows are dealt
-out by their own hash, and the previous factor is told by the least position of equal windows.
+A bucket with many different members (a frequent passage's edge) is not given to one task: it is split by further
+bytes on either side of the gram until its parts are small or all the same window (see ``repeats``), and the order of
+suffixes is built in the parts.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix
-from .repeats import Rolling, chunks, compare_in_buckets, context_batches, find_repeats, in_buckets, occurrence_batch, removed_units, spread_batch, window_batch
+from .repeats import Rolling, chunks, compare_in_buckets, context_batches, find_repeats, in_buckets, occurrence_batch, removed_units, window_batch
 
 WIDTH, GRAM, BUCKET = 200, 32, 64
+#: Intervals of the gram's offset by which large buckets are split.
+SIZES = (64, 16, 4, 1)
 #: Suffixes that are sorted at once within a task.
 AT_ONCE = 1 << 14
 
@@ -68,7 +71,7 @@ def _occurrences(width: int, gram: int):
                 group = np.cumsum(turn)[whole] - 1
                 n = np.bincount(group, minlength=len(first))
                 d = owner[first]
-                yield occurrence_batch(grams[pick[first]], roll.of(first, first + n - 1 + width), ids[x:y][d], tids[x:y][d], first - offset[d], n)
+                yield occurrence_batch(grams[pick[first]], roll.of(first, first + n - 1 + width), pick[first] - first, ids[x:y][d], tids[x:y][d], first - offset[d], n)
 
     return run
 
@@ -102,7 +105,7 @@ def previous_factors(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
 def _suffix_order(buckets: list[tuple], width: int):
     """Of the windows of some whole buckets: owner row, offset, text position, and the order's common prefixes."""
     grid, row, shift = [], [], []
-    for i, (number, (_, _, _, _, n, text, _)) in enumerate(buckets):
+    for i, (number, (_, _, _, _, n, text)) in enumerate(buckets):
         windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), width)
         head = np.broadcast_to(np.frombuffer(number.to_bytes(4, "big"), np.uint8), (n, 4))
         grid.append(np.concatenate([head, windows], axis=1))
@@ -136,14 +139,10 @@ def _factors(width: int, both: bool):
     return lambda batches: in_buckets(batches, solve, AT_ONCE)
 
 
-def _hashed(width: int):
-    def run(batches):
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at = np.arange(r[4])
-                yield spread_batch(r, Rolling(_bytes(r[5])).of(at, at + width))
-
-    return run
+def _part(width: int):
+    """Bytes of some windows; of windows whose anchors lie in an interval, the bytes that all of them share."""
+    bytes_ = lambda x, skip, n: F.substring(x, skip + 1, n + (width - 1))
+    return bytes_, lambda at, size: [F.substring(F.col("bytes"), F.col("off") - at + 1, F.lit(width - size + 1))]
 
 
 def _cut(width: int):
@@ -178,7 +177,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, keep_first: bool
     rule = "earlier" if keep_first else "any"
 
     def compare(rest: DataFrame, docs: DataFrame) -> DataFrame:
-        return compare_in_buckets(rest, docs, _contexts(width), _factors(width, not keep_first), _hashed(width), rule, bucket, scratch)
+        return compare_in_buckets(rest, docs, _contexts(width), _factors(width, not keep_first), _part(width), SIZES, rule, bucket, scratch)
 
     found = find_repeats(docs, _occurrences(width, gram), compare, rule, scratch)
     return docs.join(found, ["doc_id", "tid"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
