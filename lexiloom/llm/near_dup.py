@@ -1,15 +1,16 @@
 """MinHash near-dedup with an LSH forest.
 
 Every document has ``trees`` short signatures. Each tree is the list of all signatures in sorted order, in which
-documents that share a long prefix stand together. A document's candidates are its nearest neighbours there, if
-they share at least ``depth`` values: where documents are sparse these are all that share so much, where they are
-dense the neighbours are those with longer common prefixes, so the depth adapts to the region. Links are confirmed
-on the full shingle sets.
+documents that share a long prefix stand together. A region is a run of documents that share ``depth`` values. In a
+region with no more than ``reach`` others all pairs are candidates. In a denser one the depth grows until the run that
+shares so much is that small again, and each document's nearest neighbour, which has the longest common prefix, is a
+candidate at any depth. Links are confirmed on the full shingle sets.
 
 Equal sets are first collapsed into one node, so that any number of copies costs one candidate. Confirming goes in
 two rounds: first each node's best candidates; then, of the rest, those that still lie in different components,
-since a link inside a component changes nothing. Where a region holds more documents than the reach, the links that
-are left are found by ``dense_links``, an exact set-similarity join of those documents' shingle sets.
+since a link inside a component changes nothing. The links of dense regions that are not among the candidates are
+found by ``dense_links``, an exact set-similarity join of those documents' shingle sets. So every pair that shares a
+region in some tree is decided; a linked pair that shares none is missed, with a chance of ``MISS`` at the threshold.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def _sketcher(shingle: int, n: int, seed: int = 0):
                     part = (((s[k : k + 1024] ^ add) * mult) >> np.uint64(32)).min(axis=1)
                     low = part if low is None else np.minimum(low, part)
                 sig.append((low & np.uint64(0xFFFF)).astype(">u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "tid", "n_shingles", "digest", "sig"])
 
     return run
 
@@ -68,8 +69,33 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate(x == y, axis=1).sum(axis=1)
 
 
+def _regions(tree: np.ndarray, keys: np.ndarray, depth: int, reach: int, lo: int, hi: int):
+    """Candidates (i, j, common prefix) with lo <= i < hi among sorted rows, and whether each row's region is dense.
+
+    Of a run only what stands in these rows is seen; ``reach`` + 1 rows on either side are enough to tell a dense one.
+    """
+    n, levels = len(tree), keys.shape[1]
+    near = np.where(tree[1:] == tree[:-1], _common(keys[1:], keys[:-1]), 0)
+    size = np.empty((levels + 1 - depth, n), np.int64)
+    for d in range(depth, levels + 1):
+        run = np.cumsum(np.append(0, near < d))
+        size[d - depth] = np.bincount(run)[run]
+    out, lcp = [], np.full(n, levels)
+    for lag in range(1, min(reach, n - 1) + 1):
+        lcp = np.minimum(lcp[: n - lag], near[lag - 1 :])
+        i = np.arange(lo, min(hi, n - lag))
+        i = i[lcp[i] >= depth]
+        if not len(i):
+            break
+        if lag > 1:
+            i = i[size[lcp[i] - depth, i] <= reach + 1]
+        out.append((i, i + lag, lcp[i]))
+    i, j, common = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
+    return i, j, common, size[0] > reach + 1
+
+
 def _neighbours(depth: int, reach: int, levels: int):
-    """Pairs among ``reach`` next rows of a sorted partition, and its first and last rows for the seams."""
+    """Candidates and dense nodes of a sorted partition, and its first and last rows for the seams."""
 
     def columns(b):
         keys = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u2").reshape(-1, levels)
@@ -81,64 +107,64 @@ def _neighbours(depth: int, reach: int, levels: int):
         return pa.RecordBatch.from_arrays(cols, ["a", "b", "lcp", "pid", "pos", "tree", "key"])
 
     def run(batches):
-        pid, at, kept = TaskContext.get().partitionId(), 0, None
-        for b in batches:
-            if not b.num_rows:
+        pid, at, kept, done, span = TaskContext.get().partitionId(), 0, None, 0, reach + 1
+        for b in _with_end(batches):
+            if b is not None and not b.num_rows:
                 continue
-            tree, keys, node = columns(b)
-            if at < reach:
-                m = min(reach - at, len(node))
-                yield batch(node[:m], [None] * m, [None] * m, np.arange(at, at + m), tree[:m], [k.tobytes() for k in keys[:m]], pid)
-            old = 0
-            if kept is not None:
-                old = len(kept[2])
-                tree, keys, node = (np.concatenate(x) for x in zip(kept, (tree, keys, node), strict=True))
-            for lag in range(1, reach + 1):
-                lo = max(0, old - lag)  # pairs whose later row is new
-                x, y = slice(lo, len(node) - lag), slice(lo + lag, len(node))
-                if len(node) <= lag:
-                    break
-                lcp = np.where(tree[x] == tree[y], _common(keys[x], keys[y]), 0)
-                hit = lcp >= depth
-                if hit.any():
-                    u, v = node[x][hit], node[y][hit]
-                    yield batch(np.minimum(u, v), np.maximum(u, v), lcp[hit], [None] * len(u), [None] * len(u), [None] * len(u), pid)
-                    if lag == reach:  # there may be more beyond the reach
-                        full = np.unique(np.concatenate([u, v]))
-                        yield batch(full, [None] * len(full), [None] * len(full), [None] * len(full), np.full(len(full), -1), [None] * len(full), pid)
-            at += b.num_rows
-            kept = tree[-reach:], keys[-reach:], node[-reach:]
-        if at:
-            m = len(kept[2])
-            new = [i for i in range(m) if at - m + i >= reach]  # the others went out as first rows
-            yield batch(kept[2][new], [None] * len(new), [None] * len(new), [at - m + i for i in new], kept[0][new], [kept[1][i].tobytes() for i in new], pid)
-            yield batch([at], [-1], [None], [None], [None], [None], pid)  # rows of this partition
+            if b is not None:
+                tree, keys, node = columns(b)
+                if at < span:
+                    m = min(span - at, len(node))
+                    yield batch(node[:m], [None] * m, [None] * m, np.arange(at, at + m), tree[:m], [k.tobytes() for k in keys[:m]], pid)
+                at += b.num_rows
+                kept = (tree, keys, node) if kept is None else tuple(np.concatenate(x) for x in zip(kept, (tree, keys, node), strict=True))
+            if kept is None:
+                return
+            tree, keys, node = kept
+            upto = len(node) if b is None else max(done, len(node) - span)  # a row waits for those that its region may reach
+            if upto > done:
+                i, j, lcp, dense = _regions(tree, keys, depth, reach, done, upto)
+                u, v, none = node[i], node[j], [None] * len(i)
+                yield batch(np.minimum(u, v), np.maximum(u, v), lcp, none, none, none, pid)
+                full = np.unique(node[done:upto][dense[done:upto]])
+                yield batch(full, [None] * len(full), [None] * len(full), [None] * len(full), np.full(len(full), -1), [None] * len(full), pid)
+            if b is not None:
+                cut = max(0, upto - span)
+                kept, done = tuple(x[cut:] for x in kept), upto - cut
+        m = min(at, span)
+        new = [len(node) - m + i for i in range(m) if at - m + i >= span]  # the others went out as first rows
+        yield batch(node[new], [None] * len(new), [None] * len(new), [at - len(node) + i for i in new], tree[new], [keys[i].tobytes() for i in new], pid)
+        yield batch([at], [-1], [None], [None], [None], [None], pid)  # rows of this partition
 
     return run
 
 
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
 def _seam(depth: int, reach: int, levels: int):
+    """Candidates across a partition's start, and the dense nodes around it."""
+
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by("rank")
         rank, node, tree, start = (t.column(c).to_numpy() for c in ("rank", "node", "tree", "start"))
         keys = np.frombuffer(b"".join(t.column("key").to_pylist()), ">u2").reshape(-1, levels)
-        out: list = []
-        for lag in range(1, min(reach, len(node) - 1) + 1):
-            x, y = slice(0, len(node) - lag), slice(lag, len(node))
-            lcp = np.where((tree[x] == tree[y]) & (rank[x] < start[x]) & (rank[y] >= start[y]) & (rank[y] - rank[x] <= reach), _common(keys[x], keys[y]), 0)
-            hit = lcp >= depth
-            out += zip(np.minimum(node[x], node[y])[hit].tolist(), np.maximum(node[x], node[y])[hit].tolist(), lcp[hit].tolist(), strict=True)
-            full = hit & (rank[y] - rank[x] == reach)  # there may be more beyond the reach
-            out += ((i, None, None) for i in np.unique(np.concatenate([node[x][full], node[y][full]])).tolist())
-        a, b, lcp = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "lcp": pa.array(lcp, pa.int32())})
+        i, j, lcp, dense = _regions(tree, keys, depth, reach, 0, len(node))
+        across = (rank[i] < start[i]) & (rank[j] >= start[j])
+        u, v = node[i[across]], node[j[across]]
+        full = np.unique(node[dense])
+        a = pa.array([*np.minimum(u, v).tolist(), *full.tolist()], pa.int64())
+        b = pa.array([*np.maximum(u, v).tolist(), *[None] * len(full)], pa.int64())
+        return pa.table({"a": a, "b": b, "lcp": pa.array([*lcp[across].tolist(), *[None] * len(full)], pa.int32())})
 
     return run
 
 
 def forest_candidates(nodes: DataFrame, scratch: Scratch, trees: int = TREES, levels: int = LEVELS, depth: int = DEPTH, reach: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
     """(a, b, score), the candidate pairs of ``nodes`` (node, sig), the score being the sum of their common prefixes;
-    and (node), those in regions that are denser than the reach."""
+    and (node), those in dense regions."""
     rows = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig", "node")
     rows = rows.select("tree", F.expr(f"substring(sig, tree * {2 * levels} + 1, {2 * levels})").alias("key"), "node")
     order = ["tree", "key", "node"]
@@ -151,11 +177,11 @@ def forest_candidates(nodes: DataFrame, scratch: Scratch, trees: int = TREES, le
     for pid in sorted(counts):
         starts[pid] = at
         at += counts[pid]
-    near, pids = [], sorted(counts)
+    near, pids, span = [], sorted(counts), reach + 1
     for i, pid in enumerate(pids):
         for step in (-1, 1):
             j = i + (step > 0)
-            while 0 < j < len(pids) and starts[pid] - reach <= starts[pids[j]] <= starts[pid] + counts[pid] + reach:
+            while 0 < j < len(pids) and starts[pid] - span <= starts[pids[j]] <= starts[pid] + counts[pid] + span:
                 near.append((pid, starts[pid], starts[pids[j]]))
                 j += step
             if step < 0 and i > 0 and not any(n[0] == pid and n[2] == starts[pid] for n in near):
@@ -165,7 +191,7 @@ def forest_candidates(nodes: DataFrame, scratch: Scratch, trees: int = TREES, le
         spark = nodes.sparkSession
         seams = spark.createDataFrame(near, "pid int, first long, start long")
         ends = found.where("pos is not null").join(F.broadcast(seams), "pid").select("start", (F.col("first") + F.col("pos")).alias("rank"), F.col("a").alias("node"), "tree", "key")
-        ends = ends.where(f"rank >= start - {reach} and rank < start + {reach}")
+        ends = ends.where(f"rank >= start - {span} and rank < start + {span}")
         across = scratch.save(ends.groupBy("start").applyInArrow(_seam(depth, reach, levels), "a long, b long, lcp int"), "seams")
         pairs = pairs.unionByName(across.where("lcp is not null"))
         full = full.unionByName(across.where("lcp is null").select("a"))
@@ -188,8 +214,8 @@ def _confirm(shingle: int, percent: int):
 
 def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     # Sort-merge at every size: a plan that broadcasts small inputs would tell nothing about large ones.
-    with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
+    with_a = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
     return with_b.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
@@ -200,10 +226,9 @@ def _gram_sets(shingle: int):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 sets = [np.unique(ngrams(hashes.of(lower_words(t)), shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(np.diff(ends).astype(np.int64)), grams], ["doc_id", "digest", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), grams], ["node", "n", "grams"])
 
     return run
 
@@ -222,7 +247,7 @@ def _similar(percent: int):
 
 
 def dense_links(sets: DataFrame, comp: DataFrame, merged: Callable[[DataFrame, DataFrame, str], DataFrame], scratch: Scratch, percent: int) -> DataFrame:
-    """The components ``comp`` (node, component), joined until no two hold similar ones of ``sets`` (digest, node, n, grams).
+    """The components ``comp`` (node, component), joined until no two hold similar ones of ``sets`` (node, n, grams).
 
     ``merged`` joins components by links (a, b), and writes them by a name.
 
@@ -232,43 +257,41 @@ def dense_links(sets: DataFrame, comp: DataFrame, merged: Callable[[DataFrame, D
     largest component are held against all of other components. Lengths and places rule out pairs as in ``line_dedup``.
     """
     least = F.floor((F.col("n") * percent + 99) / 100)
-    of = lambda comp: comp.select("node", F.col("component").alias("_c"))
-    known = scratch.save(sets.select("digest", "node", "n").join(of(comp).hint("merge"), "node", "left").select("digest", "n", "node", F.coalesce("_c", "node").alias("component")), "dense-known")
-    rows = sets.select("digest", "grams").join(known.hint("merge"), "digest").select("digest", "n", "node", "component", F.explode("grams").alias("gram"))
+
+    def placed(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        of = comp.select(F.col("node").alias("_node"), F.col("component").alias("_c")).hint("merge")
+        return rows.join(of, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("_c", "node")).drop("_node", "_c")
+
+    rows = placed(sets, comp).select("node", "n", "component", F.explode("grams").alias("gram"))
     # Which shingles more than one component has, and how many sets.
     counts = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     counts = scratch.save(counts.select("gram", "k"), "dense-counts")
-    mine = rows.select("digest", "n", "node", "gram").join(counts.hint("merge"), "gram")
-    mine = mine.groupBy("digest").agg(F.first("n").alias("n"), F.first("node").alias("node"), F.array_sort(F.collect_list(F.struct("k", "gram"))).alias("order"))
+    mine = rows.select("n", "node", "gram").join(counts.hint("merge"), "gram")
+    mine = mine.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "gram"))).alias("order"))
     mine = mine.withColumn("m", F.size("order")).withColumn("length", (F.col("m") - least + 1).cast("int")).where("length > 0")
-    prefixes = scratch.save(mine.select("digest", "n", "m", "node", F.posexplode(F.expr("transform(slice(order, 1, length), x -> x.gram)")).alias("place", "gram")), "dense-prefixes")
-
-    def placed(comp: DataFrame, name: str) -> DataFrame:
-        return scratch.save(prefixes.join(of(comp).hint("merge"), "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c"), name)
+    prefixes = scratch.save(mine.select("node", "n", "m", F.posexplode(F.expr("transform(slice(order, 1, length), x -> x.gram)")).alias("place", "gram")), "dense-prefixes")
 
     def pairs(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
         n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place")
         room = F.least(i, j) + 1 + F.least(F.col("a.m") - i - 1, F.col("b.m") - j - 1)
         may = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m)) & (F.col("a.component") != F.col("b.component"))
         found = a.alias("a").join(b.alias("b").hint("merge"), "gram").where(may)
-        return scratch.save(found.select(F.least("a.digest", "b.digest").alias("x"), F.greatest("a.digest", "b.digest").alias("y")).distinct(), name)
+        return scratch.save(found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), name)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda d, v, g: sets.select(F.col("digest").alias(d), F.col("node").alias(v), F.col("grams").alias(g)).hint("merge")
-        both = pairs.join(side("x", "a", "ga"), "x").join(side("y", "b", "gb"), "y").select("a", "b", "ga", "gb")
+        side = lambda end: sets.select(F.col("node").alias(end), F.col("grams").alias(f"g{end}")).hint("merge")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb")
         return scratch.save(both.mapInArrow(_similar(percent), "a long, b long"), name)
 
-    at = placed(comp, "dense-placed-1")
-    first = at.groupBy("gram").agg(F.min(F.struct("node", "digest", "n", "m", "place", "component")).alias("e"), F.count("*").alias("k")).where("k > 1").select("gram", "e.*")
+    at = scratch.save(placed(prefixes, comp), "dense-placed-1")
+    first = at.groupBy("gram").agg(F.min(F.struct("node", "n", "m", "place", "component")).alias("e"), F.count("*").alias("k")).where("k > 1").select("gram", "e.*")
     tried = pairs(at, first, "dense-pairs-1")
     comp = merged(comp, verified(tried, "dense-links-1"), "dense-1")
-    at = placed(comp, "dense-placed-2")
+    at = scratch.save(placed(prefixes, comp), "dense-placed-2")
     sizes = at.groupBy("gram", "component").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
     at = scratch.save(at.join(sizes.where("parts > 1").hint("merge"), "gram"), "dense-open")
-    more = pairs(at.where("component != main").drop("main", "parts"), at.drop("main", "parts"), "dense-pairs-2").join(tried, ["x", "y"], "left_anti")
-    comp = merged(comp, verified(more, "dense-links-2"), "dense-2")
-    scratch.drop("dense-known", "dense-counts", "dense-prefixes", "dense-placed-1", "dense-placed-2", "dense-open", "dense-pairs-1", "dense-pairs-2", "dense-links-1", "dense-links-2")
-    return comp
+    more = pairs(at.where("component != main").drop("main", "parts"), at.drop("main", "parts"), "dense-pairs-2").join(tried, ["a", "b"], "left_anti")
+    return merged(comp, verified(more, "dense-links-2"), "dense-2")
 
 
 def _agreeing(least: float):
@@ -282,60 +305,64 @@ def _agreeing(least: float):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, trees: int = TREES, levels: int = LEVELS, depth: int | None = None, reach: int = NEIGHBOURS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, tid (a hash of the text).
 
     Two documents are linked if their shingle sets' Jaccard similarity is at least ``percent`` / 100. A missing or
-    empty text has no shingles and no link. Rows with one doc_id and different texts are judged each for itself; a
-    missing doc_id can't be linked: its component_id is null and it is kept. Other columns, whatever their names, are not read.
-    The depth follows from the threshold unless given.
+    empty text has no shingles and no link. Rows with one doc_id and different texts are judged each for itself, and
+    rows that repeat each other alike; a missing doc_id can't be linked: its component_id is null and it is kept.
+    Other columns, whatever their names, are not read. The depth follows from the threshold unless given.
     """
     depth = _depth(percent, trees, levels) if depth is None else depth
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("tid", F.xxhash64("text"))
     scratch = Scratch(docs.sparkSession, "near-dup")
-    sketch = scratch.save(docs.mapInArrow(_sketcher(shingle, trees * levels), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")
-    reps = scratch.save(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "nodes")
+    sketch = scratch.save(docs.mapInArrow(_sketcher(shingle, trees * levels), "doc_id long, tid long, n_shingles long, digest binary, sig binary"), "sketch")
+    # A node for each set of shingles; it is numbered once, when the table is written.
+    reps = sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "tid")).alias("of"), F.min("sig").alias("sig"))
+    reps = scratch.save(reps.select("digest", "of.doc_id", "of.tid", "sig", F.monotonically_increasing_id().alias("node")), "nodes")
     cand, dense = forest_candidates(reps.select("node", "sig"), scratch, trees, levels, depth, reach)
-    cand, dense = scratch.save(cand, "candidates"), scratch.save(dense, "dense-0")
+    cand, dense = scratch.save(cand, "candidates"), scratch.save(dense, "dense")
     scratch.drop("neighbours", "seams")
-    ends = cand.select(F.col("a").alias("doc_id")).unionByName(cand.select(F.col("b").alias("doc_id"))).distinct()
-    texts = scratch.save(docs.join(ends.hint("merge"), "doc_id", "left_semi"), "texts")
-    # Round one: each node's best candidate among the smaller ids, and among the larger ones.
+    ends = cand.select(F.col("a").alias("node")).unionByName(cand.select(F.col("b").alias("node"))).distinct()
+    asked = reps.select("node", "doc_id", "tid").join(ends.hint("merge"), "node", "left_semi")
+    texts = scratch.save(docs.join(asked.hint("merge"), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid", "node"]).select("node", "text"), "texts")
+    # Round one: each node's best candidate among the smaller numbers, and among the larger ones.
     best = cand.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")).select("a", "b")
     best = best.unionByName(cand.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b")).select("a", "b")).distinct()
     first = scratch.save(_links(best, texts, shingle, percent), "links-1")
     comp = scratch.save(connected_components(first, scratch, "cc-1"), "components-1")
     # Round two: every other candidate that would still join two components and may be similar enough.
     slack = 6 * (percent * (100 - percent) / 1e4 / (trees * levels)) ** 0.5
-
-    def more_links(cand: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-        of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        sig = lambda end: nodes.select(F.col("node").alias(end), F.col("sig").alias(f"s{end}"))
-        open_ = cand.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
-        open_ = open_.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing(percent / 100 - slack), "a long, b long")
-        open_ = scratch.save(open_.join(best, ["a", "b"], "left_anti").distinct(), "open")
-        return scratch.save(_links(open_, texts, shingle, percent), name)
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")).hint("merge")
+    sig = lambda end: reps.select(F.col("node").alias(end), F.col("sig").alias(f"s{end}")).hint("merge")
+    open_ = cand.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
+    open_ = open_.join(best, ["a", "b"], "left_anti")
+    open_ = open_.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing(percent / 100 - slack), "a long, b long")
+    second = scratch.save(_links(scratch.save(open_, "open"), texts, shingle, percent), "links-2")
 
     def merged(comp: DataFrame, links: DataFrame, name: str) -> DataFrame:
         stars = comp.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         return scratch.save(connected_components(stars.unionByName(links), scratch, f"cc-{name}"), f"components-{name}")
 
-    second = more_links(cand, reps, "links-2")
     comp = merged(comp, second, "2")
-    # Where regions were denser than the reach, an exact join of their documents.
+    # In dense regions, an exact join of their documents.
     if dense.limit(1).count():
-        own = texts.join(dense.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-        sets = own.mapInArrow(_gram_sets(shingle), "doc_id long, digest binary, n long, grams array<long>").where("digest is not null")
-        sets = sets.join(reps.select("digest", "node").hint("merge"), "digest").where("doc_id = node").dropDuplicates(["digest"]).select("digest", "node", "n", "grams")
-        comp = dense_links(scratch.save(sets, "dense-sets"), comp, merged, scratch, percent)
-        scratch.drop("dense-sets")
-    scratch.drop("candidates", "texts", "neighbours", "open", "links-1", "links-2", "components-1")
-    of_node = scratch.save(reps.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "classes")
-    out = sketch.select("doc_id", "n_shingles", "digest").join(of_node, "digest", "left")
+        own = texts.join(dense.hint("merge"), "node", "left_semi")
+        sets = scratch.save(own.mapInArrow(_gram_sets(shingle), "node long, n long, grams array<long>"), "dense-sets")
+        comp = dense_links(sets, comp, merged, scratch, percent)
+    # A component's id is its least doc_id.
+    linked = scratch.save(reps.select("node", "doc_id").join(comp.hint("merge"), "node"), "linked")
+    lows = linked.groupBy("component").agg(F.min("doc_id").alias("low"))
+    lows = linked.join(lows.hint("merge"), "component").select("node", "low")
+    classes = reps.select("digest", "node", "doc_id").join(lows.hint("merge"), "node", "left").select("digest", F.coalesce("low", "doc_id").alias("component_id"))
+    classes = scratch.save(classes, "classes")
+    scratch.keep("sketch", "classes")
+    out = sketch.select("doc_id", "tid", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    return out.select("doc_id", "n_shingles", component).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component, "tid").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "tid")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those whose group holds a smaller doc_id. Of rows that share a doc_id all or none stay."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` without those whose group holds a smaller doc_id. Of rows that share doc_id and text all or none stay."""
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("tid").alias("_tid")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_tid"]), "left_anti")

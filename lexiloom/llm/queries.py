@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).drop("tid")
 
 
 def op2_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
