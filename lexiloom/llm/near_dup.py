@@ -28,6 +28,8 @@ from .common import SHINGLE, Scratch, WordHashes, lower_words, ngrams
 from .components import connected_components
 
 TREES, LEVELS, DEPTH, NEIGHBOURS = 20, 8, 5, 8
+#: Shingles whose leaders a set of a dense region is held against first.
+LEADERS = 8
 #: The largest chance that a sparse pair exactly at the threshold shares ``depth`` values in no tree.
 MISS = 3e-5
 
@@ -252,9 +254,11 @@ def dense_links(sets: DataFrame, comp: DataFrame, merged: Callable[[DataFrame, D
     ``merged`` joins components by links (a, b), and writes them by a name.
 
     A shingle that only one component has can't be shared by two. Of the others each set's rarest are its prefix, as
-    long as it must be for two similar sets to share one. First each set is held against the earliest set of each of
-    its prefix shingles, which joins most of a family. Then, for each shingle, the sets that are not in its
-    largest component are held against all of other components. Lengths and places rule out pairs as in ``line_dedup``.
+    long as it must be for two similar sets to share one. First each set is held against the leaders of its ``LEADERS``
+    rarest shingles: of the sets with a shingle, that with the fewest shingles of its own, as an original has which
+    others are edited from. This joins most of a family at a cost that is linear in it. Then, for each shingle, the sets
+    that are not in its largest component are held against all of other components, so that no link between
+    components is left. Lengths and places rule out pairs as in ``line_dedup``.
     """
     least = F.floor((F.col("n") * percent + 99) / 100)
 
@@ -284,8 +288,9 @@ def dense_links(sets: DataFrame, comp: DataFrame, merged: Callable[[DataFrame, D
         return scratch.save(both.mapInArrow(_similar(percent), "a long, b long"), name)
 
     at = scratch.save(placed(prefixes, comp), "dense-placed-1")
-    first = at.groupBy("gram").agg(F.min(F.struct("node", "n", "m", "place", "component")).alias("e"), F.count("*").alias("k")).where("k > 1").select("gram", "e.*")
-    tried = pairs(at, first, "dense-pairs-1")
+    leader = F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "node", "n", "m", "place", "component")).alias("e")
+    first = at.groupBy("gram").agg(leader, F.count("*").alias("k")).where("k > 1").select("gram", "e.*")
+    tried = pairs(at.where(F.col("place") < LEADERS), first, "dense-pairs-1")
     comp = merged(comp, verified(tried, "dense-links-1"), "dense-1")
     at = scratch.save(placed(prefixes, comp), "dense-placed-2")
     sizes = at.groupBy("gram", "component").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
