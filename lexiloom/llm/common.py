@@ -62,9 +62,13 @@ class Scratch:
             self.held = [x for x in self.held if x != name]
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
-        if tidy:  # Spark deletes the shuffle files of a finished query once its plan is garbage, and learns that by collecting
-            gc.collect()
-            jvm.System.gc()
+        if tidy:
+            self.tidy()
+
+    def tidy(self) -> None:
+        """Let go of the shuffle files of finished queries: Spark deletes them once their plans are garbage, and learns that by collecting."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
     def keep(self, *names: str) -> None:

@@ -54,11 +54,12 @@ def line_sets(docs: DataFrame, ranks: list[int], percent: int) -> DataFrame:
     """
     known = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
     lines = docs.where("doc_id is not null").select("doc_id", "tid", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.where(F.regexp_like("line", F.lit(r"[^\x20\x09-\x0D]")))
     code = lambda h: F.shiftleft(F.get(known, F.pmod(h, F.lit(BUCKETS)).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
     lines = lines.select("doc_id", "tid", "line_no", F.sort_array(F.array_distinct(F.transform(_hashes(F.col("line")), code))).alias("all"))
     n = F.size("all")
     length = n - F.floor((n * percent + 99) / 100).cast("int") + 2
-    return lines.where(n > 0).select("doc_id", "tid", "line_no", F.xxhash64("all").alias("set_id"), F.hash("all").alias("check"), n.alias("n"), F.slice("all", F.lit(1), length).alias("codes"))
+    return lines.select("doc_id", "tid", "line_no", F.xxhash64("all").alias("set_id"), F.hash("all").alias("check"), n.alias("n"), F.slice("all", F.lit(1), length).alias("codes"))
 
 
 def numbered(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -107,13 +108,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, s
     asked = pairs.select("id").unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
     asked = sets.select("id", "doc_id", "tid", "line_no").join(asked.hint("merge"), "id", "left_semi")
     asked = asked.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("line_no", "id")).alias("asked"))
-    texts = docs.join(asked.hint("merge"), ["doc_id", "tid"]).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("a"))
-    lines = texts.select(F.col("a.id").alias("id"), F.struct("doc_id", "a.line_no").alias("place"), F.get("lines", F.col("a.line_no")).alias("line")).dropDuplicates(["id"])
+    texts = docs.join(asked.hint("merge"), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"]).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("a"))
+    lines = texts.select(F.col("a.id").alias("id"), F.struct("doc_id", "a.line_no").alias("place"), F.get("lines", F.col("a.line_no")).alias("line"))
     lines = scratch.save(lines.select("id", "place", F.array_distinct(_hashes(F.col("line"))).alias("words")), f"words-{name}")
     theirs = lines.select(F.col("id").alias("earlier"), F.col("place").alias("before"), F.col("words").alias("others"))
     rows = pairs.join(lines.hint("merge"), "id").join(theirs.hint("merge"), "earlier").where("before < place")  # one place in two texts of one id is neither
     both = F.size(F.array_intersect("words", "others"))
-    return scratch.save(rows.where(100 * both >= percent * (F.size("words") + F.size("others") - both)).select("id").distinct(), f"similar-{name}")
+    found = scratch.save(rows.where(100 * both >= percent * (F.size("words") + F.size("others") - both)).select("id").distinct(), f"similar-{name}")
+    scratch.drop(f"words-{name}")
+    return found
 
 
 def similar_sets(sets: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -123,6 +126,7 @@ def similar_sets(sets: DataFrame, docs: DataFrame, scratch: Scratch, percent: in
     # A word of one set only can't bring two together.
     known = scratch.save(rows.groupBy("code").agg(F.min("x").alias("x"), F.count("*").alias("k")).where("k > 1"), "earliest")
     tried = scratch.save(_pairs(rows, known, ["code"], percent), "pairs-1")
+    scratch.tidy()
     settled = _similar(tried, sets, docs, percent, scratch, "1")
     # Open sets against all that share a prefix word with them; pairs that were tried need no second look.
     left = sets.join(settled.select("id", F.lit(True).alias("settled")).hint("merge"), "id", "left").select("id", "n", "codes", F.col("settled").isNull().alias("open"))
@@ -134,6 +138,7 @@ def similar_sets(sets: DataFrame, docs: DataFrame, scratch: Scratch, percent: in
     two = scratch.save(two, "hot")
     more = _pairs(one.where("open").drop("open"), one.drop("open"), ["code"], percent).unionByName(_pairs(two.where("open").drop("open"), two.drop("open"), ["code", "second"], percent))
     more = scratch.save(more.distinct().join(tried, ["id", "earlier"], "left_anti"), "pairs-2")
+    scratch.drop("cold", "hot")
     return settled.unionByName(_similar(more, sets, docs, percent, scratch, "2"))
 
 
@@ -150,6 +155,7 @@ def remove_similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.save(line_sets(docs, word_ranks(docs), percent), "lines")
     sets = numbered(lines, scratch)
+    scratch.tidy()
     gone = similar_sets(sets, docs, scratch, percent).select("id", F.lit(True).alias("similar"))
     known = sets.join(gone.hint("merge"), "id", "left").select("set_id", "check", "similar", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     out = lines.select("doc_id", "tid", "line_no", "set_id", "check").join(scratch.save(known, "known").hint("merge"), ["set_id", "check"])
