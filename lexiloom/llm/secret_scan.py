@@ -115,9 +115,9 @@ def _holds(query: Query, present) -> F.Column:
 
 def trigram_index(docs: DataFrame, wanted: set[str]) -> DataFrame:
     """(trigram, doc_id, tid): postings of the wanted trigrams, ASCII letters in lower case."""
-    low = F.lower(F.col("text"))
-    found = F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(wanted)]), lambda t: t.isNotNull())
-    return docs.select(F.explode(found).alias("trigram"), "doc_id", "tid")
+    low = docs.select("doc_id", "tid", F.lower("text").alias("low"))
+    found = F.filter(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted(wanted)]), lambda t: t.isNotNull())
+    return low.select("doc_id", "tid", found.alias("found")).select("doc_id", "tid", F.explode("found").alias("trigram"))
 
 
 def candidates(docs: DataFrame, queries: dict[str, Query]) -> DataFrame:
