@@ -5,8 +5,9 @@ responses within each 256-byte chunk (chunks overlap by half and cover the whole
 hidden layer, the largest hidden values over all chunks are combined into one probability. Short documents are one
 chunk; how full a chunk is counts as one more input.
 
-The model is fitted on the driver on at most ``sample`` labelled rows, picked by a hash of their id, with a fixed
-number of steps, so fitting costs the same at any corpus size; scoring is one narrow pass over all texts.
+The model is fitted on the driver on at most ``sample`` labelled rows of ``SAMPLE_BYTES`` or less each, picked by a
+hash of their id, with a fixed number of steps, so fitting costs the same at any corpus size; scoring is one narrow
+pass over all texts, whole.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 DIM, BLOCK, TAPS, FILTERS, HIDDEN, HOP = 8, 4, 3, 32, 16, 128
 SAMPLE, STEPS, BATCH, THRESHOLD = 4096, 800, 24, 0.3
+#: Longer texts take no part in fitting, which bounds what the driver holds.
+SAMPLE_BYTES = 1 << 16
 #: Bytes that are scored at once; a longer document is taken alone.
 AT_ONCE = 1 << 18
 
@@ -151,16 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int =
     order = F.md5(F.col("doc_id").cast("string"))
     marks = marks.orderBy(order, "doc_id").limit(sample)  # the documented bound of the fitting sample
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
+    rows = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return fit([(r.text or "").encode() for r in rows], [r.y for r in rows], steps)
 
 
-def classify(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """All rows and columns of ``docs`` plus ``score`` and ``predicted``; columns of these names are replaced.
-
-    The score depends on the whole text alone; a missing text counts as empty.
-    """
+def scores(text, model: Model | None) -> F.Column:
+    """The score of each text as a column; a missing text counts as empty."""
 
     @F.pandas_udf("double")
     def of(text):
@@ -168,5 +170,14 @@ def classify(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD)
 
         return pd.Series(score(model, [(t or "").encode() for t in text]))
 
-    out = docs.withColumn("score", of(F.col("text").cast("string")))
+    return of(text.cast("string"))
+
+
+def classify(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """All rows and columns of ``docs`` plus ``score`` and ``predicted``; columns of these names are replaced.
+
+    The score depends on the whole text alone; a missing text counts as empty.
+    """
+    bound_batches(docs.sparkSession)
+    out = docs.withColumn("score", scores(F.col("text"), model))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -162,7 +162,7 @@ select doc_id, size, text_crc32, 'bytes' law, shard::int shard,
   row_number() over (partition by shard order by digest, part, doc_id) - 1 slot, null::int grown_shard from r join s using (digest)""",
     "op7_mixing": r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
-  -ln((('0x' || md5(coalesce(doc_id::varchar, ''))[:12])::bigint + 0.5::double) / 281474976710656::double) / (0.1::double + 0.9::double *
+  -ln((('0x' || md5(coalesce(doc_id::varchar, md5(text), ''))[:12])::bigint + 0.5::double) / 281474976710656::double) / (0.1::double + 0.9::double *
     coalesce(length(regexp_replace(coalesce(text, ''), '[^\p{L}0-9 \n.,]', '', 'g'))::double / nullif(length(coalesce(text, '')), 0)::double, 0)) k from documents),
 s as (select source, sum(size)::bigint source_size, [5.0, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double w from d group by source),
 f as (select *, source_size * 3.0::double / w full_at from s),

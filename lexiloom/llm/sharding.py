@@ -63,13 +63,14 @@ def minimax_cuts(prefix: DataFrame, shards: int, total: int, widest: int, probes
     return [*ends, *[total] * (shards - len(ends))]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``bytes``: shards are contiguous in digest order and their largest is as small as possible. A row's
     size is its text's UTF-8 bytes plus 1; a missing text has none, its checksum is that of an empty text, and it forms
     a group of its own kind. ``slot`` numbers a shard's rows from 0 by digest and then doc_id, missing ids first;
-    repeated rows get neighbouring slots. An empty table gives an empty result. Other columns are not read.
+    repeated rows get neighbouring slots. An empty table gives an empty result. Columns to ``carry`` follow; other columns
+    are not read.
     """
     scratch = Scratch(docs.sparkSession, "shards")
     text = F.col("text").cast("string")
@@ -79,6 +80,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         F.coalesce(F.md5(text), F.lit("")).alias("digest"),
         F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2).alias("part"),
+        *[F.col(f"`{c}`").alias(f"_{c}") for c in carry],
     )
     rows = scratch.save(rows, "rows")
     parts = scratch.save(rows.groupBy("digest", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")), "parts")
@@ -104,4 +106,4 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     parts = scratch.save(parts.join(placed, "digest").select("digest", "part", "shard", (F.col("slot0") + F.col("part0")).alias("slot0")), "placed")
     number = F.row_number().over(Window.partitionBy("digest", "part").orderBy(F.col("doc_id").asc_nulls_first())) - 1
     out = rows.withColumn("number", number).join(parts, ["digest", "part"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("slot0") + F.col("number")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("slot0") + F.col("number")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *[F.col(f"`_{c}`").alias(c) for c in carry])
