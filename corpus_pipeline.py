@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import quality_cnn
-from lexiloom.llm.common import Scratch
+from lexiloom.llm.common import Scratch, bound_batches
 from lexiloom.llm.decontam import drop_contaminated
 from lexiloom.llm.mixing import mix_sources
 from lexiloom.llm.near_dup import drop_near_duplicates
@@ -15,9 +15,9 @@ from lexiloom.llm.sharding import shard
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier, fitted on the labelled ones of these, scores below its threshold."""
-    columns = docs.columns
+    bound_batches(spark)
     model = quality_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_cnn.classify(docs, model).where("predicted = 1").select(*columns)
+    return docs.where(quality_cnn.scores(F.col("text"), model) >= quality_cnn.THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw sources to their target weights; a document that is taken several times comes as several rows."""
-    columns = docs.columns
-    mixed = mix_sources(docs).where("times > 0")
-    return mixed.select(*columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).select(*columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    inner = docs.withColumnsRenamed({c: f"_other_{i}" for i, c in enumerate(others)})  # so that no name clashes
+    mixed = mix_sources(inner).where("times > 0")
+    rows = mixed.select(*inner.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).drop("_time")
+    return rows.withColumnsRenamed({f"_other_{i}": c for i, c in enumerate(others)}).select(*[f"`{c}`" for c in docs.columns])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every row into one of eight shards of near equal size."""
-    return shard(docs, shards=8)
+    """Place every row into one of eight shards of near equal size; text, language and source come along."""
+    return shard(docs, shards=8, carry=("text", "lang", "source"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mixture", mixture), ("sharding", sharding)]
