@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("-f", "--format", default="%s\\n", help="how to write a token")
     p.add_argument("-e", "--eos", default="\\n", help="what to write after a sentence")
     p.add_argument("-L", "--list", action="store_true", help="list the languages")
-    p.add_argument("--model", default=os.environ.get("LEXILOOM_MODEL"), help="model file for the bayes splitter")
+    p.add_argument("--model", default=os.environ.get("LEXILOOM_MODEL"), help="model file for the bayes splitter, or a folder with one for each language")
     p.add_argument("--version", action="version", version=VERSION)
     p.add_argument("input", nargs="?")
     p.add_argument("output", nargs="?", help="folder for the result; printed where there is none")
@@ -45,7 +45,8 @@ def main(argv: list[str] | None = None) -> None:
     if not a.input:
         p.error("an input path is needed")
     spark = SparkSession.builder.getOrCreate()
-    out = formatted(src.read_texts(spark, a.input), a.mode, a.lang, a.format, a.eos, sbd.load_model(spark, a.model) if a.model else None)
+    model = None if not a.model else sbd.load_model(spark, a.model) if a.model.endswith(".mdl") else sbd.load_models(spark, a.model)
+    out = formatted(src.read_texts(spark, a.input), a.mode, a.lang, a.format, a.eos, model)
     out = out.orderBy("path", "para_no").select("value")
     if a.output:
         out.write.option("lineSep", "").text(a.output)

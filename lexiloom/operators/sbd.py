@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import charsets as cs
+from ..sources.scratch import written
 
 # The features of each language's model, in order.
 FEATURES = {
@@ -124,6 +125,20 @@ def contexts(tokens: DataFrame, keys: list[str], order: str = "seq") -> DataFram
     return tokens.select(*keys, F.col(order).alias("seq"), "str", "type", *cols).where(F.col("str") == ".").drop("str", "type")
 
 
+def contexts_in(tokens: Column) -> Column:
+    """The same for an array of tokens of one document, without a shuffle: an array of structs of seq and the neighbours."""
+    at = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i)["str"] == ".")
+
+    def neighbours(i):
+        cols = [i.alias("seq")]
+        for name, by in (("l2", -2), ("l", -1), ("r", 1), ("r2", 2)):
+            token = F.when(i + by >= 0, F.get(tokens, i + by))
+            cols += [F.coalesce(token["str"], F.lit("")).alias(name), F.coalesce(token["type"], F.lit("UNK")).alias(f"{name}_type")]
+        return F.struct(*cols)
+
+    return F.when(F.size(tokens) > 0, F.transform(at, neighbours))
+
+
 def labelled_tokens(sentences: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens of ``sentences`` (keys, sent_no, tok_no, str, type) with ``is_end``: whether the token ends its sentence.
 
@@ -138,12 +153,6 @@ def labelled_tokens(sentences: DataFrame, keys: list[str]) -> DataFrame:
 # --- training -------------------------------------------------------------------------------------------------------
 
 
-def feature_values(candidates: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """(label, feature, value): one row per candidate and feature. candidates: l, l_type, r, r_type, label."""
-    pairs = [F.struct(F.lit(n).alias("feature"), feature(n).alias("value")) for n in features]
-    return candidates.select("label", F.explode(F.array(*pairs)).alias("f")).select("label", "f.*")
-
-
 @dataclass
 class Tables:
     """A model as tables: prior (label, lp), unknown (feature, lp_eos, lp_not), prob (feature, value, lp_eos, lp_not)."""
@@ -153,23 +162,34 @@ class Tables:
     prob: DataFrame
 
 
-def train(candidates: DataFrame, features: tuple[str, ...]) -> Tables:
-    """Count labels (EOS, !EOS), features' values and their number, and take smoothed log2 probabilities."""
-    labels = candidates.groupBy("label").agg(F.count("*").alias("n"))
-    total = labels.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
-    prior = labels.join(F.broadcast(total)).select("label", F.log2((F.col("n") + 0.5) / (F.col("total") + 0.5 * F.col("k"))).alias("lp"))
-    n_eos, n_not = (F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n"))), F.lit(0)).alias(a) for x, a in (("EOS", "all_eos"), ("!EOS", "all_not")))
-    totals = labels.agg(n_eos, n_not)
-    values = feature_values(candidates, features)
+def feature_counts(candidates: DataFrame, features: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, feature, value, n_eos, n_not): how often each value of a feature goes with each label."""
+    pairs = [F.struct(F.lit(n).alias("feature"), feature(n).alias("value")) for n in features]
+    values = candidates.select(*keys, "label", F.explode(F.array(*pairs)).alias("f")).select(*keys, "label", "f.*")
     count = lambda x: F.count(F.when(F.col("label") == x, 1))
-    counts = values.groupBy("feature", "value").agg(count("EOS").alias("n_eos"), count("!EOS").alias("n_not"))
-    sizes = counts.groupBy("feature").agg(F.count("*").alias("v")).join(F.broadcast(totals))  # one row per feature
+    return values.groupBy(*keys, "feature", "value").agg(count("EOS").alias("n_eos"), count("!EOS").alias("n_not"))
+
+
+def model_of(counts: DataFrame) -> Tables:
+    """Smoothed log2 probabilities of counts (feature, value, n_eos, n_not).
+
+    Every candidate has one value of each feature, so the counts of any feature add up to those of the labels.
+    """
+    sizes = counts.groupBy("feature").agg(F.count("*").alias("v"), F.sum("n_eos").alias("all_eos"), F.sum("n_not").alias("all_not"))  # one row per feature
     lp = lambda n, of: F.log2((n + F.lit(0.5)) / (F.col(of) + 0.5 * F.col("v")))
     unknown = sizes.select("feature", lp(F.lit(0), "all_eos").alias("lp_eos"), lp(F.lit(0), "all_not").alias("lp_not"))
     prob = counts.join(F.broadcast(sizes), "feature").select("feature", "value", lp(F.col("n_eos"), "all_eos").alias("lp_eos"), lp(F.col("n_not"), "all_not").alias("lp_not"))
+    labels = sizes.agg(F.max("all_eos").alias("EOS"), F.max("all_not").alias("!EOS"))
+    labels = labels.select(F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"`{x}`").alias("n")) for x in ("EOS", "!EOS")])).alias("x"), (F.col("EOS") + F.col("`!EOS`")).alias("total"), ((F.col("EOS") > 0).cast("int") + (F.col("`!EOS`") > 0).cast("int")).alias("k"))
+    prior = labels.where("x.n > 0").select("x.label", F.log2((F.col("x.n") + 0.5) / (F.col("total") + 0.5 * F.col("k"))).alias("lp"))
     return Tables(prior, unknown, prob)
 
 
+def train(candidates: DataFrame, features: tuple[str, ...]) -> Tables:
+    """Count labels (EOS, !EOS) and features' values in one pass, and take smoothed log2 probabilities."""
+    return model_of(written(feature_counts(candidates, features), "counts"))
+
+
 def score(candidates: DataFrame, keys: list[str], features: tuple[str, ...], model: Tables) -> DataFrame:
     """(keys, lp_eos, lp_not, is_eos) for each candidate; ties end the sentence, and so do overlong tokens.
 
@@ -179,7 +199,7 @@ def score(candidates: DataFrame, keys: list[str], features: tuple[str, ...], mod
     pairs = [F.struct(F.lit(n).alias("feature"), feature(n).alias("value")) for n in features]
     long = (F.octet_length("l") > MAX_BYTES) | (F.octet_length("r") > MAX_BYTES)
     rows = candidates.select(*keys, long.alias("long"), F.explode(F.array(*pairs)).alias("f")).select(*keys, "long", "f.*")
-    few = len(model.prob.select("feature").limit(MAX_VALUES + 1).collect()) <= MAX_VALUES
+    few = len(model.prob.select("feature").limit(MAX_VALUES + 1).collect()) <= MAX_VALUES  # of a table that is written
     prob = F.broadcast(model.prob) if few else model.prob
     unknown = model.unknown.select("feature", F.col("lp_eos").alias("u_eos"), F.col("lp_not").alias("u_not"))
     rows = rows.join(prob, ["feature", "value"], "left").join(F.broadcast(unknown), "feature")
@@ -271,8 +291,8 @@ def dump_model(m: Model) -> bytes:
     return _dump(m, hashlib.sha1(_dump(m, hashlib.sha1(b"foobar").hexdigest())).hexdigest())
 
 
-def parse_model(data: bytes) -> Model:
-    """Read a model file; raises ModelError where it isn't one or is damaged."""
+def parse_model(data: bytes, name: str | None = None, version: str | None = None) -> Model:
+    """Read a model file; raises ModelError where it isn't one, is damaged, or hasn't the name or version asked for."""
     at = 0
 
     def line() -> str:
@@ -296,10 +316,12 @@ def parse_model(data: bytes) -> Model:
     if line() != MAGIC:
         raise ModelError("model file signature mismatch")
     try:
-        name, _ = line().split()
+        own, its_version = line().split()
+        if len(own.encode()) > MAX_NAME or name not in (None, own) or version not in (None, its_version):
+            raise ModelError("model file signature mismatch")
         _, f, _, v = line().split()
         n_features, n_values = int(f), int(v)
-        if n_features > MAX_FEATURES or n_values > MAX_VALUES:
+        if not 0 < n_features <= MAX_FEATURES or not 0 < n_values <= MAX_VALUES:
             raise ModelError("model file is corrupt")
         a, x, b, y = line().split()
         if (a, b) != ("EOS", "!EOS"):
@@ -318,12 +340,27 @@ def parse_model(data: bytes) -> Model:
         raise ModelError("model file is corrupt") from e
     if at != len(data):
         raise ModelError("model file is corrupt")
-    return Model(name, tuple(n for n, _ in heads), (float.fromhex(x), float.fromhex(y)), [p for _, p in heads], values)
+    if any(len(t.encode()) > MAX_BYTES for _, t in values):
+        raise ModelError("model file is corrupt")
+    return Model(own, tuple(n for n, _ in heads), (float.fromhex(x), float.fromhex(y)), [p for _, p in heads], values)
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
-    """Read a model from any place that Spark reads."""
-    rows = spark.read.format("binaryFile").load(path).select("content").limit(2).collect()
+    """Read a model from any place that Spark reads. A file that is named after a model must hold that one."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").limit(2).collect()
     if len(rows) != 1:
         raise ModelError("cannot open model file")
-    return parse_model(bytes(rows[0].content))
+    return _named(rows[0])
+
+
+def load_models(spark: SparkSession, folder: str) -> dict[str, Model]:
+    """The models (*.mdl) of a folder by language, which is what their names begin with: de_news.mdl is for de."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.mdl").load(folder).select("path", "content").orderBy("path").collect()  # bounded: a few languages
+    return {m.name[:2]: m for m in map(_named, rows)}
+
+
+def _named(row) -> Model:
+    model, file = parse_model(bytes(row.content)), row.path.rpartition("/")[2]
+    if file.endswith(".mdl") and file != f"{model.name}.mdl":
+        raise ModelError("model file name mismatch")
+    return model

@@ -55,6 +55,12 @@ def _graphemes(text: pa.Array) -> pa.Array:
     return _lists([None if t is None else _g.graphemes(t) for t in text.to_pylist()], _structs)
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _rule_sentence_sizes(text: pa.Array, lang: pa.Array) -> pa.Array:
+    found = [None if t is None else [len(s) for s in _s.rule_sentences(t, g)] for t, g in zip(text.to_pylist(), lang.to_pylist(), strict=True)]
+    return _lists(found, lambda x: pa.array(x, pa.int32()))
+
+
 @F.arrow_udf(T.ArrayType(TOKENS))
 def _rule_sentences(text: pa.Array, lang: pa.Array) -> pa.Array:
     found = [None if t is None else _s.rule_sentences(t, g) for t, g in zip(text.to_pylist(), lang.to_pylist(), strict=True)]
@@ -85,6 +91,11 @@ def token_types(text: Column | str, lang: Column | str | None = "en") -> Column:
     return _types(_column(text).cast("string"), _language(lang))
 
 
+def sentence_sizes(text: Column | str, lang: Column | str | None = "en") -> Column:
+    """Only the numbers of tokens of the rule-based sentences: a narrow form for counting."""
+    return _rule_sentence_sizes(_column(text).cast("string"), _language(lang))
+
+
 def sentences(text: Column | str, lang: Column | str | None = "en", sbd: str = "bayes", model=None) -> Column:
     """Array of sentences, each an array of tokens.
 
@@ -142,7 +153,7 @@ def _exploded(df: DataFrame, array: Column, text: str, names: list[str]) -> Data
 
 
 def grapheme_table(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per grapheme cluster: seq, str, len, offset and the other columns of ``df``."""
+    """One row per grapheme cluster: seq, str, len, offset and the other columns of ``df``; columns of these names are replaced, here and in the other tables."""
     return _exploded(df, graphemes(text), text, ["seq", "str", "len", "offset"])
 
 

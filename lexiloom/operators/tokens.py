@@ -26,7 +26,9 @@ _OTHER = f"[^{_SINGLES}`0-9{cs.RAW[1:-1]}{cs.HORIZONTAL}{cs.NEWLINE}]"
 
 SYMBOL = rf"{cs.ELLIPSIS}|\?+|!+|``|''|<<|>>|>=|<=|-+|\++|\*+|/+|=+|[{_SINGLES}]"
 PATH = rf"(?:(?:~|\.{{1,2}})/{_N}+{_L}|/(?:{_DIRS})(?:/{_N}+{_L})?)/?"
-URI = rf"(?:[wW]{{3}}\.|[fF][tT][pP]\.){_N}+\.[A-Za-z]+{_N}*|[A-Za-z]+://{_N}+[A-Za-z0-9/]"
+HOST = rf"(?:[wW]{{3}}\.|[fF][tT][pP]\.){_N}+\.[A-Za-z]+{_N}*"
+SCHEME = rf"[A-Za-z]+://{_N}+[A-Za-z0-9/]"
+URI = f"{HOST}|{SCHEME}"
 ABBREVIATION = f"{_A}{{1,2}}(?:{cs.PERIOD}{cs.HYPHEN}?{_A})+"
 _SIGN, _H = f"(?:{cs.MINUS}|\\+)", f"[{cs.HORIZONTAL}]"
 NUMBERS = (
@@ -42,12 +44,46 @@ WORDS = (
     rf"{_L}+{_CHUNK}*{cs.HYPHEN}?\({_A}{_L}*\)(?:{cs.HYPHEN}?{_L}+{_TAIL})?",
     f"{cs.OPEN_DOUBLE}{_L}+{_CHUNK}*{cs.CLOSE_DOUBLE}{cs.HYPHEN}{_L}+{_CHUNK}*",
 )
-EMAIL = rf"{_N}+@{_N}+\.{_A}+"
 UNKNOWN = f"(?:`(?:{_OTHER}+`?)*|(?:{_OTHER}+`?)+)"
 ASSIMILATION = f"{cs.APOSTROPHE}(?i:tis|twas|twill|twere|twould)"
 #: A plain word before a blank or the end, perhaps with one sign between: no other pattern can be longer there.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[,;:!?.]?(?:[ \n]|\Z))")
-_FIRST = re.compile(f"{_L}|°")
+#: The rest of a run of signs in which no path can end, looked at once.
+_HERE = re.compile(rf"(?:~|\.{{1,2}})/{_N}*")
+
+
+class Mail:
+    """E-mail addresses of a text: a run of signs with an @ inside, a sign behind it, and later a period with letters.
+
+    The longest one from a place on ends at the run's last such letters, if an @ stands well before them. Both are
+    looked up once for a run, so a long run costs no more than in proportion.
+    """
+
+    _RUN, _END = re.compile(f"{_N}+"), re.compile(rf"\.{_A}+")
+
+    def __init__(self, text: str):
+        self.text, self.any = text, "@" in text
+        self.run_end = self.at = self.period = self.end = -1
+
+    def match(self, at: int) -> int:
+        """End of the address that begins here; ``at`` itself if there is none. Places must not decrease."""
+        if not self.any:
+            return at
+        if at >= self.run_end:
+            m = self._RUN.match(self.text, at)
+            if not m:
+                return at
+            self.run_end, self.at, self.period = m.end(), -1, -1
+            if "@" in m.group():
+                for x in self._END.finditer(self.text, at, self.run_end):
+                    self.period, self.end = x.span()
+        if self.period < 0:
+            return at
+        if self.at <= at:
+            self.at = self.text.find("@", at + 1, self.run_end)
+            if self.at < 0:
+                self.period = -1
+        return self.end if 0 <= self.at <= self.period - 2 else at
 
 
 class Scanner:
@@ -63,8 +99,8 @@ class Scanner:
         self.elided = rx(f"({prefix}){cs.APOSTROPHE}{_L}") if prefix else None
         self.assimilation = rx(ASSIMILATION) if lang == "en" else None
         self.symbol, self.path, self.uri, self.abbr = rx(SYMBOL), rx(PATH), rx(URI), rx(ABBREVIATION)
-        self.numbers, self.word_kinds, self.email, self.unknown = [rx(n) for n in NUMBERS], [rx(w) for w in WORDS], rx(EMAIL), rx(UNKNOWN)
-        self.run, self.blank = rx(f"{_N}+"), rx(f"{cs.BLANK}+")
+        self.numbers, self.word_kinds, self.unknown = [rx(n) for n in NUMBERS], [rx(w) for w in WORDS], rx(UNKNOWN)
+        self.blank = rx(f"{cs.BLANK}+")
 
     def _word(self, text: str, at: int) -> int:
         """End of the longest word here; after an elided prefix only the prefix itself can be one."""
@@ -80,11 +116,11 @@ class Scanner:
 
     def scan(self, text: str) -> Iterator[tuple[int, int, str]]:
         """(start, end, type) of each token."""
-        at, n, mail = 0, len(text), "@" in text
-        run_end = -1
+        at, n, mail = 0, len(text), Mail(text)
+        no_path = -1  # no path that begins with ~ or periods ends before here
         while at < n:
             if m := _PLAIN.match(text, at):
-                if not mail or "@" not in self.run.match(text, at).group():
+                if mail.match(at) == at:
                     yield at, m.end(), "LATIN"
                     at = m.end()
                     continue
@@ -93,16 +129,16 @@ class Scanner:
                 continue
             best, kind = at, ""
             for name, own in (("SYM", self.symbol), ("PATH", self.path), ("URI", self.uri), ("ABBR", self.abbr), *(("NUM", x) for x in self.numbers), ("WORDS", self.words), ("PREFIX", self.prefix)):
+                if name == "PATH" and at < no_path and text[at] != "/":
+                    continue
                 if own and (m := own.match(text, at)) and m.end() > best:
                     best, kind = m.end(), name
+                elif name == "PATH" and not m and (m := _HERE.match(text, at)):
+                    no_path = m.end()
             if (end := self._word(text, at)) > best:
                 best, kind = end, "LATIN"
-            if mail:
-                if at >= run_end:
-                    run_end = self.run.match(text, at).end()
-                    in_run = "@" in text[at:run_end]
-                if in_run and (m := self.email.match(text, at)) and m.end() > best:
-                    best, kind = m.end(), "EMAIL"
+            if (end := mail.match(at)) > best:
+                best, kind = end, "EMAIL"
             if (m := self.unknown.match(text, at)) and m.end() > best:
                 best, kind = m.end(), "UNK"
             if self.assimilation and (m := self.assimilation.match(text, at)) and m.end() > best:

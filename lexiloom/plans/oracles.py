@@ -6,8 +6,19 @@ engine takes the longest of many patterns.
 
 from __future__ import annotations
 
-from ..functions.lexicons import ABBREVIATIONS
-from ..functions.charsets import VOWELS as _V
+from . import cases
+
+# Fixed values, stated here anew so that a wrong list of the engine's shows.
+_V = "aeiouyáéíóúàèìòùäëïöüâêîôûāēīōūAEIOUYÁÉÍÓÚÀÈÌÒÙÄËÏÖÜÂÊÎÔÛĀĒĪŌŪ"
+ABBREVIATIONS = """
+A Adj Adm Adv Apr Asst Aug B Bart Biol Bldg Brig Bros C Capt Cell Cf Ch Chem Chs Cmdr Co Col Comdr Con Corp
+Cpl D DR Dec Dem Dept Depts Dr Drs E Ed Eds Eg Ens Eq Eqs Etc Ex F Feb Fig Figs G Gen Gov H Hon Hosp I Ie Inc
+Ins Insp J Jan Jr Jul Jun K L Lt M MM MR MRS MS Maj Mar Messrs Miss Mlle Mme Mol Mr Mrs Ms Msgr N No Nos Nov O
+Oct Op Ord P Pfc Ph Prof Pvt Q R Ref Refs Rep Reps Res Rev Rt S Sec Secs Sen Sens Sep Sept Sfc Sgt Sr St Supt
+Surg T U Univ V Viz Vol Vols Vs W X Y Z apr aug cf ch chs dec dept depts ed eds eg eq eqs est et al etc ex feb
+fig figs ie jan jr jul jun mar mi no nos nov oct p pp ref refs repr rev sec secs sep sept trans v viz vol vols
+vs Éd éd
+"""
 
 _A, _L = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[A-Za-zÀ-ÖØ-öø-ÿ0-9]"
 _C = rf"(?:(?:''|-|\.-?|&){_L}+)"
@@ -89,6 +100,31 @@ _FOLDS = ",".join(_model(f"{_FOLD} <> {k}", str(k)) for k in range(5))
 _JUDGED = " union all ".join(f"select * from {_scores(f'{_FOLD} = {k}', str(k))}" for k in range(5))
 _ABBRS = ", ".join(f"('{w}')" for w in ABBREVIATIONS.split())
 
+def _quoted(x) -> str:
+    """A value as SQL; signs that aren't printable go by their numbers."""
+    if not isinstance(x, str):
+        return str(x).lower()
+    parts, plain = [], ""
+    for c in x:
+        if c.isprintable() and ord(c) < 0x300:
+            plain += c.replace("'", "''")
+        else:
+            parts += [f"'{plain}'", f"chr({ord(c)})"]
+            plain = ""
+    return " || ".join(p for p in [*parts, f"'{plain}'"] if p != "''") or "''"
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """A table of fixed rows."""
+    return f"select * from (values {', '.join('(' + ', '.join(map(_quoted, r)) + ')' for r in rows)}) t({columns})"
+
+
+def _case_rows(rows: list[tuple], *of) -> list[tuple]:
+    return [(i, *[r[k] for k in of]) for i, r in enumerate(rows)]
+
+
+_SIGNS = [(c, s in inside) for c, inside, outside in cases.CLASSES for s in (*inside, *outside)]
+
 ORACLES = {
     "token_type_hist": f"{_TOK} select lang, type, count(*) n from tok group by all",
     "token_stream": f"""with m as (select doc_id, regexp_extract_all(text, '{_RX}') m, regexp_split_to_array(text, '{_RX}') p from documents),
@@ -133,5 +169,19 @@ select * from (select lang, str, n, (row_number() over (partition by lang order
     "abbreviation_hits": f"{_CAND} select lang, l, count(*) n from cand join documents using (doc_id) where l in (select * from (values {_ABBRS})) group by all",
     "languages": "select unnest(['de', 'en', 'fr', 'it']) lang",
     "type_names": "select range code, coalesce(['UNK', 'LATIN', 'PREFIX', 'SUFFIX', 'SYM', 'NUM', 'ABBR', 'EMAIL', 'URI', 'PATH'][range + 1], 'UNK') as name from range(12)",
-    "token_micro_batches": f"with tok as ({_tokens('benchmark', 'item_id')}) select item_id, seq::int seq, str, type from tok",
+    "token_micro_batches": f"{_TOK} select doc_id, seq::int seq, str, type from tok",
+    "language_rules": _values(_case_rows(cases.TOKENS, 2), "case_no, tokens"),
+    "sentence_rules": _values(_case_rows(cases.SENTENCES, 2), "case_no, sentences"),
+    "sentence_rules_bayes": _values(_case_rows(cases.BY_CLASSIFIER, 2), "case_no, sentences"),
+    "grapheme_rules": _values(_case_rows(cases.GRAPHEMES, 1), "case_no, clusters"),
+    "character_classes": _values(_case_rows(_SIGNS, 0, 1), "case_no, class, inside"),
+    "feature_rules": _values(_case_rows(cases.FEATURES, 4, 5, 6, 7), "case_no, de, en, fr, it"),
+    "corpus_tokens": _values(cases.CORPUS_TOKENS, "sent_no, tok_no, str, type"),
+    "text_rules": _values(_case_rows(cases.TEXTS, 1, 2, 3, 4, 5), "case_no, visible, assigned, nfkc, folded, prepared"),
+    "model_file": f"{_VAL},{_model('true', 'a')} select feature, value, round(lp_eos, 9) lp_eos, round(lp_not, 9) lp_not from pa where feature in ('l_case', 'l_len')",
+    "cleaned_tokens": f"{_TOK} select type, count(*) n, sum(strlen(str))::bigint bytes from tok group by type",
+    "type_counts_stream": """with e as (select time_bucket(interval '1 hour', ts) as hour, regexp_extract_all(event_type, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]') m, ts from events),
+t as (select hour, unnest(m) str from e)
+select strftime(hour, '%Y-%m-%d %H') as hour, case when regexp_matches(str, '[A-Za-z]') then 'LATIN' else 'UNK' end type, count(*) n from t
+where t.hour + interval '1 hour' <= (select max(ts) - interval '10 minutes' from events) group by all""",
 }

@@ -13,6 +13,8 @@ from ..functions import text as tx
 from ..operators import sbd
 from ..operators import segment as sg
 from ..sources import text as src
+from ..sources.scratch import shared_folder, written
+from . import cases
 
 
 
@@ -100,8 +102,8 @@ def sentences_fsm(spark, sf_dir):
 
 
 def sentence_len_hist(spark, sf_dir):
-    rows = sg.sentence_table(_docs(spark, sf_dir).select("lang", "text"), F.col("lang"), sbd="fsm")
-    return rows.select("lang", F.size("tokens").alias("n_tokens")).groupBy("lang", "n_tokens").agg(F.count("*").alias("n"))
+    rows = _docs(spark, sf_dir).select("lang", F.explode(sg.sentence_sizes("text", F.col("lang"))).alias("n_tokens"))
+    return rows.groupBy("lang", "n_tokens").agg(F.count("*").alias("n"))
 
 
 def sentence_token_conservation(spark, sf_dir):
@@ -124,7 +126,8 @@ def format_sentences(spark, sf_dir):
 def _candidates(spark, sf_dir) -> DataFrame:
     """Periods with their neighbours. No sentence labels are given, so a weak one stands in: a period ends its sentence
     if a word with a capital follows, or nothing."""
-    found = sbd.contexts(_tokens(spark, sf_dir), ["doc_id"])
+    tokens = _docs(spark, sf_dir).select("doc_id", sg.tokens("text", F.col("lang")).alias("tokens"))
+    found = tokens.select("doc_id", F.explode(sbd.contexts_in(F.col("tokens"))).alias("c")).select("doc_id", "c.*")
     end = (F.col("r") == "") | F.regexp_like("r", F.lit(r"^\p{Lu}"))
     return found.withColumn("label", F.when(end, "EOS").otherwise("!EOS"))
 
@@ -143,9 +146,7 @@ def sbd_features(spark, sf_dir):
 
 
 def nb_train_counts(spark, sf_dir):
-    values = sbd.feature_values(_candidates(spark, sf_dir), FEATURES)
-    n = lambda x: F.count(F.when(F.col("label") == x, 1))
-    return values.groupBy("feature", F.col("value").alias("value")).agg(n("EOS").alias("n_eos"), n("!EOS").alias("n_not"))
+    return sbd.feature_counts(_candidates(spark, sf_dir), FEATURES)
 
 
 def nb_train_model(spark, sf_dir):
@@ -157,19 +158,25 @@ def nb_train_model(spark, sf_dir):
     return rows.unionByName(prior.select(F.lit("prior").alias("part"), F.lit("").alias("feature"), F.lit("").alias("value"), "lp_eos", "lp_not"))
 
 
+def _folds(spark, sf_dir) -> DataFrame:
+    """The periods with the fold of their document, written once for training and scoring."""
+    return written(_candidates(spark, sf_dir).select("doc_id", "seq", "l", "l_type", "r", "r_type", "label", sbd.fold(F.col("doc_id")).alias("fold")), "candidates")
+
+
 def _judged(spark, sf_dir) -> DataFrame:
-    """Each period judged by a model that was trained on the documents of the other folds."""
-    rows = _candidates(spark, sf_dir).withColumn("fold", sbd.fold(F.col("doc_id")))
+    """Each period judged by a model that was trained on the documents of the other folds, whose counts are added up."""
+    rows = _folds(spark, sf_dir)
+    counts = written(sbd.feature_counts(rows, FEATURES, ("fold",)), "counts")
     out = None
     for k in range(5):
-        model = sbd.train(rows.where(F.col("fold") != k), FEATURES)
-        own = sbd.score(rows.where(F.col("fold") == k), ["doc_id", "seq", "label"], FEATURES, model)
+        rest = counts.where(F.col("fold") != k).groupBy("feature", "value").agg(F.sum("n_eos").alias("n_eos"), F.sum("n_not").alias("n_not"))
+        own = sbd.score(rows.where(F.col("fold") == k), ["doc_id", "seq", "label"], FEATURES, sbd.model_of(rest))
         out = own if out is None else out.unionByName(own)
     return out
 
 
 def nb_score(spark, sf_dir):
-    rows = _candidates(spark, sf_dir).withColumn("fold", sbd.fold(F.col("doc_id")))
+    rows = _folds(spark, sf_dir)
     model = sbd.train(rows.where("fold != 0"), FEATURES)
     found = sbd.score(rows.where("fold = 0"), ["doc_id", "seq"], FEATURES, model)
     return found.select("doc_id", "seq", F.round("lp_eos", 6).alias("lp_eos"), F.round("lp_not", 6).alias("lp_not"), "is_eos")
@@ -229,14 +236,102 @@ def type_names(spark, sf_dir):
 
 
 def token_micro_batches(spark, sf_dir):
-    """The same tokens by Structured Streaming, drained into a memory table."""
-    docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/benchmark.parquet*")
-    name = f"tokens_{uuid.uuid4().hex}"
-    rows = streaming.token_stream(stream.select("item_id", "text"), "en").select("item_id", "seq", "str", "type")
-    q = rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    """Tokens by Structured Streaming, from files to a Parquet table with a checkpoint in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*")
+    rows = streaming.token_stream(stream, F.col("lang")).select("doc_id", "seq", "str", "type")
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    q = rows.writeStream.format("parquet").option("path", f"{root}/tokens").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/tokens")
+
+
+def _cases(spark, rows: list[tuple], columns: str) -> DataFrame:
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"case_no int, {columns}")
+
+
+def _bars(parts) -> F.Column:
+    return F.array_join(parts, " | ")
+
+
+def language_rules(spark, sf_dir):
+    """Prefixes, suffixes, word lists, abbreviations, paths and all other kinds of tokens, on small texts of each language."""
+    rows = _cases(spark, [c[:2] for c in cases.TOKENS], "lang string, text string")
+    return rows.select("case_no", _bars(F.transform(sg.tokens("text", F.col("lang")), lambda t: F.concat_ws("/", t["str"], t["type"]))).alias("tokens"))
+
+
+def _split(spark, rows, **how):
+    texts = _cases(spark, [c[:2] for c in rows], "lang string, text string")
+    found = F.transform(sg.sentences("text", F.col("lang"), **how), lambda s: F.array_join(F.transform(s, lambda t: t["str"]), " "))
+    return texts.select("case_no", _bars(found).alias("sentences"))
+
+
+def sentence_rules(spark, sf_dir):
+    return _split(spark, cases.SENTENCES, sbd="fsm")
+
+
+def sentence_rules_bayes(spark, sf_dir):
+    """Sentences by a small classifier of one feature, read from its file form."""
+    values = {(0, "LCAP"): (-0.1, -4.0), (0, "LLOW"): (-4.0, -0.1)}
+    model = sbd.parse_model(sbd.dump_model(sbd.Model("en_cases", ("r_case",), (-1.0, -1.0), [(-9.0, -9.0)], values)))
+    return _split(spark, cases.BY_CLASSIFIER, sbd="bayes", model=model)
+
+
+def grapheme_rules(spark, sf_dir):
+    """Hangul, emoji, flags, marks and line ends."""
+    rows = _cases(spark, [c[:1] for c in cases.GRAPHEMES], "text string")
+    return rows.select("case_no", _bars(F.transform(sg.graphemes("text"), lambda t: t["str"])).alias("clusters"))
+
+
+def character_classes(spark, sf_dir):
+    """Signs in and out of each character class."""
+    rows = [(c, s) for c, inside, outside in cases.CLASSES for s in (*inside, *outside)]
+    return _cases(spark, rows, "class string, sign string").select("case_no", "class", tx.in_class("sign", F.col("class")).alias("inside"))
+
+
+def feature_rules(spark, sf_dir):
+    """The features of each language's classifier on a few periods, masks of Unicode categories included."""
+    rows = _cases(spark, [c[:4] for c in cases.FEATURES], "l string, l_type string, r string, r_type string")
+    own = {g: F.array_join(F.array(*[F.replace(sbd.feature(n), F.lit(sbd.SEPARATOR), F.lit("/")) for n in sbd.FEATURES[g]]), "|").alias(g) for g in ("de", "en", "fr", "it")}
+    return rows.select("case_no", *own.values())
+
+
+def corpus_tokens(spark, sf_dir):
+    """A tagged corpus as tokens; blanks within a token and slashes in it are kept."""
+    lines = spark.createDataFrame([("corpus", i, t) for i, t in enumerate(cases.CORPUS)], "path string, line int, text string")
+    return src.parse_corpus(lines).select("sent_no", "tok_no", "str", "type")
+
+
+def text_rules(spark, sf_dir):
+    """Ignorable and unknown code points, compatibility forms, case folding and preparation."""
+    rows = _cases(spark, [c[:1] for c in cases.TEXTS], "text string")
+    return rows.select("case_no", tx.strip_ignorable("text").alias("visible"), tx.strip_unknown("text").alias("assigned"), tx.normalized("text", "NFKC").alias("nfkc"), tx.case_folded("text").alias("folded"), tx.prepared("text").alias("prepared"))
+
+
+def model_file(spark, sf_dir):
+    """A classifier's probabilities after a round trip through its file."""
+    features = ("l_case", "l_len")
+    model = sbd.Model.of(sbd.train(_candidates(spark, sf_dir), features), "own", features)
+    found = sbd.parse_model(sbd.dump_model(model), name="own").tables(spark)
+    return found.prob.select("feature", "value", *[F.round(c, 9).alias(c) for c in ("lp_eos", "lp_not")])
+
+
+def cleaned_tokens(spark, sf_dir):
+    """Tokens as the classifier sees them: compatibility forms without control and ignorable signs; those that change or all alike."""
+    rows = _tokens(spark, sf_dir).select("type", "str", sbd.cleaned("str").alias("clean"))
+    return rows.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.octet_length("clean")).alias("bytes"))
+
+
+def type_counts_stream(spark, sf_dir):
+    """Token types per hour of a stream of events with a watermark, in append mode: windows that are closed by the end."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
+    rows = streaming.type_counts(stream, "ts", "1 hour", "10 minutes")
+    rows = rows.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "type", "n")
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    q = rows.writeStream.format("parquet").option("path", f"{root}/counts").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(rows.schema).parquet(f"{root}/counts")
 
 
 QUERIES = {
@@ -247,5 +342,7 @@ QUERIES = {
         sentence_len_hist, sentence_token_conservation, format_tokens, format_sentences, sbd_candidates, sbd_features,
         nb_train_counts, nb_train_model, nb_score, nb_eval, sentences_bayes, type_rollup_by_lang, top_tokens, vocab_except,
         vocab_intersect, abbreviation_hits, languages, type_names, token_micro_batches,
+        language_rules, sentence_rules, sentence_rules_bayes, grapheme_rules, character_classes, feature_rules, corpus_tokens, text_rules,
+        model_file, cleaned_tokens, type_counts_stream,
     )
 }
