@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -83,6 +84,46 @@ def test_classifier_learns_and_covers_whole_texts():
     assert quality_cnn.score(m, good[:5] + [b""]) == pytest.approx(alone, abs=1e-5)
 
 
+def plain_score(m, text):
+    """The network spelled out: filters of 12 bytes in steps of 4, chunks of 256 bytes in steps of 128."""
+    size = len(text)
+    hops = (size + 8) // 128 + 1
+    data = list(text) + [256] * (hops * 128 - size + 8)
+    response = []
+    for at in range(0, hops * 128, 4):
+        y = m["bias"].astype(float).copy()
+        for j in range(3):
+            block = np.concatenate([m["bytes"][data[at + 4 * j + k]] if at + 4 * j + k < hops * 128 else m["bytes"][256] for k in range(4)])
+            y = y + block @ m["filters"][:, 32 * j : 32 * (j + 1)]
+        response.append(np.maximum(y, 0) if data[at] != 256 else np.zeros(32))
+    hidden = []
+    for k in range(max(1, hops - 1)):
+        top = np.max(response[32 * k : 32 * (k + 2)], axis=0)
+        x = np.append(top, min(256, size - 128 * k) / 256)
+        hidden.append(np.maximum(0, x @ m["hidden"] + m["hidden_bias"]))
+    return 1 / (1 + math.exp(-(np.max(hidden, axis=0) @ m["out"] + m["out_bias"][0])))
+
+
+def test_scores_are_those_of_the_plain_network():
+    r = random.Random(3)
+    m = quality_cnn.new_model(4)
+    for k in ("bias", "hidden_bias"):
+        m[k] += np.random.default_rng(1).uniform(-0.1, 0.3, m[k].shape).astype(np.float32)
+    texts = [b"", b"a", b"short text", sentence(r, 30).encode(), sentence(r, 47).encode()[:248], b"x" * 120, b"y" * 121, sentence(r, 400).encode(), "é☃".encode() * 70]
+    assert quality_cnn.score(m, texts) == pytest.approx([plain_score(m, t) for t in texts], abs=1e-4)
+
+
+def test_held_out_accuracy(spark):
+    """On the labelled rows that fitting never sees, nearly all are told right and good ones are kept."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = quality_cnn.classify(docs, quality_cnn.train(docs, labels)).join(labels, "doc_id").where(quality_cnn.held_out(F.col("doc_id")))
+    n, right, good, kept = found.agg(F.count("*"), F.sum((F.col("predicted") == F.col("quality")).cast("int")), F.sum("quality"), F.sum((F.col("quality") * F.col("predicted")))).first()
+    assert n > 100 and right >= 0.95 * n and kept >= 0.97 * good
+
+
 def test_classify_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     model = quality_cnn.train(odd, labels, steps=5)
@@ -210,6 +251,17 @@ def test_mix_meets_targets_and_prefers_quality(spark):
     assert not clean or not junk or sum(clean) / len(clean) >= sum(junk) / len(junk)
 
 
+def test_mix_of_rows_that_repeat_or_have_no_id(spark):
+    """Ties of key, id and size are broken row by row."""
+    rows = [(i, "w " * 10, "a") for i in range(100)] + [(None, "w " * 10, "b")] * 100 + [(7, "w " * 10, "c")] * 100
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, want = defaultdict(int), {}
+    for x in got:
+        taken[x.source] += x.size * x.times
+        want[x.source] = x.target
+    assert len(got) == 300 and all(abs(taken[s] - want[s]) <= 10 for s in want)
+
+
 # --- 9 -------------------------------------------------------------------------------------------------------------
 
 
@@ -324,17 +376,22 @@ def test_queries_of_expressions():
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark, tmp_path, odd):
+CLASHING = ["score", "predicted", "size", "source_size", "target", "times", "_time", "digest", "tid", "_gone", "_tid", "row", "part", "slot", "shard", "node", "_c"]
+
+
+def test_pipeline(spark, tmp_path):
     r = random.Random(10)
     good = [(100 + i, sentence(r, r.randint(40, 120)), "en", f"s{i % 4}", 0) for i in range(120)]
     item = sentence(r, 30)
     good[0] = (100, sentence(r, 40) + " " + item, "en", "s0", 0)
     near = good[5][1].split()
     near[-1] = "zz"
-    good += [(400, " ".join(near), "en", "s1", 0), (401, good[7][1], "en", "s2", 0)]
+    good += [(400, " ".join(near), "en", "s1", 0), (401, good[7][1], "en", "s2", 0), (402, sentence(r, 20_000), None, None, None)]
+    good += [good[9], good[9]]  # repeated rows
     bad = [(300 + i, " ".join(w + "!!" for w in sentence(r, 80).upper().split()), "en", "s1", 0) for i in range(40)]
     cols = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame(good + bad + [(500, None, None, None, None), (501, "", "en", None, 0)], cols)
+    docs = spark.createDataFrame(good + bad + [(500, None, None, None, None), (501, "", "en", None, 0), (None, sentence(r, 50), "en", None, 0)], cols)
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in CLASHING})
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(d, int(d < 300 or d >= 400), 0) for d, *_ in good + bad], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
@@ -344,13 +401,25 @@ def test_pipeline(spark, tmp_path, odd):
         out = stage(spark, cur, sf)
         assert out.columns == docs.columns, name
         cur = out.cache()
-        seen.append([(x.doc_id, x.text) for x in cur.collect()])
+        rows = cur.collect()
+        assert all(x[c] == (None if x.doc_id is None else f"{c} {x.doc_id}") for x in rows for c in CLASHING), name
+        seen.append([(x.doc_id, x.text) for x in rows])
     ids = [{x[0] for x in s} for s in seen]
-    assert not any(300 <= d < 340 for d in ids[1]) and {d for d, *_ in good} <= ids[1]
+    assert not any(300 <= d < 340 for d in ids[1] if d is not None) and {d for d, *_ in good} <= ids[1]
     assert ids[1] - ids[2] == {400, 401} and ids[2] - ids[3] == {100}
     assert ids[4] <= ids[3] and len(seen[4]) > 0
     final = corpus_pipeline.run(spark, sf).collect()
-    assert sorted((x.doc_id, x.size) for x in final) == sorted((d, len((t or "").encode()) + 1) for d, t in seen[4])
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1] or "")
+    assert sorted(((x.doc_id, x.text) for x in final), key=key) == sorted(seen[4], key=key)
+    assert all(x.size == len((x.text or "").encode()) + 1 and 0 <= x.shard < 8 for x in final)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, size string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
 
 
 def test_crc_of_a_missing_text_is_that_of_an_empty_one(spark):
