@@ -2,10 +2,11 @@
 
 The benchmark is the query set: it is taken in blocks of bounded size, and each block is one narrow pass over all
 documents, with no shuffle. Within a document, windows as long as each item are fingerprinted, with 64 bits that sum
-the signs of the windows' shingle hashes. A window that shares no shingle with any item of its length has similarity 0
-and needs no fingerprint. Fingerprints are cut into four Hamming blocks: those within ``radius`` of each other agree
-in one block up to a quarter of it, so looking up each block misses none. What is within the radius is verified by
-the similarity of the two shingle multisets.
+the signs of the windows' shingle hashes. A window that holds fewer shingles known from items of its length than a
+match must share can't match and needs no fingerprint. Fingerprints are cut into four Hamming blocks: those within
+``radius`` of each other agree in one block up to a quarter of it, so looking up each block misses none. What is within
+the radius is verified by the similarity of the two shingle multisets. A fingerprint can lie beyond the radius of one
+that matches; so where a window has enough known shingles, the items that these come from are verified, too.
 """
 
 from __future__ import annotations
@@ -58,7 +59,11 @@ class Block:
                 values, at = np.unique(prints[:, j], return_inverse=True)
                 order = np.argsort(at, kind="stable")
                 index.append((values, np.split(order, np.cumsum(np.bincount(at))[:-1])))
-            self.sizes.append((m, [i for i, _ in own], [Counter(g.tolist()) for _, g in own], prints, index, np.unique(np.concatenate([g for _, g in own]))))
+            holders: dict[int, list[int]] = defaultdict(list)
+            for i, (_, g) in enumerate(own):
+                for x in set(g.tolist()):
+                    holders[x].append(i)
+            self.sizes.append((m, [i for i, _ in own], [Counter(g.tolist()) for _, g in own], prints, index, np.unique(np.concatenate([g for _, g in own])), holders))
         grams = [np.array(s[5]) for s in self.sizes]
         self.all_grams = {k: np.unique(np.concatenate([g for g, s in zip(grams, self.sizes, strict=True) if min(s[0], shingle) == k])) for k in {min(s[0], shingle) for s in self.sizes}}
 
@@ -86,31 +91,35 @@ class Block:
             if not len(hits):
                 continue
             signs = None
-            for m, ids, counts, prints, index, own in self.sizes:
-                if min(m, self.shingle) != k:
+            for m, ids, counts, prints, index, own, holders in self.sizes:
+                span = min(m, n) - k + 1  # shingles in a window; a document shorter than the item is one window
+                if min(m, self.shingle) != k or span < 1:
                     continue
                 here = own[np.minimum(np.searchsorted(own, grams[hits]), len(own) - 1)] == grams[hits]
-                if not here.any():
+                need = -(-self.percent * (span + m - k + 1) // (100 + self.percent))
+                if here.sum() < need:
                     continue
-                span = min(m, n) - k + 1  # shingles in a window; a document shorter than the item is one window
-                if span < 1:
+                upto = np.zeros(len(grams) + 1, np.int32)
+                upto[hits[here] + 1] = 1
+                np.cumsum(upto, out=upto)
+                start = np.flatnonzero(upto[span:] - upto[: len(upto) - span] >= need)
+                if not len(start):
                     continue
-                mark = np.zeros(len(grams) + 1, np.int32)
-                np.add.at(mark, np.maximum(0, hits[here] - span + 1), 1)
-                np.add.at(mark, hits[here] + 1, -1)
-                start = np.flatnonzero(np.cumsum(mark[:-1])[: len(grams) - span + 1] > 0)
                 signs = _signs(grams) if signs is None else signs
+                near = defaultdict(set)
                 for w, i in self._near(_prints(signs[start + span] - signs[start]), prints, index):
-                    s = int(start[w])
+                    near[w].add(i)
+                for w, s in enumerate(start.tolist()):
                     seen = Counter(grams[s : s + span].tolist())
-                    both = sum(min(c, counts[i][g]) for g, c in seen.items() if g in counts[i])
-                    union = span + counts[i].total() - both
-                    if 100 * both >= self.percent * union:
-                        if any_only:
-                            return [(ids[i], s, min(m, n), both, union)]
-                        old = best.get((m, i))
-                        if old is None or both * old[4] > old[3] * union:
-                            best[m, i] = (ids[i], s, min(m, n), both, union)
+                    for i in sorted(near[w].union(*[holders[g] for g in seen if g in holders])):
+                        both = sum(min(c, counts[i][g]) for g, c in seen.items() if g in counts[i])
+                        union = span + counts[i].total() - both
+                        if 100 * both >= self.percent * union:
+                            if any_only:
+                                return [(ids[i], s, min(m, n), both, union)]
+                            old = best.get((m, i))
+                            if old is None or both * old[4] > old[3] * union:
+                                best[m, i] = (ids[i], s, min(m, n), both, union)
         return list(best.values())
 
 

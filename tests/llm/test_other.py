@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import corpus_pipeline
 import numpy as np
@@ -296,10 +297,24 @@ def test_contamination(spark, odd, none):
     assert decontam.drop_contaminated(odd, bench).columns == odd.columns and decontam.contaminated(odd, bench).count() == 0
 
 
+def test_contamination_by_several_blocks_and_rare_shingles(spark, monkeypatch):
+    """A benchmark in many blocks; items in which one shingle counts for much, whose fingerprints lie far apart."""
+    r = random.Random(21)
+    items = [sentence(r, n) for n in (8, 9, 30)] + ["a b c d e " * 3 + sentence(r, 50), "x " * 11 + sentence(r, 40)]
+    docs = [sentence(r, 20) + " " + " ".join(items[0].split()[:7]) + " zz", items[1] + " " + items[2], "a b c d e " + sentence(r, 4) + " " + items[3], "x " * 5 + " ".join(items[4].split()[11:]), sentence(r, 5) + " " + items[4]]
+    monkeypatch.setattr(decontam, "benchmark_blocks", partial(decontam.benchmark_blocks, limit=100))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.similarity, x.start_word, x.n_words) for x in decontam.contaminated(df, bench).collect()}
+    want = {(i, j): b for i, d in enumerate(docs) for j, t in enumerate(items) if (b := plain_matches(d, t))}
+    assert got == want and len(want) >= 4
+    assert {x.doc_id for x in decontam.drop_contaminated(df, bench).collect()} == set(range(len(docs))) - {i for i, _ in want}
+
+
 def test_hamming_blocks_miss_nothing_within_the_radius():
     r = random.Random(9)
     block = decontam.Block([(i, sentence(r, 30).encode()) for i in range(50)], 5, 19, 80)
-    _, _, _, prints, index, _ = block.sizes[0]
+    _, _, _, prints, index, _, _ = block.sizes[0]
     probe = prints.copy()
     for p in probe:
         for b in r.sample(range(64), r.randint(0, 30)):
