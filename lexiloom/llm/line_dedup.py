@@ -28,6 +28,8 @@ PERCENT, BUCKETS, HOT = 80, 1 << 16, 64
 _BLANKS = r"[\x20\x09-\x0D]+"
 #: A set's number, size and a word's place in one long, the last two up to a limit from which on the filters let all pass.
 _SIZE, _PLACE = 12, 11
+#: Characters that hold a set's number.
+_FIELD = 20
 
 
 def _hashes(text: Column) -> Column:
@@ -107,9 +109,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, s
     """(id): of the pairs (id, earlier) those whose lines are similar, told by the whole lines."""
     asked = pairs.select("id").unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
     asked = sets.select("id", "doc_id", "tid", "line_no").join(asked.hint("merge"), "id", "left_semi")
-    asked = asked.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("line_no", "id")).alias("asked"))
-    texts = docs.join(asked.hint("merge"), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"]).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("a"))
-    lines = texts.select(F.col("a.id").alias("id"), F.struct("doc_id", "a.line_no").alias("place"), F.get("lines", F.col("a.line_no")).alias("line"))
+    # A document's asked numbers as one row of fields, one for each of its lines, so that each is looked up at once.
+    asked = asked.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list(F.struct("line_no", "id"))).alias("a"))
+    behind = lambda x, i: x["line_no"] - F.coalesce(F.when(i > 0, F.get("a", i - 1)["line_no"]), F.lit(-1))
+    fields = F.array_join(F.transform("a", lambda x, i: F.lpad(x["id"].cast("string"), behind(x, i) * _FIELD, " ")), "").cast("binary")
+    asked = asked.select("doc_id", "tid", fields.alias("fields"))
+    texts = docs.join(asked.hint("merge"), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"])
+    number = lambda i: F.trim(F.substring("fields", i * _FIELD + 1, F.lit(_FIELD)).cast("string")).try_cast("long")
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(number(i).alias("id"), i.alias("line_no"), x.alias("line"))), lambda y: y["id"].isNotNull())
+    lines = texts.select("doc_id", F.explode(lines).alias("a")).select(F.col("a.id").alias("id"), F.struct("doc_id", "a.line_no").alias("place"), F.col("a.line").alias("line"))
     lines = scratch.save(lines.select("id", "place", F.array_distinct(_hashes(F.col("line"))).alias("words")), f"words-{name}")
     theirs = lines.select(F.col("id").alias("earlier"), F.col("place").alias("before"), F.col("words").alias("others"))
     rows = pairs.join(lines.hint("merge"), "id").join(theirs.hint("merge"), "earlier").where("before < place")  # one place in two texts of one id is neither
@@ -160,12 +168,13 @@ def remove_similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = sets.join(gone.hint("merge"), "id", "left").select("set_id", "check", "similar", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     out = lines.select("doc_id", "tid", "line_no", "set_id", "check").join(scratch.save(known, "known").hint("merge"), ["set_id", "check"])
     out = out.where(F.coalesce("similar", F.lit(False)) | (F.struct("doc_id", "line_no") > F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))))
-    gone = scratch.save(out.groupBy("doc_id", "tid").agg(F.collect_set("line_no").alias("gone")), "removed")
+    gone = out.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("line_no")).alias("g"))
+    # One sign for each line, so that each is looked up at once.
+    behind = lambda x, i: x - F.coalesce(F.when(i > 0, F.get("g", i - 1)), F.lit(-1))
+    signs = F.array_join(F.transform("g", lambda x, i: F.lpad(F.lit("1"), behind(x, i), "0")), "").cast("binary")
+    gone = scratch.save(gone.select("doc_id", "tid", F.size("g").cast("long").alias("n_gone"), signs.alias("signs")), "removed")
     scratch.keep("removed")
     rows = docs.join(gone.hint("merge"), ["doc_id", "tid"], "left").withColumn("lines", F.split("text", "\n", -1))
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
-    rows = rows.withColumn("kept", kept)
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    size = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n("lines"))
-    removed = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n("gone"))
-    return rows.select("doc_id", size.alias("n_lines"), removed.alias("n_removed"), F.coalesce(F.array_join("kept", "\n"), F.lit("")).alias("kept_text"))
+    kept = F.filter("lines", lambda x, i: F.coalesce(F.substring("signs", i + 1, F.lit(1)) != F.lit(bytearray(b"1")), F.lit(True)))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long")
+    return rows.select("doc_id", n_lines.alias("n_lines"), F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(kept, "\n"), F.lit("")).alias("kept_text"))
