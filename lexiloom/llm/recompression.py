@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordHashes, mix
 from .repeats import Rolling, chunks, compare_in_buckets, context_batches, find_repeats, in_buckets, occurrence_batch, range_argmin, removed_units, window_batch
 
-WINDOW, ROUNDS, BUCKET = 50, 3, 64
+WINDOW, ROUNDS, BUCKET = 50, 4, 64
 #: Intervals of the anchor's offset by which large buckets are split.
-SIZES = (16, 4, 1)
+CORE = 16
+SIZES = (CORE, 1)
 #: Windows that are compared at once within a task.
 AT_ONCE = 1 << 17
 
@@ -111,13 +112,17 @@ def _occurrences(width: int, rounds: int):
 
 
 def _contexts(width: int):
-    """The hashes of each occurrence's windows."""
+    """The hashes of each occurrence's windows, then those of the words that all windows of a coarse interval share."""
     hashes = WordHashes()
 
     def of(text, asked):
-        roll = Rolling(hashes.of(text.split()))
-        first = [np.arange(a["first"], a["first"] + a["n"]) for a in asked]
-        return [roll.of(f, f + width).tobytes() for f in first]
+        roll, out = Rolling(hashes.of(text.split())), []
+        for a in asked:
+            first = np.arange(a["first"], a["first"] + a["n"])
+            at = CORE * np.arange((a["off"] - a["n"] + 1) // CORE, a["off"] // CORE + 1)
+            core = a["first"] + a["off"] - at
+            out.append(roll.of(first, first + width).tobytes() + roll.of(core, core + max(1, width - CORE + 1)).tobytes())
+        return out
 
     return lambda batches: context_batches(batches, of)
 
@@ -129,7 +134,7 @@ def _earlier(batches):
         n = np.array([r[4] for _, r in buckets])
         number, doc, tid, first = (np.repeat(np.array(x, np.int64), n) for x in ([b for b, _ in buckets], *([r[k] for _, r in buckets] for k in (1, 2, 3))))
         first += np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-        hashes = np.frombuffer(b"".join(r[5] for _, r in buckets), np.uint64)
+        hashes = np.frombuffer(b"".join(r[5][: 8 * r[4]] for _, r in buckets), np.uint64)
         order = np.lexsort((doc, hashes, number))
         turn = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (number[order][1:] != number[order][:-1]))
         least = doc[order][np.maximum.accumulate(np.where(turn, np.arange(len(order)), 0))]
@@ -140,8 +145,13 @@ def _earlier(batches):
 
 
 def _part():
-    """Hashes of some windows; a single window's hash is its key."""
-    return (lambda x, skip, n: F.substring(x, 8 * skip + 1, 8 * n)), lambda at, size: [F.col("bytes")] if size == 1 else []
+    """Hashes of some windows. In a coarse interval the key is the hash of the words that its windows share, at last a window's own."""
+
+    def own(x, off, n, at, skip, size):
+        coarse = F.floor(at / CORE) - F.floor((off - n + 1) / CORE)
+        return [F.substring(x, (8 * (n + coarse) + 1).cast("int"), F.lit(8)) if size == CORE else F.substring(x, 8 * skip + 1, F.lit(8))]
+
+    return (lambda x, skip, n: F.substring(x, 8 * skip + 1, 8 * n)), own
 
 
 def _cut(width: int):

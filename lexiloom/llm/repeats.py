@@ -115,8 +115,9 @@ def find_repeats(docs: DataFrame, occurrences: Callable, compare: Callable[[Data
     covered = members.where(later).select("doc_id", "tid", "first", "n")
     # First members, and those that the rule doesn't call later although they aren't first.
     rest = cls.select("sym", "least.*").unionByName(members.where(~later & (F.struct("doc_id", "first") > F.struct("least.doc_id", "least.first"))).select("sym", "doc_id", "first", "tid", "n", "off"))
-    windows = compare(rest.join(shared, "sym", "left_semi"), docs)
+    rest = scratch.save(rest.join(shared, "sym", "left_semi"), "rest")
     scratch.drop("classes", "shared", "several", "occurrences")
+    windows = compare(rest, docs)
     found = covered.unionByName(windows).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     found = scratch.save(found, "found")
     scratch.keep("found")
@@ -135,10 +136,10 @@ def compare_in_buckets(rest: DataFrame, docs: DataFrame, contexts: Callable, sol
     contexts: reads texts with their occurrences and gives each occurrence the bytes that its comparison needs. solve:
     finds the repeated windows in partitions sorted by key; keys with up to ``bucket`` occurrences go there. part: the
     two functions: the bytes of windows ``skip`` to ``skip`` + ``n`` of an occurrence, and what a key is made of besides
-    the old key and the interval, given the interval's start and size. sizes: the intervals' sizes from coarse to 1,
-    each a divisor of the one before.
+    the old key and the interval, given the occurrence's bytes, offset and number of windows, the interval's start, the
+    windows to skip and the size. sizes: the intervals' sizes from coarse to 1, each a divisor of the one before.
     """
-    rows = scratch.save(texts_of(scratch.save(rest, "rest"), docs).mapInArrow(contexts, "key long, doc_id long, tid long, first int, n int, bytes binary, off int"), "contexts-0")
+    rows = scratch.save(texts_of(rest, docs).mapInArrow(contexts, "key long, doc_id long, tid long, first int, n int, bytes binary, off int"), "contexts-0")
     scratch.drop("rest")
     done = []
     for k, size in enumerate([*sizes, None]):
@@ -169,8 +170,9 @@ def _parts(rows: DataFrame, part: tuple[Callable, Callable], size: int) -> DataF
     cut = rows.withColumn("at", F.explode(F.sequence(F.floor(low / size).cast("int"), F.floor(F.col("off") / size).cast("int")))).withColumn("at", F.col("at") * size)
     skip = F.col("off") - F.least(F.col("at") + (size - 1), F.col("off"))
     cut = cut.withColumn("skip", skip).withColumn("m", F.col("off") - F.greatest("at", low) - F.col("skip") + 1)
-    cut = cut.select("key", "at", "doc_id", "tid", (F.col("first") + F.col("skip")).alias("first"), F.col("m").alias("n"), (F.col("off") - F.col("skip")).alias("off"), part[0](F.col("bytes"), F.col("skip"), F.col("m")).alias("bytes"))
-    return cut.select(F.xxhash64("key", "at", *part[1](F.col("at"), size)).alias("key"), F.xxhash64("off", "bytes").alias("ctx"), "doc_id", "tid", "first", "n", "bytes", "off")
+    own = part[1](F.col("bytes"), F.col("off"), F.col("n"), F.col("at"), F.col("skip"), size)
+    cut = cut.select(F.xxhash64("key", "at", *own).alias("key"), "doc_id", "tid", (F.col("first") + F.col("skip")).alias("first"), F.col("m").alias("n"), (F.col("off") - F.col("skip")).alias("off"), part[0](F.col("bytes"), F.col("skip"), F.col("m")).alias("bytes"))
+    return cut.select("key", F.xxhash64("off", "bytes").alias("ctx"), "doc_id", "tid", "first", "n", "bytes", "off")
 
 
 def in_buckets(batches, solve: Callable[[list[tuple]], pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:

@@ -142,7 +142,7 @@ def _factors(width: int, both: bool):
 def _part(width: int):
     """Bytes of some windows; of windows whose anchors lie in an interval, the bytes that all of them share."""
     bytes_ = lambda x, skip, n: F.substring(x, skip + 1, n + (width - 1))
-    return bytes_, lambda at, size: [F.substring(F.col("bytes"), F.col("off") - at + 1, F.lit(width - size + 1))]
+    return bytes_, lambda x, off, n, at, skip, size: [F.substring(x, off - at + 1, F.lit(width - size + 1))]
 
 
 def _cut(width: int):
