@@ -105,6 +105,25 @@ def test_sets_and_sequence_agree(spark, tmp_path):
             sbd.parse_model(broken)
 
 
+def test_models_of_a_folder(spark, tmp_path):
+    for name in ("de_a", "fr_b"):
+        m = sbd.Model(name, ("r_case",), (-1.0, -1.0), [(-2.0, -2.0)], {(0, "LCAP"): (-0.5, -2.0)})
+        (tmp_path / f"{name}.mdl").write_bytes(sbd.dump_model(m))
+    found = sbd.load_models(spark, f"file://{tmp_path}")
+    assert {g: m.name for g, m in found.items()} == {"de": "de_a", "fr": "fr_b"}
+    (tmp_path / "it_c.mdl").write_bytes((tmp_path / "de_a.mdl").read_bytes())
+    for wrong in (lambda: sbd.load_model(spark, f"file://{tmp_path}/it_c.mdl"), lambda: sbd.parse_model((tmp_path / "de_a.mdl").read_bytes(), name="de_b"), lambda: sbd.parse_model((tmp_path / "de_a.mdl").read_bytes(), version="0")):
+        with pytest.raises(sbd.ModelError):
+            wrong()
+
+
+def test_contexts_of_an_array_are_those_of_the_table(spark):
+    docs = spark.createDataFrame([(1, "One. Two e.g. three. . Four."), (2, "."), (3, ""), (4, None), (5, "no period")], "doc_id long, text string")
+    table = sbd.contexts(sg.token_table(docs), ["doc_id"])
+    array = docs.select("doc_id", sg.tokens("text").alias("t")).select("doc_id", F.explode(sbd.contexts_in(F.col("t"))).alias("c")).select("doc_id", "c.*")
+    assert array.columns == table.columns and sorted(map(tuple, array.collect())) == sorted(map(tuple, table.collect()))
+
+
 def test_corpus_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([("He came at 5. (She left.) \"No!\"",)], "text string")
     rows = sg.sentence_table(docs, "en", sbd="fsm")
