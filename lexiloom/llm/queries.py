@@ -12,6 +12,7 @@ from .hamming_search import sign_codes, top_k
 from .line_dedup import remove_similar_lines
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .periodic_runs import periodic_runs, with_looped_ends
 from .recompression import remove_repeated_substrings
 from .sharding import shard
 from .suffix_dedup import remove_repeated_bytes
@@ -76,7 +77,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_hamming_search, op3_line_dedup, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam, op10_secret_scan)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_looped_ends(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    length, period = best["length"], -best["period"]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-best["start"]).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_hamming_search, op3_line_dedup, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam, op10_secret_scan, op11_periodic_runs)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -96,6 +114,17 @@ select doc_id, coalesce(a0, 0) n_assign, coalesce(a1, 0) n_access, coalesce(a2,
   sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join a using (doc_id)"""
 
 
+#: CRC-32 in SQL: its table of 256 entries from the rule, and the fold over a text's bytes, given in hexadecimal.
+_CRC_TABLE = """bits(k, b, c) as (select range, 0, range::bigint from range(256) union all
+  select k, b + 1, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where b < 8),
+tab as (select list(c order by k) t from bits where b = 8)"""
+
+
+def _crc32(x: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length({x})::bigint // 2), lambda i: ('0x' || substr({x}, 2 * i + 1, 2))::bigint)),
+    lambda c, v: xor(c >> 8, t[xor(c, v) % 256 + 1])), 4294967295)"""
+
+
 ORACLES = {
     "op1_near_dup": rf"""
 with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') ws from documents),
@@ -196,4 +225,19 @@ r as (select *, row_number() over (partition by doc_id, item_id order by b::doub
   from j where 100 * b >= 80 * (span + own - b))
 select doc_id, item_id, a::bigint start_word, (span + 4)::bigint n_words, b::double / (span + own - b)::double similarity from r where k = 1""",
     "op10_secret_scan": _secrets_sql(),
+    "op11_periodic_runs": rf"""
+with recursive {_CRC_TABLE},
+d as (select doc_id, {_crc32("hex(encode(doc_id::varchar))")} h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents, tab),
+c as (select doc_id, ws, len(ws)::bigint n, h % 10 = 0 and len(ws) > 0 looped, (h // 10) % greatest(len(ws), 1) a, h // 10 g from d),
+x as (select doc_id, n, case when looped then ws[:a] || list_transform(range(0, n - a), lambda i: ws[a + i % (1 + (n - a) // (3 + g % 8)) + 1]) else ws end ws from c),
+w as (select doc_id, unnest(range(n)) i, unnest(ws) w from x),
+e as (select doc_id, a.i, b.i - a.i q from w a join w b using (doc_id, w) where b.i > a.i),
+s as (select doc_id, q, min(i) s, count(*) c from (select *, i - row_number() over (partition by doc_id, q order by i) t from e) group by doc_id, q, t),
+r as (select doc_id, s, c + q l, min(q) q from s where c >= q and c + q >= 12 group by doc_id, s, c + q),
+best as (select doc_id, count(*) k, max({{'l': l, 's': -s, 'q': -q}}) b, string_agg(s::bigint || ',' || l::bigint || ',' || q::bigint || chr(10), '' order by s, q) t from r group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) i from r),
+kept as (select doc_id, string_agg(w, ' ' order by i) t from w anti join gone using (doc_id, i) group by doc_id)
+select x.doc_id, coalesce(k, 0)::bigint n_runs, (-b.s)::bigint as start, b.l::bigint as length, (-b.q)::bigint period,
+  (b.l * 1000 // -b.q)::bigint exponent_milli, sha256(coalesce(best.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
+from x left join best using (doc_id) left join kept using (doc_id)""",
 }
