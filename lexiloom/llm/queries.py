@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import quality_cnn, secret_scan
+from . import quality_cnn, secret_scan, winnowing
+from .collocations import collocations
 from .decontam import contaminated
 from .hamming_search import sign_codes, top_k
 from .line_dedup import remove_similar_lines
@@ -94,7 +95,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op2_hamming_search, op3_line_dedup, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam, op10_secret_scan, op11_periodic_runs)}
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.compared_with_next(_table(spark, sf_dir, "documents"))
+    prints = [winnowing.described(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents")).drop("cut")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op2_hamming_search, op3_line_dedup, op4_suffix_dedup, op5_quality_cnn, op6_sharding, op7_mixing, op8_recompression, op9_decontam, op10_secret_scan, op11_periodic_runs, op12_fingerprints, op13_collocations)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -114,6 +125,9 @@ select doc_id, coalesce(a0, 0) n_assign, coalesce(a1, 0) n_access, coalesce(a2,
   sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join a using (doc_id)"""
 
 
+_P, _B = winnowing.PRIME, winnowing.BASE
+_B2 = pow(_B, 2, _P)
+
 #: CRC-32 in SQL: its table of 256 entries from the rule, and the fold over a text's bytes, given in hexadecimal.
 _CRC_TABLE = """bits(k, b, c) as (select range, 0, range::bigint from range(256) union all
   select k, b + 1, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where b < 8),
@@ -240,4 +254,38 @@ kept as (select doc_id, string_agg(w, ' ' order by i) t from w anti join gone us
 select x.doc_id, coalesce(k, 0)::bigint n_runs, (-b.s)::bigint as start, b.l::bigint as length, (-b.q)::bigint period,
   (b.l * 1000 // -b.q)::bigint exponent_milli, sha256(coalesce(best.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
 from x left join best using (doc_id) left join kept using (doc_id)""",
+    "op12_fingerprints": rf"""
+with recursive {_CRC_TABLE},
+o as (select doc_id, coalesce(text, '') t, row_number() over (order by doc_id desc) k from documents),
+d as (select o.doc_id, o.t, left(o.t, length(o.t) - length(o.t) // 2) || left(nx.t, length(o.t) // 2) e, nx.doc_id next_id
+  from o join o nx on nx.k = o.k % (select count(*) from o) + 1),
+u as (select doc_id, z, regexp_extract_all(t, '[^\x20\x09-\x0D]{{1,16}}') us from (select doc_id, 0 z, t from d union all select doc_id, 1, e from d)),
+r as (select doc_id, z, unnest(range(len(us))) i, unnest(us) w from u),
+c as (select w, {_crc32("hex(encode(w))")} h from (select distinct w from r), tab),
+hs as (select doc_id, z, list(h order by i) h from r join c using (w) group by doc_id, z),
+g as (select doc_id, z, case when len(h) < 4 then [list_reduce(list_prepend(0::bigint, h), lambda a, x: (a * {_B} + x) % {_P})]
+  else list_transform(range(1, len(h) - 2), lambda i: ((h[i] * {_B} + h[i+1]) % {_P} * {_B2} + (h[i+2] * {_B} + h[i+3]) % {_P}) % {_P}) end g from hs),
+v as (select doc_id, z, list_transform(g, lambda x, i: x * 4294967296 + (4294967296 - i)) v from g),
+m as (select doc_id, z, list_distinct(case when len(v) <= 8 then [list_min(v)] else list_transform(range(1, len(v) - 6), lambda i: list_min(v[i:i+7])) end) m from v),
+f as (select u.doc_id, u.z, coalesce(list_sort(list_transform(m, lambda x: {{'p': 4294967295 - x % 4294967296, 'h': x // 4294967296}})), []) f,
+  coalesce(list_distinct(list_transform(m, lambda x: x // 4294967296)), []) hh from u left join m using (doc_id, z)),
+s as (select doc_id, z, array_to_string(list_transform(f, lambda x: lower(hex(x.h)) || ':' || x.p::bigint), ',') s, hh from f),
+j as (select d.doc_id, length(d.t)::bigint n_chars, sha256(d.e) edited_sha256, a.s fingerprint, b.s edited_fingerprint, a.hh x, b.hh y, n.hh z
+  from d join s a on a.doc_id = d.doc_id and a.z = 0 join s b on b.doc_id = d.doc_id and b.z = 1 join s n on n.doc_id = d.next_id and n.z = 0)
+select doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  case when len(x) + len(y) = 0 then 1.0::double else len(list_intersect(x, y))::double / (len(x) + len(y) - len(list_intersect(x, y)))::double end near_edited,
+  case when len(x) + len(z) = 0 then 1.0::double else len(list_intersect(x, z))::double / (len(x) + len(z) - len(list_intersect(x, z)))::double end near_next from j""",
+    "op13_collocations": rf"""
+with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) p from documents),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') ws from p),
+f as (select lang, k, g, count(*) f from (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i+k-1])) g from w, range(1, 4) t(k)) group by all),
+c as (select * from f where k > 1 and f >= 10),
+y as (select *, g[:j] lg, g[j+1:] rg from c, range(1, 3) t(j) where j < k),
+x as (select y.lang, y.k, y.g, y.f a, j, l.f l, r.f r, (1000000::hugeint * y.f * y.f) // (l.f::hugeint * r.f) score
+  from y join f l on l.lang = y.lang and l.g = lg join f r on r.lang = y.lang and r.g = rg),
+b as (select *, row_number() over (partition by lang, g order by score, j) z from x),
+h as (select lang, g, max(f) f from (select lang, g[:2] g, f from c where k = 3 union all select lang, g[2:] g, f from c where k = 3) group by all),
+o as (select b.lang, array_to_string(b.g, ' ') phrase, a, l, r, score from b left join h on h.lang = b.lang and h.g = b.g where z = 1 and coalesce(100 * h.f < 50 * a, true)),
+n as (select lang, sum(f)::bigint n from f where k = 1 group by lang)
+select lang, rank, phrase, a, l, r, n, score::bigint score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from o) join n using (lang) where rank <= 2000""",
 }
