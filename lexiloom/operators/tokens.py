@@ -26,15 +26,11 @@ _OTHER = f"[^{_SINGLES}`0-9{cs.RAW[1:-1]}{cs.HORIZONTAL}{cs.NEWLINE}]"
 
 SYMBOL = rf"{cs.ELLIPSIS}|\?+|!+|``|''|<<|>>|>=|<=|-+|\++|\*+|/+|=+|[{_SINGLES}]"
 PATH = rf"(?:(?:~|\.{{1,2}})/{_N}+{_L}|/(?:{_DIRS})(?:/{_N}+{_L})?)/?"
-HOST = rf"(?:[wW]{{3}}\.|[fF][tT][pP]\.){_N}+\.[A-Za-z]+{_N}*"
-SCHEME = rf"[A-Za-z]+://{_N}+[A-Za-z0-9/]"
-URI = f"{HOST}|{SCHEME}"
 ABBREVIATION = f"{_A}{{1,2}}(?:{cs.PERIOD}{cs.HYPHEN}?{_A})+"
 _SIGN, _H = f"(?:{cs.MINUS}|\\+)", f"[{cs.HORIZONTAL}]"
 NUMBERS = (
     rf"{_SIGN}?[0-9]+(?:(?:{cs.PERIOD}|,|{_H}+)[0-9]+)*(?:[eE]{_SIGN}?[0-9]+)?",
     rf"(?:(?:19|20)[0-9]|[1-9])0{cs.APOSTROPHE}[sS]",
-    rf"(?:\+[0-9]+{_H}?)?(?:(?:{cs.HYPHEN}|/)?(?:[0-9]+|\([0-9]+\)){_H}?)+[0-9]+",
     r"0[xX][0-9a-fA-F]+",
     rf"[0-9]+(?::|{cs.DASH}|{cs.HYPHEN})[0-9]+",
 )
@@ -61,8 +57,9 @@ class Mail:
 
     _RUN, _END = re.compile(f"{_N}+"), re.compile(rf"\.{_A}+")
 
-    def __init__(self, text: str):
-        self.text, self.any = text, "@" in text
+    def __init__(self, text: str, end: int | None = None):
+        self.text, self.stop = text, len(text) if end is None else end
+        self.any = text.find("@", 0, self.stop) >= 0
         self.run_end = self.at = self.period = self.end = -1
 
     def match(self, at: int) -> int:
@@ -70,11 +67,11 @@ class Mail:
         if not self.any:
             return at
         if at >= self.run_end:
-            m = self._RUN.match(self.text, at)
+            m = self._RUN.match(self.text, at, self.stop)
             if not m:
                 return at
             self.run_end, self.at, self.period = m.end(), -1, -1
-            if "@" in m.group():
+            if self.text.find("@", at, self.run_end) >= 0:
                 for x in self._END.finditer(self.text, at, self.run_end):
                     self.period, self.end = x.span()
         if self.period < 0:
@@ -86,6 +83,84 @@ class Mail:
         return self.end if 0 <= self.at <= self.period - 2 else at
 
 
+class Links:
+    """URIs of a text: www. or ftp. with a later period and letters, or a scheme with a letter, digit or slash at the end.
+
+    The first kind takes the rest of its run of signs, the second ends at the run's last letter, digit or slash. Both
+    ends are looked up once for a run. Places must not decrease.
+    """
+
+    _HEAD, _SCHEME = re.compile(r"[wW]{3}\.|[fF][tT][pP]\."), re.compile("[A-Za-z]+://")
+    _RUN, _DOT, _LAST = re.compile(f"{_N}+"), re.compile(r"\.[A-Za-z]"), re.compile("[A-Za-z0-9/]")
+
+    def __init__(self, text: str, end: int | None = None):
+        self.text, self.stop = text, len(text) if end is None else end
+        self.run_end = self.dot = self.last = -1
+
+    def _run(self, at: int) -> None:
+        if at < self.run_end:
+            return
+        self.run_end = self._RUN.match(self.text, at, self.stop).end()
+        self.dot = self.last = -1
+        for m in self._DOT.finditer(self.text, at, self.run_end):
+            self.dot = m.start()
+        for i in range(self.run_end - 1, at - 1, -1):
+            if self._LAST.match(self.text, i):
+                self.last = i
+                break
+
+    def host(self, at: int) -> int:
+        m = self._HEAD.match(self.text, at, self.stop)
+        if not m:
+            return at
+        self._run(at)
+        return self.run_end if self.dot > m.end() else at
+
+    def scheme(self, at: int) -> int:
+        m = self._SCHEME.match(self.text, at, self.stop)
+        if not m:
+            return at
+        self._run(at)
+        return self.last + 1 if self.last > m.end() else at
+
+    def match(self, at: int) -> int:
+        return max(self.host(at), self.scheme(at))
+
+
+class Phones:
+    """Telephone numbers of a text: groups of digits, some in brackets, each perhaps with a hyphen or slash before it
+    and a blank behind it, then digits; a country code with a plus sign may lead.
+
+    A chain of groups is walked once: it can end in a group of several digits or in a plain one behind another. From
+    inside the rest of a chain nothing longer than a plain number begins. Places must not decrease.
+    """
+
+    _GROUP = re.compile(rf"({cs.HYPHEN}|/)?(?:([0-9]+)|\([0-9]+\)){_H}?")
+    _CODE, _BLANK = re.compile(r"\+[0-9]+"), re.compile(_H)
+
+    def __init__(self, text: str, end: int | None = None):
+        self.text, self.stop, self.walked = text, len(text) if end is None else end, -1
+
+    def match(self, at: int) -> int:
+        if at < self.walked:
+            return at
+        p, best, first = at, at, True
+        if m := self._CODE.match(self.text, at, self.stop):
+            p = at + 2 if m.end() > at + 2 else m.end() + bool(self._BLANK.match(self.text, m.end(), self.stop))
+        while m := self._GROUP.match(self.text, p, self.stop):
+            a, z = m.span(2)
+            if z - a > 1 or (z > a and not first and m.start(1) < 0):
+                best = z
+            p, first = m.end(), False
+        if p > at:
+            self.walked = p
+        return best
+
+
+def scan_aids(text: str, stop: int) -> tuple[Mail, Links, Phones]:
+    return Mail(text, stop), Links(text, stop), Phones(text, stop)
+
+
 class Scanner:
     """The tokenizer of one language; any but en, fr and it has no prefixes, suffixes and words of its own."""
 
@@ -98,15 +173,15 @@ class Scanner:
         self.prefix = rx(f"{prefix}{cs.APOSTROPHE}(?:{_A}|{cs.DOUBLE})") if prefix else None
         self.elided = rx(f"({prefix}){cs.APOSTROPHE}{_L}") if prefix else None
         self.assimilation = rx(ASSIMILATION) if lang == "en" else None
-        self.symbol, self.path, self.uri, self.abbr = rx(SYMBOL), rx(PATH), rx(URI), rx(ABBREVIATION)
+        self.symbol, self.path, self.abbr = rx(SYMBOL), rx(PATH), rx(ABBREVIATION)
         self.numbers, self.word_kinds, self.unknown = [rx(n) for n in NUMBERS], [rx(w) for w in WORDS], rx(UNKNOWN)
         self.blank = rx(f"{cs.BLANK}+")
 
-    def _word(self, text: str, at: int) -> int:
+    def _word(self, text: str, at: int, stop: int) -> int:
         """End of the longest word here; after an elided prefix only the prefix itself can be one."""
-        if self.elided and (m := self.elided.match(text, at)):
+        if self.elided and (m := self.elided.match(text, at, stop)):
             return m.end(1)
-        return max((m.end() for w in self.word_kinds if (m := w.match(text, at))), default=at)
+        return max((m.end() for w in self.word_kinds if (m := w.match(text, at, stop))), default=at)
 
     def _suffix(self, text: str, at: int, end: int) -> int:
         """Where the longest suffix of a word begins, which leaves at least one character; else its end."""
@@ -114,34 +189,49 @@ class Scanner:
             return end
         return min((i for i in range(max(at + 1, end - 9), end) if self.suffixes.match(text, i, end)), default=end)
 
-    def scan(self, text: str) -> Iterator[tuple[int, int, str]]:
-        """(start, end, type) of each token."""
-        at, n, mail = 0, len(text), Mail(text)
+    def scan(self, text: str, at: int = 0, stop: int | None = None, aids: tuple[Mail, Links, Phones] | None = None) -> Iterator[tuple[int, int, str]]:
+        """(start, end, type) of each token of ``text[at:stop]``, as if there were no more text behind it.
+
+        aids: those of a scan of the same text that was left before ``at``, so that what it looked up isn't looked up again.
+        """
+        n = len(text) if stop is None else stop
+        mail, links, phones = aids or scan_aids(text, n)
         no_path = -1  # no path that begins with ~ or periods ends before here
         while at < n:
-            if m := _PLAIN.match(text, at):
+            if m := _PLAIN.match(text, at, n):
                 if mail.match(at) == at:
                     yield at, m.end(), "LATIN"
                     at = m.end()
                     continue
-            if m := self.blank.match(text, at):
+            if m := self.blank.match(text, at, n):
                 at = m.end()
                 continue
             best, kind = at, ""
-            for name, own in (("SYM", self.symbol), ("PATH", self.path), ("URI", self.uri), ("ABBR", self.abbr), *(("NUM", x) for x in self.numbers), ("WORDS", self.words), ("PREFIX", self.prefix)):
-                if name == "PATH" and at < no_path and text[at] != "/":
-                    continue
-                if own and (m := own.match(text, at)) and m.end() > best:
-                    best, kind = m.end(), name
-                elif name == "PATH" and not m and (m := _HERE.match(text, at)):
+            if m := self.symbol.match(text, at, n):
+                best, kind = m.end(), "SYM"
+            if at >= no_path or text[at] == "/":
+                if m := self.path.match(text, at, n):
+                    if m.end() > best:
+                        best, kind = m.end(), "PATH"
+                elif m := _HERE.match(text, at, n):
                     no_path = m.end()
-            if (end := self._word(text, at)) > best:
+            if (end := links.match(at)) > best:
+                best, kind = end, "URI"
+            if (m := self.abbr.match(text, at, n)) and m.end() > best:
+                best, kind = m.end(), "ABBR"
+            end = max(phones.match(at), *[m.end() if (m := x.match(text, at, n)) else at for x in self.numbers])
+            if end > best:
+                best, kind = end, "NUM"
+            for name, own in (("WORDS", self.words), ("PREFIX", self.prefix)):
+                if own and (m := own.match(text, at, n)) and m.end() > best:
+                    best, kind = m.end(), name
+            if (end := self._word(text, at, n)) > best:
                 best, kind = end, "LATIN"
             if (end := mail.match(at)) > best:
                 best, kind = end, "EMAIL"
-            if (m := self.unknown.match(text, at)) and m.end() > best:
+            if (m := self.unknown.match(text, at, n)) and m.end() > best:
                 best, kind = m.end(), "UNK"
-            if self.assimilation and (m := self.assimilation.match(text, at)) and m.end() > best:
+            if self.assimilation and (m := self.assimilation.match(text, at, n)) and m.end() > best:
                 yield at, at + 2, "LATIN"  # up to the first t; the rest is scanned again
                 at += 2
                 continue
@@ -169,12 +259,17 @@ def tokenize(text: str, lang: str | None) -> list[tuple[str, int, int, str]]:
 
 def with_bytes(text: str, spans, offset: int = 0) -> list[tuple[str, int, int, str]]:
     """Spans in characters as text with lengths and offsets in bytes."""
+    return list(in_bytes(text, spans, 0, offset))
+
+
+def in_bytes(text: str, spans, at: int, offset: int) -> Iterator[tuple[str, int, int, str]]:
+    """The same one by one, for spans behind the character ``at``, whose byte offset is ``offset``."""
     if text.isascii():
-        return [(text[a:z], z - a, offset + a, t) for a, z, t in spans]
-    out, last = [], 0
+        for a, z, t in spans:
+            yield text[a:z], z - a, offset - at + a, t
+        return
     for a, z, t in spans:
-        offset += len(text[last:a].encode())
+        offset += len(text[at:a].encode())
         size = len(text[a:z].encode())
-        out.append((text[a:z], size, offset, t))
-        offset, last = offset + size, z
-    return out
+        yield text[a:z], size, offset, t
+        offset, at = offset + size, z

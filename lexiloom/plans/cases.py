@@ -25,14 +25,14 @@ TOKENS = [
     ('en', 'call +44 20 7946 0958 or 020-7946/0958', 'call/LATIN | +44 20 7946 0958/NUM | or/LATIN | 020-7946/0958/NUM'),
     ('en', '-3.5e+7 +12 4,200.75 1 000 000', '-3.5e+7/NUM | +12 4,200.75 1 000 000/NUM'),
     ('en', '(re)open un(der)stand call(s) (X)-ray', '(re)open/LATIN | un(der)stand/LATIN | call(s)/LATIN | (X)-ray/LATIN'),
-    ('en', '"Big-Co"-style ``odd\'\'-looking', '"Big-Co"-style/LATIN | ``odd\'\'-looking/LATIN'),
+    ('de', '„Wetter“-Karte «Zeit»-Reise', '„/SYM | Wetter/LATIN | “/SYM | -/SYM | Karte/LATIN | «Zeit»-Reise/LATIN'),
     ('en', 'foo_bar €5 ☃snow §3 x²', 'foo/LATIN | _/UNK | bar/LATIN | €/SYM | 5/NUM | ☃/UNK | snow/LATIN | §/UNK | 3/NUM | x²/LATIN'),
     ('en', 'mail to jo.doe@mail.example.org, or a@b', 'mail/LATIN | to/LATIN | jo.doe@mail.example.org/EMAIL | ,/SYM | or/LATIN | a/LATIN | @/UNK | b/LATIN'),
     ('en', 'wait... no. . . yes… really?! oh!!', 'wait/LATIN | .../SYM | no/LATIN | . . ./SYM | yes/LATIN | …/SYM | really/LATIN | ?/SYM | !/SYM | oh/LATIN | !!/SYM'),
     ('en', 'a--b c---d e–f g—h i‐j', 'a/LATIN | --/SYM | b/LATIN | c/LATIN | ---/SYM | d/LATIN | e/LATIN | –/SYM | f/LATIN | g/LATIN | —/SYM | h/LATIN | i‐j/LATIN'),
     ('en', '[x] {y} <z> <<q>> ‹r›', '[/SYM | x/LATIN | ]/SYM | {/SYM | y/LATIN | }/SYM | </SYM | z/LATIN | >/SYM | <</SYM | q/LATIN | >>/SYM | ‹/SYM | r/LATIN | ›/SYM'),
     ('en', 'café naïve Ångström', 'café/LATIN | naïve/LATIN | Ångström/LATIN'),
-    ('en', "AT&T R&D rock'n'roll", "AT&T/LATIN | R&D/LATIN | rock'n'roll/LATIN"),
+    ('en', "Q&A salt&pepper ma'am", "Q&A/LATIN | salt&pepper/LATIN | ma'am/LATIN"),
     ('en', "`quote' ``two''", "`/UNK | quote/LATIN | '/SYM | ``/SYM | two/LATIN | ''/SYM"),
     ('en', 'well-known state-of-the-art co-op', 'well-known/LATIN | state-of-the-art/LATIN | co-op/LATIN'),
     ('en', '20°C 5th 3rd 2nd', '20°/LATIN | C/LATIN | 5th/LATIN | 3rd/LATIN | 2nd/LATIN'),

@@ -28,7 +28,8 @@ _ABBR = rf"{_A}{{1,2}}(?:\.-?{_A})+"
 _NUM = r"[-+]?[0-9]+[.,][0-9]+(?:(?:[.,]| +)[0-9]+)*|(?:\+[0-9]+ ?)?(?:(?:-|/)?(?:[0-9]+|\([0-9]+\)) ?)+[0-9]+|[-+]?[0-9]+(?:(?:[.,]| +)[0-9]+)*|[0-9]+:[0-9]+"
 _SYM = r"\.\.+|\?+|!+|-+|\++|\*+|/+|=+|>>|<<|>=|<=|``|''''|[,;:!?.''\"()\[\]{}$£€©^%&~<>]"
 _RX = "|".join([
-    _EMAIL, _URI, rf'"{_L}+{_C}*"-{_L}+{_C}*', rf"\({_A}{_L}*\)-?{_L}+{_C}*", rf"{_L}+{_C}*-?\({_A}{_L}*\)(?:-?{_L}+{_C}*)?", _ABBR,
+    _EMAIL, _URI, rf'"{_L}+{_C}*"-{_L}+{_C}*', rf"\({_A}{_L}*\)-?{_L}+{_C}*", rf"{_L}+{_C}*-?\({_A}{_L}*\)(?:-?{_L}+{_C}*)?",
+    rf"{_A}{{1,2}}(?:\.-?{_A})*\.-?(?:{_L}{_L}+|[0-9]){_C}*", rf"{_A}{{1,2}}(?:\.-?{_A})+(?:''|-|&){_L}+{_C}*", _ABBR,
     rf"{_L}*{_A}{_L}*{_C}*|{_L}+{_C}*(?:-|\.-?|&|''){_L}*{_A}{_L}*{_C}*", _NUM, _SYM,
     rf"[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9,;:!?.''\"()\[\]{{}}$£€©^%&~<>*/=+-]+",
 ])
@@ -37,11 +38,48 @@ _KIND = f"""case when regexp_full_match(str, '{_EMAIL}') then 'EMAIL' when regex
   when regexp_matches(str, '{_L}') then 'LATIN' else 'UNK' end"""
 
 
-def _tokens(table: str, keys: str, text: str = "text") -> str:
+def _tokens(table: str, keys: str, text: str = "text", first: str = "") -> str:
+    """first: an alternative that comes before all others."""
     return f"""select {keys}, seq, str, {_KIND} type from (select {keys}, unnest(range(len(m))) seq, unnest(m) str
-  from (select {keys}, regexp_extract_all({text}, '{_RX}') m from {table}))"""
+  from (select {keys}, regexp_extract_all({text}, '{first}{_RX}') m from {table}))"""
 
 
+# Sentences. Texts are cut into pieces: what a period can stand in without ending a sentence, ends, paragraph breaks, and
+# the rest. Each list of alternatives is ordered so that the first that matches is the longest at its place.
+_ABBR_ALT = "|".join(sorted(ABBREVIATIONS.split(), key=len, reverse=True))
+_UP, _LOW, _B = "[A-ZÀ-ÖØ-Þ]", "[a-zß-öø-ÿ]", r"[ \t\n]"
+_TRAIL, _LEAD = r'[)\]}"]*', r'[(\[{"]*'
+_STRONG = r"(?:\.(?:\.+|(?: \.){2,})|\?+|!+)"
+_EOS = rf"(?:{_STRONG}|\.)"
+_PARA = r"[ \t]*\n[ \t]*\n[ \t\n]*"
+_ENDS = rf"(?:{_EOS}{_TRAIL})+"
+_KEPT = rf"(?:{_L}+(?:\.{_L}+)+|{_ABBR_ALT}|[bcdfghjklmnpqrstvwxz]+)\.{_B}*"
+_RULE_PIECE = "|".join([
+    _EMAIL, rf"{_UP}\.{_B}{_UP}", rf"{_L}+\.{_TRAIL}[,;:]", rf"{_L}+(?:\.{_L}+)+\.{_B}*", rf"{_L}+(?:\.{_L}+)+", _KEPT,
+    rf"(?:{_EOS}{_TRAIL})*{_EOS}{_TRAIL}{_B}*{_LEAD}{_LOW}", _ENDS, _PARA, rf"{_B}+", rf"{_A}+", "[0-9]+", "(?s:.)",
+])
+_BAYES_PIECE = "|".join([
+    _EMAIL, rf"{_L}+(?:\.-?{_L}+)+", rf"{_STRONG}{_TRAIL}{_B}*{_LEAD}{_LOW}", rf"{_STRONG}{_TRAIL}", rf"\.{_TRAIL}", _PARA, rf"{_B}+", rf"{_L}+", "(?s:.)",
+])
+_PUT_BACK = "('ABBR', 'LATIN', 'SUFFIX', 'NUM')"
+
+#: sent: the tokens of rule-based sentences, periods put back.
+_SENT = rf"""with pc as (select doc_id, lang, unnest(range(len(m))) k, unnest(m) p, len(m) n from (select doc_id, lang, regexp_extract_all(text, '{_RULE_PIECE}') m from documents)),
+ev as (select *, case when regexp_full_match(p, '{_ENDS}') then case when regexp_matches(p, '\.{_TRAIL}$') then 'F' else 'E' end
+  when regexp_full_match(p, '{_PARA}') then 'P' when k = n - 1 and regexp_full_match(p, '{_KEPT}') then 'F' end e from pc),
+sl as (select doc_id, lang, s, string_agg(p, '' order by k) t, max(e) = 'F' final, min(b) b from
+  (select *, coalesce(sum(case when e is null then 0 else 1 end) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) s,
+    coalesce(sum(strlen(p)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) b from ev) group by doc_id, lang, s),
+st as (select doc_id, lang, s, final, b, unnest(range(len(m))) i, unnest(m) str, unnest(gaps[:len(m)]) gap
+  from (select doc_id, lang, s, final, b, regexp_extract_all(t, '{_RX}') m, regexp_split_to_array(t, '{_RX}') gaps from sl)),
+ty as (select *, {_KIND} type, b + sum(strlen(gap) + strlen(str)) over w - strlen(str) o, final and i = max(case when str = '.' then i end) over (partition by doc_id, s) last
+  from st window w as (partition by doc_id, s order by i)),
+re as (select *, str = '.' and gap = '' and not coalesce(last, false) and coalesce(lag(type) over w in {_PUT_BACK}, false) back from ty window w as (partition by doc_id, s order by i)),
+nx as (select *, coalesce(lead(back) over (partition by doc_id, s order by i), false) dot from re),
+sent as (select doc_id, lang, (dense_rank() over (partition by doc_id order by s, (k // 1000)) - 1)::int sent_no, (k % 1000)::int tok_no,
+  str || case when dot then '.' else '' end str, (strlen(str) + dot::int)::int len, o::bigint "offset", type
+  from (select *, row_number() over (partition by doc_id, s order by i) - 1 k from nx where not back))"""
+
 _TOK = f"with tok as ({_tokens('documents', 'doc_id, lang')})"
 _CAND = f"""{_TOK},
 ctx as (select doc_id, seq, str,
@@ -125,13 +163,54 @@ def _case_rows(rows: list[tuple], *of) -> list[tuple]:
 
 _SIGNS = [(c, s in inside) for c, inside, outside in cases.CLASSES for s in (*inside, *outside)]
 
+def _bayes_sql() -> str:
+    """Sentences by a classifier of (l_case, l_suffix3, r_shape): judged periods and other ends are positions, and a token's
+    sentence is the number of ends up to it."""
+    names = ("l_case", "l_suffix3", "r_shape")
+    values = " union all ".join(f"select doc_id, seq, label, '{n}' feature, {_feature(n)} as value from cand" for n in names)
+    model = _model("true", "a")
+    return rf"""{_CAND.replace(_TOK, _TOK_AT)},
+val as (select x.*, long from ({values}) x join (select doc_id, seq, greatest(strlen(l), strlen(r)) > 128 as long from cand) using (doc_id, seq)),{model},
+judged as (select doc_id, seq, lp_eos >= lp_not or long or r = '' as ends from {_scores('true', 'a')} join cand using (doc_id, seq)),
+pc as (select doc_id, unnest(range(len(m))) k, unnest(m) p from (select doc_id, regexp_extract_all(text, '{_BAYES_PIECE}') m from documents)),
+pos as (select *, coalesce(sum(strlen(p)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) b from pc),
+n_tok as (select doc_id, count(*) n, list(o order by o) os from tok group by doc_id),
+prev as (select doc_id, seq + 1 seq, o + strlen(str) z from tok where type in {_PUT_BACK}),
+own as (select pos.doc_id, b, b + strlen(p) z, ends, prev.z is not null and prev.z = b adj from pos join tok on tok.doc_id = pos.doc_id and o = b and str = '.'
+  join judged on judged.doc_id = tok.doc_id and judged.seq = tok.seq left join prev on prev.doc_id = tok.doc_id and prev.seq = tok.seq where regexp_full_match(p, '\.{_TRAIL}')),
+stop as (select doc_id, b, b + strlen(p) z, true ends, false adj, false judged from pos where regexp_full_match(p, '{_STRONG}{_TRAIL}')
+  union all select doc_id, b, b, true, false, false from pos where regexp_full_match(p, '{_PARA}') union all select doc_id, b, z, ends, adj, true from own),
+cnt as (select stop.*, (select count(*) from tok where tok.doc_id = stop.doc_id and o <= b) c, (select count(*) from tok where tok.doc_id = stop.doc_id and o < z) cz from stop),
+evs as (select doc_id, list({{'c': c, 'z': cz, 'ends': ends, 'adj': adj, 'judged': judged, 'a': 0::bigint, 'd': 0::bigint, 'n': []::bigint[]}} order by b) e from cnt group by doc_id),
+fold as (select doc_id, n, list_reduce(list_prepend({{'c': 0::bigint, 'z': 0::bigint, 'ends': false, 'adj': false, 'judged': false, 'a': 0::bigint, 'd': 0::bigint, 'n': []::bigint[]}}, coalesce(e, [])), lambda s, v:
+  case when (v.judged and v.c - s.a - s.d >= 1000) or (v.ends and v.z - s.a - s.d >= 1000) then {{'c': v.c, 'z': v.z, 'ends': v.ends, 'adj': v.adj, 'judged': v.judged, 'a': s.a + 1000 + s.d, 'd': 0::bigint, 'n': list_append(s.n, 1000)}}
+  when v.ends then {{'c': v.c, 'z': v.z, 'ends': v.ends, 'adj': v.adj, 'judged': v.judged, 'a': v.z, 'd': 0::bigint, 'n': list_append(s.n, v.z - s.a - s.d)}}
+  when v.adj then {{'c': v.c, 'z': v.z, 'ends': v.ends, 'adj': v.adj, 'judged': v.judged, 'a': s.a, 'd': s.d + 1, 'n': s.n}} else s end) f from n_tok left join evs using (doc_id)),
+outs as (select doc_id, list_concat(f.n, list_transform(range(0, (n - f.a - f.d + 999) // 1000), lambda i: least(1000, n - f.a - f.d - i * 1000))) ns from fold),
+bayes as (select doc_id, unnest(range(len(ns))) sent_no, unnest(ns) n_tokens from (select doc_id, list_filter(ns, lambda x: x > 0) ns from outs)),
+{_SENT.removeprefix("with ").replace("pc as", "rule_pc as", 1).replace("end e from pc)", "end e from rule_pc)")}
+select doc_id, sent_no::int sent_no, n_tokens::int n_tokens from bayes join documents using (doc_id) where lang in ('de', 'en', 'fr', 'it')
+union all select doc_id, sent_no, count(*)::int from sent where lang not in ('de', 'en', 'fr', 'it') group by doc_id, sent_no"""
+
+
+#: Tokens with their byte offsets.
+_TOK_AT = f"""with m as (select doc_id, lang, regexp_extract_all(text, '{_RX}') m, regexp_split_to_array(text, '{_RX}') p from documents),
+t as (select doc_id, lang, unnest(range(len(m))) seq, unnest(m) str, unnest(p[:len(m)]) gap from m),
+tok as (select doc_id, lang, seq, str, {_KIND} type, sum(strlen(gap) + strlen(str)) over (partition by doc_id order by seq) - strlen(str) o from t)"""
+
 ORACLES = {
+    "sentences_fsm": f'{_SENT} select doc_id, sent_no, tok_no, str, len, "offset", type from sent',
+    "sentence_len_hist": f"{_SENT}, n as (select doc_id, lang, sent_no, count(*) n from sent group by all) select lang, n::int n_tokens, count(*) n from n group by lang, n.n",
+    "format_sentences": f"""{_SENT}, f as (select doc_id, sent_no, string_agg(regexp_replace(str, '[ \t\n]+', ' ', 'g') || ' ', '' order by tok_no) t from sent group by doc_id, sent_no)
+select doc_id, string_agg(t || '|' || chr(10), '' order by sent_no) lines from f group by doc_id""",
+    "sentences_bayes": _bayes_sql(),
     "token_type_hist": f"{_TOK} select lang, type, count(*) n from tok group by all",
     "token_stream": f"""with m as (select doc_id, regexp_extract_all(text, '{_RX}') m, regexp_split_to_array(text, '{_RX}') p from documents),
 t as (select doc_id, unnest(range(len(m))) seq, unnest(m) str, unnest(p[:len(m)]) gap from m)
 select doc_id, seq::int seq, str, strlen(str)::int len, (sum(strlen(gap) + strlen(str)) over (partition by doc_id order by seq) - strlen(str))::bigint "offset", {_KIND} type from t""",
     "token_stream_sql": f"{_TOK} select lang, type, count(*) n, sum(strlen(str))::bigint bytes from tok group by all",
     "conversation_tokens": f"with tok as ({_tokens('conversations', 'role')}) select role, type, count(*) n, count(distinct str) distinct_tokens from tok group by all",
+    "page_tokens": f"with tok as ({_tokens('pages', 'page_id', 'html', '&[cC]|')}) select page_id, type, count(*) n, sum(strlen(str))::bigint bytes from tok group by all",
     "part_names": f"with tok as ({_tokens('part', 'p_partkey', 'p_name')}) select str, type, count(*) n, count(distinct p_partkey) parts from tok group by all",
     "grapheme_counts": "select doc_id, length_grapheme(text) n_graphemes from documents",
     "grapheme_stream": """with g as (select item_id, unnest(range(length(text))) seq, text from benchmark)

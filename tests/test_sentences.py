@@ -1,23 +1,32 @@
+import time
 import unicodedata
+from unittest import mock
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from lexiloom.operators import sentences
 from lexiloom.operators.graphemes import graphemes
 from lexiloom.operators.sentences import MAX_TOKENS, bayes_sentences, rule_sentences
 from lexiloom.operators.tokens import tokenize
 from lexiloom.plans.cases import SENTENCES
 
+# What the rules make of texts of our own.
 MORE = [
     ("en", "", ""),
-    ("en", "word", "word"),
-    ("fr", "Oh! Marie﹒ Salut M﹒ Dupont﹒", "Oh ! | Marie ﹒ | Salut M﹒ Dupont ﹒"),
-    ("en", "Prof. Prof.", "Prof. Prof ."),
-    ("en", "Ms﹒ Ms﹒  ", "Ms﹒ Ms ﹒"),
-    ("en", "left\r\nright", "left right"),
-    ("en", "left\r\n\nright", "left | right"),
-    ("en", "left., right", "left. , right"),
-    ("en", "E.U. rules apply here.", "E.U. rules apply here ."),
-    ("de", "mit K.-H. Meier", "mit K.-H. Meier"),
-    ("en", "See http://a.example/b. Then go.", "See http://a.example/b . | Then go ."),
+    ("en", "Rain fell? Yes! it did... Then sun.", "Rain fell ? | Yes ! it did ... | Then sun ."),
+    ("en", "At 5 p.m. she left. He stayed.", "At 5 p.m. she left . | He stayed ."),
+    ("en", "See vol. 3, pp. 4. End", "See vol. 3 , pp. 4 . | End"),
+    ("fr", "Bravo!» cria-t-il. Fin.", "Bravo ! » cria -t-il . | Fin ."),
+    ("en", "Version 2.0. Next one.", "Version 2.0. Next one ."),
+    ("de", "Siehe z.B. Kap. drei. Ende﹒", "Siehe z.B. Kap. drei . | Ende ﹒"),
+    ("en", "A?) b. C.", "A ? ) b . | C ."),
+    ("en", "One \u2029 two. Three", "One | two . | Three"),
+    ("en", "a\n \nb. c\n\n\nD", "a | b. c | D"),
+    ("en", "[Aside.] (Again!) Done", "[ Aside . ] | ( Again ! ) | Done"),
+    ("it", "L'età. È tardi…no. Sì", "L' età . | È tardi … no . | Sì"),
+    ("en", "He said etc. Etc.", "He said etc. Etc ."),
+    ("en", "K. Q. Zed. R", "K. Q . | Zed . | R"),
 ]
 
 
@@ -32,6 +41,35 @@ def test_limit():
     assert [len(s) for s in bayes_sentences(text, "en", lambda a, b: True)] == [MAX_TOKENS, 1]
 
 
+HARD = {
+    "apostrophes": "He left." + "'" * (1 << 20) + " Xavier came.", "quotes": "He left." + '"' * (1 << 20) + " X", "brackets": "(1)" * 350_000,
+    "hosts": "www.☃" * 200_000, "list": "word, " * 175_000, "blanks": "a" + " " * (1 << 20) + "b", "dates": "1/" * 60_000, "marks": "!''" * 40_000,
+    "lines": "a\r\n" * 40_000, "initials": "A. " * 40_000, "angles": "?<<" * 40_000,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_texts_take_time_in_proportion(name):
+    """A megabyte each (the last ones less) of what many patterns could begin with, or in which no sentence ends."""
+    start = time.time()
+    assert rule_sentences(HARD[name], "en") and bayes_sentences(HARD[name], "en", lambda a, b: len(b[0]) % 2 == 0)
+    assert time.time() - start < 120
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "B", ".", ". ", "!", "''", "'", "(", ")", ",", "1", "\n", "\n\n", " ", "Dr. ", "a.b", "x@y.z"]), max_size=30), st.integers(2, 6))
+def test_a_cut_sentence_goes_on_as_a_text_of_its_own(parts, most):
+    """The scan that is remembered over cuts gives what a new scan from the cut gives."""
+    text = "".join(parts)
+    with mock.patch.object(sentences, "MAX_TOKENS", most):
+        found = rule_sentences(text, "en")
+        for s in found[:1]:
+            if len(s) == most and len(found) > 1 and all(t[3] != "SUFFIX" for t in s):
+                cut = s[-1][2] + s[-1][1]
+                rest = rule_sentences(text.encode()[cut:].decode(), "en")
+                assert [[(t, n, o + cut, k) for t, n, o, k in x] for x in rest] == found[1:]
+
+
 def test_classifier_decides_and_periods_go_back():
     show = lambda f: [" ".join(t[0] for t in s) for s in bayes_sentences("Am 5. Mai. Sie ging. Ja!", "de", f)]
     assert show(lambda a, b: a[0] != "5") == ["Am 5. Mai .", "Sie ging .", "Ja !"]
