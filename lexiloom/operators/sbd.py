@@ -34,9 +34,9 @@ SIDES = [f"{s}_{k}" for s in "lr" for k in ("word", "len", "suffix2", "suffix3",
 
 
 def clean_token(text: str) -> str:
-    """NFKC without ignorable, unassigned and control characters, guillemets as plain quotes."""
+    """NFKC without ignorable, unassigned and private characters, guillemets as plain quotes."""
     text = unicodedata.normalize("NFKC", text.replace("«", '"').replace("»", '"'))
-    return "".join(c for c in text if unicodedata.category(c) not in ("Cn", "Co", "Cc") and ord(c) not in _IGNORABLE)
+    return "".join(c for c in text if unicodedata.category(c) not in ("Cn", "Co") and ord(c) not in _IGNORABLE)
 
 
 _IGNORABLE = cs.points("AD 34F 61C 115F-1160 17B4-17B5 180B-180E 200B-200F 202A-202E 2060-206F 3164 FE00-FE0F FEFF FFA0 FFF0-FFF8 1BCA0-1BCA3 1D173-1D17A E0000-E0FFF")
@@ -125,15 +125,20 @@ def contexts(tokens: DataFrame, keys: list[str], order: str = "seq") -> DataFram
     return tokens.select(*keys, F.col(order).alias("seq"), "str", "type", *cols).where(F.col("str") == ".").drop("str", "type")
 
 
-def contexts_in(tokens: Column) -> Column:
-    """The same for an array of tokens of one document, without a shuffle: an array of structs of seq and the neighbours."""
-    at = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i)["str"] == ".")
+def contexts_in(tokens: Column, periods: str = ".", offsets: bool = False) -> Column:
+    """The same for an array of tokens of one document, without a shuffle: an array of structs of seq and the neighbours.
+
+    periods: the signs that count. offsets: also the byte offsets of the period and of the token after it (-1 at the end).
+    """
+    at = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i)["str"].isin(*periods))
 
     def neighbours(i):
         cols = [i.alias("seq")]
         for name, by in (("l2", -2), ("l", -1), ("r", 1), ("r2", 2)):
             token = F.when(i + by >= 0, F.get(tokens, i + by))
             cols += [F.coalesce(token["str"], F.lit("")).alias(name), F.coalesce(token["type"], F.lit("UNK")).alias(f"{name}_type")]
+        if offsets:
+            cols += [F.get(tokens, i)["offset"].alias("offset"), F.coalesce(F.get(tokens, i + 1)["offset"], F.lit(-1)).alias("r_offset")]
         return F.struct(*cols)
 
     return F.when(F.size(tokens) > 0, F.transform(at, neighbours))
@@ -142,12 +147,14 @@ def contexts_in(tokens: Column) -> Column:
 def labelled_tokens(sentences: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens of ``sentences`` (keys, sent_no, tok_no, str, type) with ``is_end``: whether the token ends its sentence.
 
-    That is the last token, stepping back over symbols that are none of . ? ! behind it.
+    That is the sentence's closing . ? or !, which only symbols may follow, and its last token if it has none.
     """
     w = Window.partitionBy(*keys, "sent_no")
-    closing = (F.col("type") == "SYM") & ~F.col("str").isin(".", "?", "!")
-    end = F.max(F.when(~closing, F.col("tok_no"))).over(w)
-    return sentences.withColumn("is_end", F.coalesce(F.col("tok_no") == end, F.lit(False)))
+    mark = F.col("str").isin(".", "?", "!")
+    word = F.max(F.when((F.col("type") != "SYM") & ~mark, F.col("tok_no"))).over(w)
+    end = F.max(F.when(mark, F.col("tok_no"))).over(w)
+    end = F.when(end > F.coalesce(word, F.lit(-1)), end).otherwise(F.max("tok_no").over(w))
+    return sentences.withColumn("is_end", F.col("tok_no") == end)
 
 
 # --- training -------------------------------------------------------------------------------------------------------
@@ -199,7 +206,7 @@ def score(candidates: DataFrame, keys: list[str], features: tuple[str, ...], mod
     pairs = [F.struct(F.lit(n).alias("feature"), feature(n).alias("value")) for n in features]
     long = (F.octet_length("l") > MAX_BYTES) | (F.octet_length("r") > MAX_BYTES)
     rows = candidates.select(*keys, long.alias("long"), F.explode(F.array(*pairs)).alias("f")).select(*keys, "long", "f.*")
-    few = len(model.prob.select("feature").limit(MAX_VALUES + 1).collect()) <= MAX_VALUES  # of a table that is written
+    few = model.prob.limit(MAX_VALUES + 1).count() <= MAX_VALUES  # of a table that is written
     prob = F.broadcast(model.prob) if few else model.prob
     unknown = model.unknown.select("feature", F.col("lp_eos").alias("u_eos"), F.col("lp_not").alias("u_not"))
     rows = rows.join(prob, ["feature", "value"], "left").join(F.broadcast(unknown), "feature")

@@ -204,6 +204,7 @@ ORACLES = {
     "format_sentences": f"""{_SENT}, f as (select doc_id, sent_no, string_agg(regexp_replace(str, '[ \t\n]+', ' ', 'g') || ' ', '' order by tok_no) t from sent group by doc_id, sent_no)
 select doc_id, string_agg(t || '|' || chr(10), '' order by sent_no) lines from f group by doc_id""",
     "sentences_bayes": _bayes_sql(),
+    "sentences_by_model_file": _bayes_sql(),
     "token_type_hist": f"{_TOK} select lang, type, count(*) n from tok group by all",
     "token_stream": f"""with m as (select doc_id, regexp_extract_all(text, '{_RX}') m, regexp_split_to_array(text, '{_RX}') p from documents),
 t as (select doc_id, unnest(range(len(m))) seq, unnest(m) str, unnest(p[:len(m)]) gap from m)

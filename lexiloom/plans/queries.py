@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import formatting, lexicons
 from ..functions import text as tx
-from ..operators import sbd
+from ..operators import judged, sbd
 from ..operators import segment as sg
 from ..sources import text as src
 from ..sources.scratch import shared_folder, written
@@ -188,7 +188,15 @@ def nb_eval(spark, sf_dir):
 
 
 def sentences_bayes(spark, sf_dir):
-    """Sentences by a classifier trained on these documents, after a round trip through its file form."""
+    """Sentences by a classifier trained on these documents, whose periods are judged by joins with its tables."""
+    features = sbd.FEATURES["de"]
+    tables = sbd.train(_candidates(spark, sf_dir), features)
+    rows = judged.sentence_tokens(_docs(spark, sf_dir), ["doc_id"], F.col("lang"), features, tables)
+    return rows.groupBy("doc_id", "sent_no").agg(F.count("*").cast("int").alias("n_tokens"))
+
+
+def sentences_by_model_file(spark, sf_dir):
+    """The same row by row, with a model that went through its file form."""
     features = sbd.FEATURES["de"]
     tables = sbd.train(_candidates(spark, sf_dir), features)
     model = sbd.parse_model(sbd.dump_model(sbd.Model.of(tables, "own", features)))
@@ -340,7 +348,7 @@ QUERIES = {
         token_type_hist, token_stream, token_stream_sql, conversation_tokens, page_tokens, part_names, grapheme_counts,
         grapheme_stream, byte_lengths, text_classes, normal_forms, case_folds, nfc_paragraphs, sentences_fsm,
         sentence_len_hist, sentence_token_conservation, format_tokens, format_sentences, sbd_candidates, sbd_features,
-        nb_train_counts, nb_train_model, nb_score, nb_eval, sentences_bayes, type_rollup_by_lang, top_tokens, vocab_except,
+        nb_train_counts, nb_train_model, nb_score, nb_eval, sentences_bayes, sentences_by_model_file, type_rollup_by_lang, top_tokens, vocab_except,
         vocab_intersect, abbreviation_hits, languages, type_names, token_micro_batches,
         language_rules, sentence_rules, sentence_rules_bayes, grapheme_rules, character_classes, feature_rules, corpus_tokens, text_rules,
         model_file, cleaned_tokens, type_counts_stream,
