@@ -112,17 +112,17 @@ def python_feature(name: str, left: tuple[str, str], right: tuple[str, str]) ->
 # --- candidates -----------------------------------------------------------------------------------------------------
 
 
-def contexts(tokens: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+def contexts(tokens: DataFrame, keys: list[str], order: str = "seq", carry: list[str] | None = None) -> DataFrame:
     """The periods among ``tokens`` (keys, order, str, type) with two tokens on either side.
 
     Columns: keys, seq, and str/type of the neighbours as l2, l2_type, l, l_type, r, r_type, r2, r2_type. Beyond the
-    ends stand empty UNK tokens. One shuffle by document.
+    ends stand empty UNK tokens. Columns in ``carry`` come along. One shuffle by document.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     cols = []
     for name, by in (("l2", 2), ("l", 1), ("r", -1), ("r2", -2)):
         cols += [F.lag("str", by, "").over(w).alias(name), F.lag("type", by, "UNK").over(w).alias(f"{name}_type")]
-    return tokens.select(*keys, F.col(order).alias("seq"), "str", "type", *cols).where(F.col("str") == ".").drop("str", "type")
+    return tokens.select(*keys, F.col(order).alias("seq"), "str", "type", *(carry or []), *cols).where(F.col("str") == ".").drop("str", "type")
 
 
 def contexts_in(tokens: Column, periods: str = ".", offsets: bool = False) -> Column:

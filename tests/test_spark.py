@@ -130,7 +130,7 @@ def test_corpus_round_trip(spark, tmp_path):
     src.write_corpus(rows, str(tmp_path / "c"))
     tokens = src.parse_corpus(src.read_lines(spark, str(tmp_path / "c")))
     assert [r.str for r in tokens.orderBy("sent_no", "tok_no").collect()][:5] == ["He", "came", "at", "5", "."]
-    cand = src.corpus_candidates(tokens).orderBy("seq").collect()
+    cand = src.corpus_candidates(tokens).orderBy("sent_no", "tok_no").collect()
     assert [(r.l, r.r, r.label) for r in cand] == [("5", "(", "EOS"), ("left", ")", "EOS")]
     src.write_features(src.corpus_candidates(tokens), str(tmp_path / "f"))
     assert len(spark.read.text(str(tmp_path / "f")).first().value.split("\t")) == 25
