@@ -6,6 +6,7 @@ engine takes the longest of many patterns.
 
 from __future__ import annotations
 
+from ..functions import charsets, lexicons
 from . import cases
 
 # Fixed values, stated here anew so that a wrong list of the engine's shows.
@@ -65,7 +66,7 @@ _PUT_BACK = "('ABBR', 'LATIN', 'SUFFIX', 'NUM')"
 
 #: sent: the tokens of rule-based sentences, periods put back.
 _SENT = rf"""with pc as (select doc_id, lang, unnest(range(len(m))) k, unnest(m) p, len(m) n from (select doc_id, lang, regexp_extract_all(text, '{_RULE_PIECE}') m from documents)),
-ev as (select *, case when regexp_full_match(p, '{_ENDS}') then case when regexp_matches(p, '\.{_TRAIL}$') then 'F' else 'E' end
+ev as (select *, case when regexp_full_match(p, '{_ENDS}') then case when regexp_matches(p, '(^|[^.])\.{_TRAIL}$') then 'F' else 'E' end
   when regexp_full_match(p, '{_PARA}') then 'P' when k = n - 1 and regexp_full_match(p, '{_KEPT}') then 'F' end e from pc),
 sl as (select doc_id, lang, s, string_agg(p, '' order by k) t, max(e) = 'F' final, min(b) b from
   (select *, coalesce(sum(case when e is null then 0 else 1 end) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) s,
@@ -152,26 +153,67 @@ def _quoted(x) -> str:
     return " || ".join(p for p in [*parts, f"'{plain}'"] if p != "''") or "''"
 
 
-def _values(rows: list[tuple], columns: str) -> str:
-    """A table of fixed rows."""
-    return f"select * from (values {', '.join('(' + ', '.join(map(_quoted, r)) + ')' for r in rows)}) t({columns})"
+def _replaced(x: str, pairs) -> str:
+    for old, new in pairs:
+        x = f"replace({x}, {_quoted(old)}, {_quoted(new)})"
+    return x
 
 
-def _case_rows(rows: list[tuple], *of) -> list[tuple]:
-    return [(i, *[r[k] for k in of]) for i, r in enumerate(rows)]
+def _language_sql(rules: str, lang: str) -> str:
+    """Tokens of derived texts: words are cut into listed words, prefixes before a letter, the rest and its suffix."""
+    alt = lambda words: "|".join(w.replace("'", "''") for w in sorted(words.split(), key=len, reverse=True))
+    prefix, suffix, words = (alt(t.get(rules, "")) for t in (lexicons.PREFIXES, lexicons.SUFFIXES, lexicons.WORDS))
+    first = rf"''(?:[tT][iI][sS]|[tT][wW][aA][sS])|(?i:''til|&c)|" if rules == "en" else rf"(?i:ne''|e'')|" if rules == "it" else ""
+    paths = r"(?:~|\.\.?)/\S+[A-Za-z0-9]/?|/(?:usr)(?:/\S+[A-Za-zÀ-ÖØ-öø-ÿ0-9])?/?|"
+    numbers = r"(?:(?:19|20)[0-9]|[1-9])0''[sS]|0[xX][0-9a-fA-F]+|[0-9]+:[0-9]+|"
+    cut = rf"(?i:{words})|(?i:{prefix})''[0-9].*|(?i:{prefix})''|.+"
+    last = rf"^(.+?)((?i:{suffix}))$" if suffix else "^$()()"
+    return rf"""select doc_id, string_agg(str || '/' || type, ' ' order by seq, k, j) t, count(*) filter (type = 'PREFIX') a, count(*) filter (type = 'SUFFIX') b, count(*) filter (type = 'URI') c, count(*) filter (type = 'PATH') d from (
+  select doc_id, seq, k, unnest(strs) str, unnest(kinds) type, unnest(range(len(strs))) j from (
+  select doc_id, seq, k, case when type <> 'LATIN' then [p] when {_is_word('p', words)} then [p] when regexp_full_match(p, '''[tT].*') then [p[:2], p[3:]] when regexp_full_match(p, '(?i:{prefix})''') then [p]
+    when regexp_matches(p, '{last}') then [regexp_extract(p, '{last}', 1), regexp_extract(p, '{last}', 2)] else [p] end strs,
+    case when type <> 'LATIN' then [type] when {_is_word('p', words)} then ['LATIN'] when regexp_full_match(p, '''[tT].*') then ['LATIN', 'LATIN'] when regexp_full_match(p, '(?i:{prefix})''') then ['PREFIX']
+    when regexp_matches(p, '{last}') then ['LATIN', 'SUFFIX'] else ['LATIN'] end kinds
+  from (select doc_id, seq, type, unnest(range(len(ps))) k, unnest(ps) p from (select doc_id, seq, type, case when type = 'LATIN' then regexp_extract_all(str, '{cut}') else [str] end ps from
+    (select doc_id, seq, str, case when regexp_full_match(str, '{paths[:-1]}') then 'PATH' when regexp_full_match(str, '{numbers[:-1]}') then 'NUM' else type end type from
+      ({_tokens(f"(select doc_id, {_replaced('text', cases.DERIVED[rules])} t from documents where lang = '{lang}')", "doc_id", "t", f"{_URI}|{paths}{numbers}{first}")}))))))
+  group by doc_id"""
 
 
-_SIGNS = [(c, s in inside) for c, inside, outside in cases.CLASSES for s in (*inside, *outside)]
+def _is_word(x: str, words: str) -> str:
+    return f"regexp_full_match({x}, '(?i:{words})')" if words else "false"
 
-def _bayes_sql() -> str:
-    """Sentences by a classifier of (l_case, l_suffix3, r_shape): judged periods and other ends are positions, and a token's
+
+_CATEGORY = " ".join(f"when regexp_matches(c, '\\p{{{k}}}') then '{chr(48 + i)}'" for i, k in enumerate(charsets.CATEGORIES) if k != "Cn")
+
+
+def _unimask(x: str) -> str:
+    return f"array_to_string(list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: case {_CATEGORY} else '0' end), '')"
+
+
+# Signs of the classes as far as the tables, and the signs put into them, go.
+_CLASSES = {
+    "LETTER": r"\p{Latin}", "UPPER": r"[A-ZÀ-ÖØ-Þ]", "LOWER": "[a-zß-öø-ÿⅷ]", "LATIN": r"\p{Latin}|[0-9]", "NEWLINE": r"[\n\r]", "HORIZONTAL": r"[ \t]", "BLANK": r"\s", "NONBLANK": r"\S",
+    "APOSTROPHE": "[''‘’]", "OPEN_SINGLE": "[''‘]", "CLOSE_SINGLE": "[''’]", "OPEN_DOUBLE": '["“„«‹]', "CLOSE_DOUBLE": '["”»›]', "OPEN_BRACKET": r"[(\[{]", "CLOSE_BRACKET": r"[)\]}]",
+    "HYPHEN": "[-‐‑﹣]", "MINUS": "[-﹣−]", "DASH": "[‒–—]", "PERIOD": "[.．]", "ELLIPSIS": "…",
+}
+
+
+def _derived(sql: str) -> str:
+    """The same SQL over documents with the texts for sentences."""
+    own = f"derived as (select doc_id, lang, {_replaced('text', cases.DERIVED_SENTENCES)} as text from documents)"
+    return f"with {own}, {sql.removeprefix('with ').replace('from documents', 'from derived').replace('join documents', 'join derived')}"
+
+
+def _bayes_sql(judge: str = "") -> str:
+    """Sentences by a classifier of (l_case, l_suffix3, r_shape), or by a condition over its columns: judged periods and other ends are positions, and a token's
     sentence is the number of ends up to it."""
     names = ("l_case", "l_suffix3", "r_shape")
     values = " union all ".join(f"select doc_id, seq, label, '{n}' feature, {_feature(n)} as value from cand" for n in names)
     model = _model("true", "a")
     return rf"""{_CAND.replace(_TOK, _TOK_AT)},
 val as (select x.*, long from ({values}) x join (select doc_id, seq, greatest(strlen(l), strlen(r)) > 128 as long from cand) using (doc_id, seq)),{model},
-judged as (select doc_id, seq, lp_eos >= lp_not or long or r = '' as ends from {_scores('true', 'a')} join cand using (doc_id, seq)),
+judged as (select doc_id, seq, {judge or 'lp_eos >= lp_not or long'} or r = '' as ends from {_scores('true', 'a')} join cand using (doc_id, seq)),
 pc as (select doc_id, unnest(range(len(m))) k, unnest(m) p from (select doc_id, regexp_extract_all(text, '{_BAYES_PIECE}') m from documents)),
 pos as (select *, coalesce(sum(strlen(p)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) b from pc),
 n_tok as (select doc_id, count(*) n, list(o order by o) os from tok group by doc_id),
@@ -247,17 +289,33 @@ select * from (select lang, str, n, (row_number() over (partition by lang order
     "vocab_except": f"{_TOK}, items as ({_tokens('benchmark', 'item_id')}) select distinct str from tok where type = 'LATIN' and str not in (select str from items where type = 'LATIN')",
     "vocab_intersect": f"{_TOK}, items as ({_tokens('benchmark', 'item_id')}) select str from tok where type = 'LATIN' intersect select str from items where type = 'LATIN'",
     "abbreviation_hits": f"{_CAND} select lang, l, count(*) n from cand join documents using (doc_id) where l in (select * from (values {_ABBRS})) group by all",
-    "languages": "select unnest(['de', 'en', 'fr', 'it']) lang",
-    "type_names": "select range code, coalesce(['UNK', 'LATIN', 'PREFIX', 'SUFFIX', 'SYM', 'NUM', 'ABBR', 'EMAIL', 'URI', 'PATH'][range + 1], 'UNK') as name from range(12)",
+    "languages": "select lang, lang in ('de', 'en', 'fr', 'it') own, count(*) n from documents group by all",
+    "type_names": f"""{_TOK}, k as (select type, list_position(['UNK', 'LATIN', 'PREFIX', 'SUFFIX', 'SYM', 'NUM', 'ABBR', 'EMAIL', 'URI', 'PATH'], type) - 1 code, count(*) n from tok group by type)
+select code::int code, type as name, 'UNK' beyond, n from k""",
     "token_micro_batches": f"{_TOK} select doc_id, seq::int seq, str, type from tok",
-    "language_rules": _values(_case_rows(cases.TOKENS, 2), "case_no, tokens"),
-    "sentence_rules": _values(_case_rows(cases.SENTENCES, 2), "case_no, sentences"),
-    "sentence_rules_bayes": _values(_case_rows(cases.BY_CLASSIFIER, 2), "case_no, sentences"),
-    "grapheme_rules": _values(_case_rows(cases.GRAPHEMES, 1), "case_no, clusters"),
-    "character_classes": _values(_case_rows(_SIGNS, 0, 1), "case_no, class, inside"),
-    "feature_rules": _values(_case_rows(cases.FEATURES, 4, 5, 6, 7), "case_no, de, en, fr, it"),
-    "corpus_tokens": _values(cases.CORPUS_TOKENS, "sent_no, tok_no, str, type"),
-    "text_rules": _values(_case_rows(cases.TEXTS, 1, 2, 3, 4, 5), "case_no, visible, assigned, nfkc, folded, prepared"),
+    "language_rules": "select doc_id, md5(t) tokens_md5, a::int n_prefix, b::int n_suffix, c::int n_uri, d::int n_path from (" + " union all ".join(_language_sql(*x) for x in (("en", "en"), ("fr", "fr"), ("it", "es"))) + ")",
+    "sentence_rules": _derived(f'{_SENT} select doc_id, sent_no, tok_no, str, len, "offset", type from sent'),
+    "sentence_rules_bayes": _derived(_bayes_sql(r"regexp_matches(r, '^\p{Lu}')")),
+    "grapheme_rules": rf"""select doc_id, len(g)::int n, md5(array_to_string(g, '|')) clusters_md5 from (select doc_id, regexp_extract_all({_replaced('text', cases.DERIVED_CLUSTERS)},
+  '\r\n|(?:\x{{1100}}\x{{1161}}|[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|\x{{1F466}}\x{{1F3FD}}|(?s:.))[\x{{300}}-\x{{36f}}\x{{e33}}]*') g from documents)""",
+    "character_classes": f"""with t as (select text from documents union all select html from pages union all select translate(text, {_quoted(cases.DERIVED_SIGNS[0])}, {_quoted(cases.DERIVED_SIGNS[1])}) from documents),
+s as (select c, count(*) n from (select unnest(string_split(text, '')) c from t) where c <> '' group by c)
+select x.name as class, sum(n)::bigint n, count(*) signs from s join (values {', '.join(f"('{n}', '{p}')" for n, p in _CLASSES.items())}) x(name, rx) on regexp_full_match(c, rx) group by x.name""",
+    "feature_rules": f"""{_CAND}, f as (select *, {_unimask('l')} lm, {_unimask('r')} rm from cand)
+select doc_id, seq::int seq, {_case('l')} || '|' || right(l, 3) || '|' || {_feature('r_shape')} de, right(l, 4) || '|' || left(r, 4) || '|' || {_feature('r_shape')} || '/' || {_feature('l_mask')} en,
+  lm fr, {_case('l')} || '|' || right(l, 2) || '|' || left(r, 4) || '/' || rm it, lm l_unimask, rm r_unimask from f""",
+    "corpus_tokens": f"""{_SENT}, m as (select *, str in ('.', '?', '!') mark from sent),
+e as (select doc_id, sent_no, max(tok_no) filter (mark) e, coalesce(max(tok_no) filter (type <> 'SYM' and not mark), -1) w, max(tok_no) z from m group by doc_id, sent_no)
+select type, tok_no = case when e > w then e else z end is_end, count(*) n, count(distinct regexp_replace(str, ' +', ' ', 'g')) distinct_tokens from m join e using (doc_id, sent_no) group by all""",
+    "corpus_contexts": f"""{_SENT}, m as (select *, str in ('.', '?', '!') mark, lag(type) over (partition by doc_id, sent_no order by tok_no) l_type from sent),
+e as (select doc_id, sent_no, max(tok_no) filter (mark) e, coalesce(max(tok_no) filter (type <> 'SYM' and not mark), -1) w, max(tok_no) z from m group by doc_id, sent_no having count(*) > 1)
+select l_type, case when tok_no = case when e > w then e else z end then 'EOS' else '!EOS' end as label, count(*) n from m join e using (doc_id, sent_no) where str = '.' and tok_no > 0 group by all""",
+    "text_lines": "select md5(l) line_md5, count(*) n from (select unnest(string_split(text, chr(10))) l from documents) group by 1",
+    "text_paragraphs": r"""with p as (select list_filter(regexp_split_to_array(text, '(?:[ \t]*\n){2,}'), lambda x: not regexp_full_match(x, '\s*')) p from documents)
+select md5(regexp_replace(x, '\n$', '') || chr(10)) para_md5, count(*) n from (select unnest(p) x from p) group by 1""",
+    "text_rules": f"""with t as (select doc_id, {_replaced('text', cases.DERIVED_FORMS)} t, text from documents)
+select doc_id, md5(replace(t, chr(173), '')) visible_md5, md5(replace(t, chr(888), '')) assigned_md5, md5(replace(t, chr(64257), 'fi')) nfkc_md5,
+  md5(replace(replace(lower(t), 'ß', 'ss'), chr(64257), 'fi')) folded_md5, md5(replace(t, chr(173), '')) prepared_md5, md5(replace(text, 'f', 'fi')) cleaned_md5 from t""",
     "model_file": f"{_VAL},{_model('true', 'a')} select feature, value, round(lp_eos, 9) lp_eos, round(lp_not, 9) lp_not from pa where feature in ('l_case', 'l_len')",
     "cleaned_tokens": f"{_TOK} select type, count(*) n, sum(strlen(str))::bigint bytes from tok group by type",
     "type_counts_stream": """with e as (select time_bucket(interval '1 hour', ts) as hour, regexp_extract_all(event_type, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]') m, ts from events),

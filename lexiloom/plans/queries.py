@@ -12,6 +12,7 @@ from ..functions import formatting, lexicons
 from ..functions import text as tx
 from ..operators import judged, sbd
 from ..operators import segment as sg
+from ..operators.tokens import TYPES
 from ..sources import text as src
 from ..sources.scratch import shared_folder, written
 from . import cases
@@ -236,11 +237,16 @@ def abbreviation_hits(spark, sf_dir):
 
 
 def languages(spark, sf_dir):
-    return sg.languages(spark)
+    """The documents' languages, and whether they have rules or models of their own."""
+    n = _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(sg.languages(spark).withColumn("own", F.lit(True))), "lang", "left").select("lang", F.coalesce("own", F.lit(False)).alias("own"), "n")
 
 
 def type_names(spark, sf_dir):
-    return spark.range(12).select(F.col("id").alias("code"), sg.type_name(F.col("id").cast("int")).alias("name"))
+    """The number of each token's type, and the names of that number and of one beyond all types."""
+    kinds = _docs(spark, sf_dir).select(F.explode(sg.token_types("text", F.col("lang"))).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    code = (F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type")) - 1).cast("int")
+    return kinds.select(code.alias("code"), sg.type_name(code).alias("name"), sg.type_name(code + 10).alias("beyond"), "n")
 
 
 def token_micro_batches(spark, sf_dir):
@@ -254,66 +260,102 @@ def token_micro_batches(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(f"{root}/tokens")
 
 
-def _cases(spark, rows: list[tuple], columns: str) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"case_no int, {columns}")
-
-
-def _bars(parts) -> F.Column:
-    return F.array_join(parts, " | ")
+def _replaced(text: F.Column, pairs) -> F.Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def language_rules(spark, sf_dir):
-    """Prefixes, suffixes, word lists, abbreviations, paths and all other kinds of tokens, on small texts of each language."""
-    rows = _cases(spark, [c[:2] for c in cases.TOKENS], "lang string, text string")
-    return rows.select("case_no", _bars(F.transform(sg.tokens("text", F.col("lang")), lambda t: F.concat_ws("/", t["str"], t["type"]))).alias("tokens"))
+    """Prefixes, suffixes, word lists, paths, URIs and other kinds of tokens: the documents with words replaced by such."""
+    out = None
+    for rules, lang in (("en", "en"), ("fr", "fr"), ("it", "es")):
+        rows = _docs(spark, sf_dir).where(F.col("lang") == lang).select("doc_id", _replaced(F.col("text"), cases.DERIVED[rules]).alias("text"))
+        found = rows.select("doc_id", sg.tokens("text", rules).alias("t"))
+        n = lambda kind: F.size(F.filter("t", lambda x: x["type"] == kind)).alias(f"n_{kind.lower()}")
+        found = found.select("doc_id", F.md5(F.array_join(F.transform("t", lambda x: F.concat_ws("/", x["str"], x["type"])), " ")).alias("tokens_md5"), *[n(k) for k in ("PREFIX", "SUFFIX", "URI", "PATH")])
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def _split(spark, rows, **how):
-    texts = _cases(spark, [c[:2] for c in rows], "lang string, text string")
-    found = F.transform(sg.sentences("text", F.col("lang"), **how), lambda s: F.array_join(F.transform(s, lambda t: t["str"]), " "))
-    return texts.select("case_no", _bars(found).alias("sentences"))
+def _derived_sentences(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", "lang", _replaced(F.col("text"), cases.DERIVED_SENTENCES).alias("text"))
 
 
 def sentence_rules(spark, sf_dir):
-    return _split(spark, cases.SENTENCES, sbd="fsm")
+    """Rule-based sentences of the documents with quotes, brackets, ellipses, abbreviations and paragraphs put in."""
+    rows = sg.sentence_token_table(_derived_sentences(spark, sf_dir), F.col("lang"), sbd="fsm")
+    return rows.select("doc_id", "sent_no", "tok_no", "str", "len", "offset", "type")
+
+
+#: A classifier of one feature: a capital behind the period ends the sentence.
+CAPITALS = sbd.Model("en_capitals", ("r_case",), (-1.0, -1.0), [(-9.0, -9.0)], {(0, "LCAP"): (-0.1, -4.0), (0, "LLOW"): (-4.0, -0.1)})
 
 
 def sentence_rules_bayes(spark, sf_dir):
-    """Sentences by a small classifier of one feature, read from its file form."""
-    values = {(0, "LCAP"): (-0.1, -4.0), (0, "LLOW"): (-4.0, -0.1)}
-    model = sbd.parse_model(sbd.dump_model(sbd.Model("en_cases", ("r_case",), (-1.0, -1.0), [(-9.0, -9.0)], values)))
-    return _split(spark, cases.BY_CLASSIFIER, sbd="bayes", model=model)
+    """The same by a small classifier that was read from its file form, row by row."""
+    model = sbd.parse_model(sbd.dump_model(CAPITALS))
+    rows = sg.sentence_table(_derived_sentences(spark, sf_dir), F.col("lang"), sbd="bayes", model=model)
+    return rows.select("doc_id", "sent_no", F.size("tokens").alias("n_tokens"))
 
 
 def grapheme_rules(spark, sf_dir):
-    """Hangul, emoji, flags, marks and line ends."""
-    rows = _cases(spark, [c[:1] for c in cases.GRAPHEMES], "text string")
-    return rows.select("case_no", _bars(F.transform(sg.graphemes("text"), lambda t: t["str"])).alias("clusters"))
+    """Clusters of the documents with letters replaced by Hangul, emoji, flags, marks and line ends."""
+    rows = _docs(spark, sf_dir).select("doc_id", sg.graphemes(_replaced(F.col("text"), cases.DERIVED_CLUSTERS)).alias("g"))
+    return rows.select("doc_id", F.size("g").alias("n"), F.md5(F.array_join(F.transform("g", lambda t: t["str"]), "|")).alias("clusters_md5"))
 
 
 def character_classes(spark, sf_dir):
-    """Signs in and out of each character class."""
-    rows = [(c, s) for c, inside, outside in cases.CLASSES for s in (*inside, *outside)]
-    return _cases(spark, rows, "class string, sign string").select("case_no", "class", tx.in_class("sign", F.col("class")).alias("inside"))
+    """How many signs of the documents, pages and documents with replaced letters are in each class."""
+    docs, pages = _docs(spark, sf_dir).select("text"), _docs(spark, sf_dir, "pages").select(F.col("html").alias("text"))
+    texts = docs.unionByName(pages).unionByName(docs.select(F.translate("text", *cases.DERIVED_SIGNS).alias("text")))
+    signs = texts.select(F.explode(F.split("text", "")).alias("sign")).groupBy("sign").agg(F.count("*").alias("n"))
+    of = F.filter(F.array(*[F.when(tx.in_class("sign", F.lit(c)), F.lit(c)) for c in cases.CLASSES]), lambda c: c.isNotNull())
+    return signs.select("n", F.explode(of).alias("class")).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("signs"))
 
 
 def feature_rules(spark, sf_dir):
-    """The features of each language's classifier on a few periods, masks of Unicode categories included."""
-    rows = _cases(spark, [c[:4] for c in cases.FEATURES], "l string, l_type string, r string, r_type string")
-    own = {g: F.array_join(F.array(*[F.replace(sbd.feature(n), F.lit(sbd.SEPARATOR), F.lit("/")) for n in sbd.FEATURES[g]]), "|").alias(g) for g in ("de", "en", "fr", "it")}
-    return rows.select("case_no", *own.values())
+    """The features of each language's classifier, masks of Unicode categories included."""
+    joined = lambda names: F.array_join(F.array(*[F.replace(sbd.feature(n), F.lit(sbd.SEPARATOR), F.lit("/")) for n in names]), "|")
+    own = {g: joined(sbd.FEATURES[g]).alias(g) for g in ("de", "en", "fr", "it")}
+    return _candidates(spark, sf_dir).select("doc_id", "seq", *own.values(), sbd.feature("l_unimask").alias("l_unimask"), sbd.feature("r_unimask").alias("r_unimask"))
 
 
 def corpus_tokens(spark, sf_dir):
-    """A tagged corpus as tokens; blanks within a token and slashes in it are kept."""
-    lines = spark.createDataFrame([("corpus", i, t) for i, t in enumerate(cases.CORPUS)], "path string, line int, text string")
-    return src.parse_corpus(lines).select("sent_no", "tok_no", "str", "type")
+    """The documents' sentences as a tagged corpus, written, read line by line, and its tokens' labels counted."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    src.write_corpus(sg.sentence_table(_docs(spark, sf_dir), F.col("lang"), sbd="fsm"), path)
+    tokens = sbd.labelled_tokens(src.parse_corpus(src.read_lines(spark, path)), ["path"])
+    return tokens.groupBy("type", "is_end").agg(F.count("*").alias("n"), F.countDistinct("str").alias("distinct_tokens"))
+
+
+def corpus_contexts(spark, sf_dir):
+    """Labelled periods of that corpus and how many tokens before them have which type."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    src.write_corpus(sg.sentence_table(_docs(spark, sf_dir), F.col("lang"), sbd="fsm").where("size(tokens) > 1"), path)
+    found = src.corpus_candidates(src.parse_corpus(src.read_lines(spark, path))).where("tok_no > 0")
+    return found.groupBy("l_type", "label").agg(F.count("*").alias("n"))
+
+
+def text_lines(spark, sf_dir):
+    """Lines of the documents, written as text files and read by blocks."""
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    _docs(spark, sf_dir).select("text").write.text(path)
+    return src.read_lines(spark, path).groupBy(F.md5("text").alias("line_md5")).agg(F.count("*").alias("n"))
+
+
+def text_paragraphs(spark, sf_dir):
+    """Paragraphs of the documents, written as text files with a blank line between documents and read by blocks."""
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    _docs(spark, sf_dir).select(F.concat("text", F.lit("\n"))).write.text(path)
+    return src.read_paragraphs(spark, path).groupBy(F.md5("text").alias("para_md5")).agg(F.count("*").alias("n"))
 
 
 def text_rules(spark, sf_dir):
-    """Ignorable and unknown code points, compatibility forms, case folding and preparation."""
-    rows = _cases(spark, [c[:1] for c in cases.TEXTS], "text string")
-    return rows.select("case_no", tx.strip_ignorable("text").alias("visible"), tx.strip_unknown("text").alias("assigned"), tx.normalized("text", "NFKC").alias("nfkc"), tx.case_folded("text").alias("folded"), tx.prepared("text").alias("prepared"))
+    """Ignorable and unknown code points, compatibility forms, case folding and preparation, put into the documents."""
+    rows = _docs(spark, sf_dir).select("doc_id", _replaced(F.col("text"), cases.DERIVED_FORMS).alias("text"))
+    forms = {"visible": tx.strip_ignorable("text"), "assigned": tx.strip_unknown("text"), "nfkc": tx.normalized("text", "NFKC"), "folded": tx.case_folded("text"), "prepared": tx.prepared("text"), "cleaned": sbd.cleaned("text")}
+    return rows.select("doc_id", *[F.md5(c).alias(f"{n}_md5") for n, c in forms.items()])
 
 
 def model_file(spark, sf_dir):
@@ -351,6 +393,7 @@ QUERIES = {
         nb_train_counts, nb_train_model, nb_score, nb_eval, sentences_bayes, sentences_by_model_file, type_rollup_by_lang, top_tokens, vocab_except,
         vocab_intersect, abbreviation_hits, languages, type_names, token_micro_batches,
         language_rules, sentence_rules, sentence_rules_bayes, grapheme_rules, character_classes, feature_rules, corpus_tokens, text_rules,
+        corpus_contexts, text_lines, text_paragraphs,
         model_file, cleaned_tokens, type_counts_stream,
     )
 }

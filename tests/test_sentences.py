@@ -9,7 +9,7 @@ from lexiloom.operators import sentences
 from lexiloom.operators.graphemes import graphemes
 from lexiloom.operators.sentences import MAX_TOKENS, bayes_sentences, rule_sentences
 from lexiloom.operators.tokens import tokenize
-from lexiloom.plans.cases import SENTENCES
+from cases import SENTENCES
 
 # What the rules make of texts of our own.
 MORE = [

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lexiloom.operators.tokens import TYPES, scanner, tokenize
-from lexiloom.plans.cases import TOKENS
+from cases import TOKENS
 
 # What the rules make of texts of our own.
 MORE = [
