@@ -20,3 +20,6 @@ CLASSES = (
     "LETTER", "UPPER", "LOWER", "LATIN", "MARK", "NEWLINE", "HORIZONTAL", "BLANK", "NONBLANK", "APOSTROPHE", "OPEN_SINGLE", "CLOSE_SINGLE", "OPEN_DOUBLE",
     "CLOSE_DOUBLE", "OPEN_BRACKET", "CLOSE_BRACKET", "HYPHEN", "MINUS", "DASH", "PERIOD", "ELLIPSIS",
 )
+# No apostrophe before a digit.
+for _lang in ("fr", "it"):
+    DERIVED[_lang] += [(f"'{d}", f" {d}") for d in range(10)]
