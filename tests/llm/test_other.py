@@ -311,10 +311,30 @@ def test_contamination_by_several_blocks_and_rare_shingles(spark, monkeypatch):
     assert {x.doc_id for x in decontam.drop_contaminated(df, bench).collect()} == set(range(len(docs))) - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("n", [14, 40, 120])
+def test_fingerprints_find_all_pairs_at_the_threshold(monkeypatch, n):
+    """Windows that share just enough with an item: the blocks alone find them, and nothing is found without them."""
+    r = random.Random(n)
+    items = [sentence(r, n).split() for _ in range(300)]
+    block = decontam.Block([(i, " ".join(w).encode()) for i, w in enumerate(items)], 5, decontam.RADIUS, 80)
+    docs = []
+    for i, w in enumerate(items):
+        w = list(w)
+        for at in sorted(r.sample(range(n), n)):  # words change as long as the pair stays similar enough
+            old, w[at] = w[at], "zz" + str(r.random())
+            if not plain_matches(" ".join(w), " ".join(items[i])):
+                w[at] = old
+        docs.append(" ".join(w))
+    found = lambda: [m[0] for d in docs for m in block.matches(decontam.WordHashes().of(decontam.lower_words(d.encode())))]
+    assert found() == list(range(300))
+    monkeypatch.setattr(decontam.Block, "_near", lambda *_: iter(()))
+    assert found() == []
+
+
 def test_hamming_blocks_miss_nothing_within_the_radius():
     r = random.Random(9)
     block = decontam.Block([(i, sentence(r, 30).encode()) for i in range(50)], 5, 19, 80)
-    _, _, _, prints, index, _, _ = block.sizes[0]
+    _, _, _, prints, index, *_ = block.sizes[0]
     probe = prints.copy()
     for p in probe:
         for b in r.sample(range(64), r.randint(0, 30)):
