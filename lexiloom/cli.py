@@ -8,16 +8,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import formatting
+from .functions import text as tx
 from .operators import sbd
 from .operators import segment as sg
 from .sources import text as src
+from .streaming import write_formatted
 
 VERSION = "0.1"
 
 
 def formatted(docs: DataFrame, mode: str, config: str, fmt: str, end: str, model=None) -> DataFrame:
-    """(path, para_no, value): each paragraph of ``docs`` (path, text), segmented and written out."""
-    rows = src.paragraph_table(docs)
+    """(path, para_no, value): each paragraph of ``docs`` (path, para_no, text), segmented and written out."""
+    rows = docs.withColumn("text", tx.prepared("text"))
     lang, kind = sg.parse_config(config)
     if mode == "sentence":
         found = sg.sentences("text", lang, kind if lang in ("de", "en", "fr", "it") else "fsm", model)
@@ -46,10 +48,10 @@ def main(argv: list[str] | None = None) -> None:
         p.error("an input path is needed")
     spark = SparkSession.builder.getOrCreate()
     model = None if not a.model else sbd.load_model(spark, a.model) if a.model.endswith(".mdl") else sbd.load_models(spark, a.model)
-    out = formatted(src.read_texts(spark, a.input), a.mode, a.lang, a.format, a.eos, model)
+    out = formatted(src.read_paragraphs(spark, a.input), a.mode, a.lang, a.format, a.eos, model)
     out = out.orderBy("path", "para_no").select("value")
     if a.output:
-        out.write.option("lineSep", "").text(a.output)
+        write_formatted(out, a.output, formatting.common_end(a.format, a.eos if a.mode == "sentence" else None))
     else:
         for row in out.toLocalIterator():
             print(row.value, end="")

@@ -36,6 +36,15 @@ def unescaped(text: str) -> str:
     return "".join(x for _, x in _parts(text.replace("%", "%%")))
 
 
+def common_end(fmt: str, end: str | None = None) -> str:
+    """The sign that everything formatted so ends in, tokens or (with ``end``) sentences; empty if there is none."""
+    for text in (unescaped(end or ""), fmt):
+        parts = [("text", text)] if text is not fmt else _parts(fmt)
+        if parts and parts[-1][1]:
+            return parts[-1][1][-1] if parts[-1][0] == "text" else ""
+    return ""
+
+
 def format_token(text: Column, kind: Column, length: Column, fmt: str = "%s\\n") -> Column:
     """%s the token with its blanks squeezed, %t its type, %l its length in bytes, %% a percent sign; \\n, \\t, \\\\."""
     of = {"s": lambda: squeezed(text), "t": lambda: kind, "l": lambda: length.cast("string")}

@@ -235,6 +235,24 @@ select doc_id, sent_no::int sent_no, n_tokens::int n_tokens from bayes join docu
 union all select doc_id, sent_no, count(*)::int from sent where lang not in ('de', 'en', 'fr', 'it') group by doc_id, sent_no"""
 
 
+def _search_sql() -> str:
+    """Sets of one or two features by cross-validation: a model for each fold, scores of each feature, and all pairs of them."""
+    values = " union all ".join(f"select doc_id, seq, label, {_FOLD} k, '{n}' feature, {_feature(n)} as value from cand" for n in SEARCHED)
+    return f"""{_CAND}, val as ({values}), ks as (select unnest(range(5)) k),
+c as (select ks.k, feature, value, count(*) filter (label = 'EOS') e, count(*) filter (label = '!EOS') n from val join ks on val.k <> ks.k group by all),
+t as (select k, feature, sum(e) te, sum(n) tn, count(*) v from c group by all),
+x as (select val.doc_id, val.seq, val.k, val.label, val.feature, log2((coalesce(e, 0) + 0.5::double) / (te + 0.5::double * v)) - log2((coalesce(n, 0) + 0.5::double) / (tn + 0.5::double * v)) o,
+  log2((te + 0.5::double) / (tn + 0.5::double)) p from val join t using (k, feature) left join c using (k, feature, value)),
+s as (select a.feature || coalesce(' ' || b.feature, '') features, a.label = 'EOS' t, round(a.p + a.o + coalesce(b.o, 0), 9) >= 0 or long s
+  from x a join (select doc_id, seq, greatest(strlen(l), strlen(r)) > 128 as long from cand) using (doc_id, seq)
+  join (select doc_id, seq, feature, o from x union all select doc_id, seq, null, null from cand) b on a.doc_id = b.doc_id and a.seq = b.seq and (b.feature is null or a.feature < b.feature)),
+m as (select features, count(*) n, count(*) filter (t and s) tp, count(*) filter (not t and s) fp, count(*) filter (t and not s) fn from s group by features)
+select *, round((n - fp - fn) * 100.0::double / n, 6) accuracy, round(200.0::double * tp / nullif(2 * tp + fp + fn, 0), 6) f1 from m"""
+
+
+#: Features among which sets are searched.
+SEARCHED = ("l_case", "l_len", "l_shape", "l_suffix2", "l_suffix3", "r_len", "r_mask", "r_prefix2", "r_shape")
+
 #: Tokens with their byte offsets.
 _TOK_AT = f"""with m as (select doc_id, lang, regexp_extract_all(text, '{_RX}') m, regexp_split_to_array(text, '{_RX}') p from documents),
 t as (select doc_id, lang, unnest(range(len(m))) seq, unnest(m) str, unnest(p[:len(m)]) gap from m),
@@ -316,6 +334,12 @@ select md5(regexp_replace(x, '\n$', '') || chr(10)) para_md5, count(*) n from (s
     "text_rules": f"""with t as (select doc_id, {_replaced('text', cases.DERIVED_FORMS)} t, text from documents)
 select doc_id, md5(replace(t, chr(173), '')) visible_md5, md5(replace(t, chr(888), '')) assigned_md5, md5(replace(t, chr(64257), 'fi')) nfkc_md5,
   md5(replace(replace(lower(t), 'ß', 'ss'), chr(64257), 'fi')) folded_md5, md5(replace(t, chr(173), '')) prepared_md5, md5(replace(text, 'f', 'fi')) cleaned_md5 from t""",
+    "conversation_sentences": _SENT.replace("with pc as", "with convs as (select conv_id doc_id, 'en' lang, string_agg(coalesce(text, ''), chr(10) order by turn) as text from conversations group by conv_id),\npc as", 1).replace("from documents", "from convs")
+    + """ select doc_id conv_id, sent_no::bigint sent_no, min("offset") as "offset", count(*) n_tokens, md5(string_agg(str, ' ' order by tok_no)) sentence_md5 from sent group by doc_id, sent_no""",
+    "nb_counts_stream": f"{_CAND}, val as ({_VALUES}) select feature, value, (count(*) filter (label = 'EOS'))::bigint n_eos, (count(*) filter (label = '!EOS'))::bigint n_not from val group by all",
+    "formatted_files": f"{_TOK} select type || chr(9) || strlen(str) || chr(9) || regexp_replace(str, '[ \\t\\n]+', ' ', 'g') line, count(*) n from tok group by 1",
+    "token_graphemes": f"{_TOK} select type, count(*) tokens, sum(length_grapheme(str))::bigint clusters, sum(strlen(str))::bigint bytes from tok group by type",
+    "feature_search": _search_sql(),
     "model_file": f"{_VAL},{_model('true', 'a')} select feature, value, round(lp_eos, 9) lp_eos, round(lp_not, 9) lp_not from pa where feature in ('l_case', 'l_len')",
     "cleaned_tokens": f"{_TOK} select type, count(*) n, sum(strlen(str))::bigint bytes from tok group by type",
     "type_counts_stream": """with e as (select time_bucket(interval '1 hour', ts) as hour, regexp_extract_all(event_type, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]') m, ts from events),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import formatting, lexicons
 from ..functions import text as tx
-from ..operators import judged, sbd
+from ..operators import judged, ranges, sbd
 from ..operators import segment as sg
 from ..operators.tokens import TYPES
 from ..sources import text as src
@@ -127,7 +127,11 @@ def format_sentences(spark, sf_dir):
 def _candidates(spark, sf_dir) -> DataFrame:
     """Periods with their neighbours. No sentence labels are given, so a weak one stands in: a period ends its sentence
     if a word with a capital follows, or nothing."""
-    tokens = _docs(spark, sf_dir).select("doc_id", sg.tokens("text", F.col("lang")).alias("tokens"))
+    return _periods(_docs(spark, sf_dir))
+
+
+def _periods(docs: DataFrame) -> DataFrame:
+    tokens = docs.select("doc_id", sg.tokens("text", F.col("lang")).alias("tokens"))
     found = tokens.select("doc_id", F.explode(sbd.contexts_in(F.col("tokens"))).alias("c")).select("doc_id", "c.*")
     end = (F.col("r") == "") | F.regexp_like("r", F.lit(r"^\p{Lu}"))
     return found.withColumn("label", F.when(end, "EOS").otherwise("!EOS"))
@@ -358,6 +362,59 @@ def text_rules(spark, sf_dir):
     return rows.select("doc_id", *[F.md5(c).alias(f"{n}_md5") for n, c in forms.items()])
 
 
+def _scratch(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def conversation_sentences(spark, sf_dir):
+    """Sentences of conversations whose turns come in three batches, with the open sentence as state between them."""
+    rows, root = _docs(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), _scratch(spark, "turns")
+    for k in range(3):  # batches of turns 0 and 1, then 2 and 3, then the rest
+        rows.where(F.least(F.floor(F.col("turn") / 2), F.lit(2)) == k).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        found = streaming.sentences_of_parts(stream, "conv_id", "turn")
+        found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(found.schema).parquet(f"{root}/out")
+    return streaming.latest(found, "conv_id").select("conv_id", "sent_no", "offset", "n_tokens", F.md5("sentence").alias("sentence_md5"))
+
+
+def nb_counts_stream(spark, sf_dir):
+    """Training counts of a stream of documents, added up over its batches, which are counted once each."""
+    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"), _scratch(spark, "counts")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parquet*")
+    streaming.count_batches(_periods(stream), FEATURES, f"{root}/counts", f"{root}/state").awaitTermination()
+    return streaming.merged_counts(spark, f"{root}/counts")
+
+
+def formatted_files(spark, sf_dir):
+    """Formatted tokens of a stream of documents, written as text and read again."""
+    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"), _scratch(spark, "formatted")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*")
+    fmt = "%t\\t%l\\t%s\\n"
+    values = stream.select(formatting.format_tokens(sg.tokens("text", F.col("lang")), fmt).alias("value"))
+    streaming.write_formatted(values, f"{root}/out", formatting.common_end(fmt), f"{root}/state").awaitTermination()
+    return spark.read.text(f"{root}/out").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def token_graphemes(spark, sf_dir):
+    """How many grapheme clusters lie in tokens of each type, by a join of byte ranges."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    clusters = sg.grapheme_table(docs.select("doc_id", "text")).select("doc_id", "offset", "len")
+    found = ranges.contained(clusters, _tokens(spark, sf_dir).select("doc_id", "seq", "type", "offset", "len"), ["doc_id"])
+    per_token = found.groupBy("doc_id", "seq", "type").agg(F.count("*").alias("clusters"), F.sum("inner_len").alias("bytes"))
+    return per_token.groupBy("type").agg(F.count("*").alias("tokens"), F.sum("clusters").alias("clusters"), F.sum("bytes").alias("bytes"))
+
+
+def feature_search(spark, sf_dir):
+    """All sets of one or two features, judged by cross-validation from one table of log-odds."""
+    found = sbd.search_features(_folds(spark, sf_dir), ["doc_id", "seq"], SEARCHED, most=2)
+    return found.select("features", "n", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("accuracy", "f1")])
+
+
+#: Features among which ``feature_search`` looks.
+SEARCHED = ("l_case", "l_len", "l_shape", "l_suffix2", "l_suffix3", "r_len", "r_mask", "r_prefix2", "r_shape")
+
+
 def model_file(spark, sf_dir):
     """A classifier's probabilities after a round trip through its file."""
     features = ("l_case", "l_len")
@@ -394,6 +451,7 @@ QUERIES = {
         vocab_intersect, abbreviation_hits, languages, type_names, token_micro_batches,
         language_rules, sentence_rules, sentence_rules_bayes, grapheme_rules, character_classes, feature_rules, corpus_tokens, text_rules,
         corpus_contexts, text_lines, text_paragraphs,
+        conversation_sentences, nb_counts_stream, formatted_files, token_graphemes, feature_search,
         model_file, cleaned_tokens, type_counts_stream,
     )
 }

@@ -52,3 +52,41 @@ def test_where_a_tagged_sentence_ends(spark, tokens, end):
 
 def test_cleaning_keeps_control_characters():
     assert sbd.clean_token("«a­\x01ﬁ͸»") == '"a\x01fi"'
+
+
+def test_contained_ranges(spark):
+    import random
+
+    from lexiloom.operators import ranges
+
+    r = random.Random(3)
+    outer = [(d, i, r.randint(0, 300), r.randint(0, 200)) for d in range(3) for i in range(30)] + [(None, 0, 0, 500), (1, 99, None, 5)]
+    inner = [(d, i, r.randint(0, 400), r.randint(0, 30)) for d in range(3) for i in range(60)] + [(None, 0, 1, 1), (1, 99, 5, None)]
+    a = spark.createDataFrame(outer, "doc int, name int, offset long, len long")
+    b = spark.createDataFrame(inner, "doc int, name int, offset long, len long")
+    for size in (1, 16, 1000):
+        got = sorted((x.doc, x.name, x.inner_name) for x in ranges.contained(b, a, ["doc"], size).collect())
+        ok = lambda o, i: None not in (*o, *i) and o[0] == i[0] and o[2] <= i[2] and i[2] + i[3] <= o[2] + o[3]
+        assert got == sorted((o[0], o[1], i[1]) for o in outer for i in inner if ok(o, i))
+    plan = ranges.contained(b, a, ["doc"])._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_feature_sets_are_judged_as_by_training_each(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(i, i % 5, r.choice(["EOS", "EOS", "!EOS"]), r.choice(["Mr", "end", "etc", "x" * 200, "No"]), "LATIN", r.choice(["The", "the", "5", ""]), r.choice(["LATIN", "NUM"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, fold int, label string, l string, l_type string, r string, r_type string")
+    names = ("l_word", "r_shape", "r_len")
+    got = {x.features: x for x in sbd.search_features(df, ["id"], names, most=3).collect()}
+    assert len(got) == 7
+    for features in (("l_word",), ("l_word", "r_len"), names):
+        judged_ = None
+        for k in range(5):
+            model = sbd.train(df.where(F.col("fold") != k), features)
+            own = sbd.score(df.where(F.col("fold") == k), ["id", "label"], features, model)
+            judged_ = own if judged_ is None else judged_.unionByName(own)
+        want = {x.method: x for x in sbd.evaluate(judged_).collect()}["bayes"]
+        x = got[" ".join(features)]
+        assert (x.accuracy, x.precision, x.recall, x.f1) == pytest.approx((want.accuracy, want.precision, want.recall, want.f1))

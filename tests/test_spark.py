@@ -150,6 +150,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.strip() == "Hello/LATIN you/LATIN ./SYM Bye/LATIN ./SYM Again/LATIN 1/NUM"
     cli.main(["-l", "en fsm", "-f", "%s ", "-e", "|", f"file://{tmp_path}/in.txt"])
     assert capsys.readouterr().out.strip() == "Hello you . |Bye . |Again 1 |"
+    cli.main(["-m", "token", f"file://{tmp_path}/in.txt", f"file://{tmp_path}/out"])
+    assert "".join(sorted(r[0] for r in spark.read.text(f"file://{tmp_path}/out").collect())) == "".join(sorted(["Hello", "you", ".", "Bye", ".", "Again", "1"]))
     cli.main(["-L"])
     assert capsys.readouterr().out.split() == ["de", "en", "fr", "it"]
 
