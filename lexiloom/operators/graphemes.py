@@ -26,12 +26,15 @@ EXTEND_LATER = """
 11A47 11A51-11A56 11A59-11A5B 11A8A-11A96 11A98-11A99 11D31-11D36 11D3A 11D3C-11D3D 11D3F-11D45 11D47 11D90-11D91
 11D95 11D97 11EF3-11EF4 11F00-11F01 11F36-11F3A 11F40 11F42 13440 13447-13455 16F4F 16FE4 1CF00-1CF2D 1CF30-1CF46
 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF
+897 1ACF-1ADD 1AE0-1AEB 10D69-10D6D 10EFA-10EFC 113BB-113C0 113CE 113D0 113D2 113E1-113E2 11B60 11B62-11B64 11B66
+11F5A 1611E-16129 1612D-1612F 1E5EE-1E5EF 1E6E3 1E6E6 1E6EE-1E6EF 1E6F5
 """
 SPACING_BESIDES = "E33 EB3 1CF2-1CF3 A9BD"
 SPACING_LATER = """
 CF3 102B-102C 1038 1062-1064 1067-106D 1083 1087-108C 108F 109A-109C 1715 1A61 1A63-1A64 1CF7 AA7B AA7D 11145-11146
 111CE 1182C-1182E 11838 11930-11935 11937-11938 1193D 11940 11942 119D1-119D3 119DC-119DF 119E4 11A39 11A57-11A58
 11A97 11D8A-11D8E 11D93-11D94 11D96 11EF5-11EF6 11F03 11F34-11F35 11F3E-11F3F 11F41 16F7F-16F87 16FF0-16FF1
+113B8-113BA 113C2 113C5 113C7-113CA 113CC-113CD 113CF 11B61 11B65 11B67 1612A-1612C
 """
 
 

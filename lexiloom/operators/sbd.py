@@ -13,6 +13,8 @@ from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -283,8 +285,41 @@ def fold(key: Column, folds: int = 5) -> Column:
 # --- model files ----------------------------------------------------------------------------------------------------
 
 
+# The texts of the error kinds, by number; any other number is an unknown error.
+ERRORS = ("no error", "cannot find models directory", "cannot open model file", "model file signature mismatch", "model file is corrupt", "cannot read model file")
+
+
+def error_text(number: int) -> str:
+    return ERRORS[number] if 0 <= number < len(ERRORS) else "unknown error"
+
+
 class ModelError(ValueError):
-    """A model file that can't be read; the message says why."""
+    """A model that can't be had or made; ``number`` is that of its kind."""
+
+    number = -1
+
+    def __init__(self, text: str | None = None):
+        super().__init__(text or error_text(self.number))
+
+
+class NoModels(ModelError):
+    number = 1
+
+
+class CannotOpen(ModelError):
+    number = 2
+
+
+class WrongModel(ModelError):
+    number = 3
+
+
+class CorruptModel(ModelError):
+    number = 4
+
+
+class CannotRead(ModelError):
+    number = 5
 
 
 @dataclass
@@ -349,7 +384,7 @@ def parse_model(data: bytes, name: str | None = None, version: str | None = None
         nonlocal at
         end = data.find(b"\n", at)
         if end < 0:
-            raise ModelError("model file is corrupt")
+            raise CorruptModel()
         out, at = data[at:end], end + 1
         return out.decode()
 
@@ -364,18 +399,18 @@ def parse_model(data: bytes, name: str | None = None, version: str | None = None
         return text, (float.fromhex(a), float.fromhex(b))
 
     if line() != MAGIC:
-        raise ModelError("model file signature mismatch")
+        raise WrongModel()
     try:
         own, its_version = line().split()
         if len(own.encode()) > MAX_NAME or name not in (None, own) or version not in (None, its_version):
-            raise ModelError("model file signature mismatch")
+            raise WrongModel()
         _, f, _, v = line().split()
         n_features, n_values = int(f), int(v)
         if not 0 < n_features <= MAX_FEATURES or not 0 < n_values <= MAX_VALUES:
-            raise ModelError("model file is corrupt")
+            raise CorruptModel()
         a, x, b, y = line().split()
         if (a, b) != ("EOS", "!EOS"):
-            raise ModelError("model file is corrupt")
+            raise CorruptModel()
         heads = [counted(b"") for _ in range(n_features)]
         values = {}
         for _ in range(n_values):
@@ -384,33 +419,48 @@ def parse_model(data: bytes, name: str | None = None, version: str | None = None
             at = space + 1
             value, p = counted(b"")
             if i >= n_features or (i, value) in values:
-                raise ModelError("model file is corrupt")
+                raise CorruptModel()
             values[i, value] = p
     except (ValueError, IndexError) as e:
-        raise ModelError("model file is corrupt") from e
+        raise CorruptModel() from e
     if at != len(data):
-        raise ModelError("model file is corrupt")
+        raise CorruptModel()
     if any(len(t.encode()) > MAX_BYTES for _, t in values):
-        raise ModelError("model file is corrupt")
+        raise CorruptModel()
     return Model(own, tuple(n for n, _ in heads), (float.fromhex(x), float.fromhex(y)), [p for _, p in heads], values)
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
     """Read a model from any place that Spark reads. A file that is named after a model must hold that one."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").limit(2).collect()
-    if len(rows) != 1:
-        raise ModelError("cannot open model file")
-    return _named(rows[0])
+    rows = _files(spark.read.format("binaryFile"), path, CannotOpen).limit(2)
+    found = _content(rows)
+    if len(found) != 1:
+        raise CannotOpen()
+    return _named(found[0])
 
 
 def load_models(spark: SparkSession, folder: str) -> dict[str, Model]:
     """The models (*.mdl) of a folder by language, which is what their names begin with: de_news.mdl is for de."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.mdl").load(folder).select("path", "content").orderBy("path").collect()  # bounded: a few languages
-    return {m.name[:2]: m for m in map(_named, rows)}
+    rows = _files(spark.read.format("binaryFile").option("pathGlobFilter", "*.mdl"), folder, NoModels)
+    return {m.name[:2]: m for m in map(_named, _content(rows.orderBy("path")))}  # bounded: a few languages
+
+
+def _files(reader, path: str, missing: type[ModelError]) -> DataFrame:
+    try:
+        return reader.load(path).select("path", "content")
+    except AnalysisException as e:
+        raise missing() from e
+
+
+def _content(rows: DataFrame) -> list:
+    try:
+        return rows.collect()
+    except (PySparkException, Py4JJavaError) as e:
+        raise CannotRead() from e
 
 
 def _named(row) -> Model:
     model, file = parse_model(bytes(row.content)), row.path.rpartition("/")[2]
     if file.endswith(".mdl") and file != f"{model.name}.mdl":
-        raise ModelError("model file name mismatch")
+        raise WrongModel()
     return model

@@ -194,9 +194,26 @@ class TokenizeUDTF:
                 yield seq, *token
 
 
+@F.arrow_udtf(returnType=T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("seq", T.IntegerType()), *TOKEN.fields]))
+class TokenizeTable:
+    """SQL: SELECT ... FROM tokenize_table(TABLE(SELECT doc_id, lang, text FROM documents)), in batches of rows.
+
+    Its argument has the columns doc_id, lang and text. A missing text has no tokens.
+    """
+
+    def eval(self, rows: pa.RecordBatch):
+        ids, langs = rows.column("doc_id").cast(pa.int64()), rows.column("lang").cast(pa.string())
+        found = [[] if t is None else _t.tokenize(t, g) for t, g in zip(rows.column("text").to_pylist(), langs.to_pylist(), strict=True)]
+        owner = pa.array([i for i, x in enumerate(found) for _ in x], pa.int32())
+        tokens = _structs([t for x in found for t in x])
+        seq = pa.array([k for x in found for k in range(len(x))], pa.int32())
+        yield pa.RecordBatch.from_arrays([ids.take(owner), langs.take(owner), seq, *tokens.flatten()], ["doc_id", "lang", "seq", *[f.name for f in _TOKEN]])
+
+
 def register(spark: SparkSession) -> None:
-    """Make tokens, graphemes, sentences (by rules) and the table function tokenize known to SQL."""
+    """Make tokens, graphemes, sentences (by rules) and the table functions tokenize and tokenize_table known to SQL."""
     spark.udf.register("tokens", _tokens)
     spark.udf.register("graphemes", _graphemes)
     spark.udf.register("sentences", _rule_sentences)
     spark.udtf.register("tokenize", TokenizeUDTF)
+    spark.udtf.register("tokenize_table", TokenizeTable)

@@ -20,9 +20,10 @@ from . import cases
 
 
 def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table; one that is a single row group is dealt out, since segmentation is work for the CPU and not for the disk."""
+    """A table; one that would be read by fewer tasks than there are cores is dealt out, since segmentation is work for the
+    CPU and not for the disk."""
     rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) == 1 and cores > 1 else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def token_stream_sql(spark, sf_dir):
     sg.register(spark)
     view = f"documents_{uuid.uuid4().hex}"
     _docs(spark, sf_dir).createOrReplaceTempView(view)
-    return spark.sql(f"select lang, type, count(*) as n, sum(len) as bytes from {view}, lateral tokenize(text, lang) group by lang, type")
+    return spark.sql(f"select lang, type, count(*) as n, sum(len) as bytes from tokenize_table(table(select doc_id, lang, text from {view})) group by lang, type")
 
 
 def conversation_tokens(spark, sf_dir):
@@ -130,9 +131,9 @@ def _candidates(spark, sf_dir) -> DataFrame:
     return _periods(_docs(spark, sf_dir))
 
 
-def _periods(docs: DataFrame) -> DataFrame:
-    tokens = docs.select("doc_id", sg.tokens("text", F.col("lang")).alias("tokens"))
-    found = tokens.select("doc_id", F.explode(sbd.contexts_in(F.col("tokens"))).alias("c")).select("doc_id", "c.*")
+def _periods(docs: DataFrame, *carry: str) -> DataFrame:
+    tokens = docs.select("doc_id", *carry, sg.tokens("text", F.col("lang")).alias("tokens"))
+    found = tokens.select("doc_id", *carry, F.explode(sbd.contexts_in(F.col("tokens"))).alias("c")).select("doc_id", *carry, "c.*")
     end = (F.col("r") == "") | F.regexp_like("r", F.lit(r"^\p{Lu}"))
     return found.withColumn("label", F.when(end, "EOS").otherwise("!EOS"))
 
@@ -237,7 +238,7 @@ def vocab_intersect(spark, sf_dir):
 def abbreviation_hits(spark, sf_dir):
     """Tokens before a period that the abbreviation list holds, per language."""
     known = spark.createDataFrame([(w,) for w in lexicons.ABBREVIATIONS.split()], "l string")
-    return _candidates(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").join(F.broadcast(known), "l", "left_semi").groupBy("lang", "l").agg(F.count("*").alias("n"))
+    return _periods(_docs(spark, sf_dir), "lang").join(F.broadcast(known), "l", "left_semi").groupBy("lang", "l").agg(F.count("*").alias("n"))
 
 
 def languages(spark, sf_dir):

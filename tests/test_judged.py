@@ -90,3 +90,23 @@ def test_feature_sets_are_judged_as_by_training_each(spark):
         want = {x.method: x for x in sbd.evaluate(judged_).collect()}["bayes"]
         x = got[" ".join(features)]
         assert (x.accuracy, x.precision, x.recall, x.f1) == pytest.approx((want.accuracy, want.precision, want.recall, want.f1))
+
+
+def test_kinds_of_errors(spark, tmp_path):
+    assert [sbd.error_text(k) for k in (-1, 0, 5, 6)] == ["unknown error", "no error", "cannot read model file", "unknown error"]
+    good = sbd.dump_model(sbd.Model("en_x", ("l_case",), (-1.0, -1.0), [(-9.0, -9.0)], {(0, "LCAP"): (-1.0, -1.0)}))
+    (tmp_path / "en_x.mdl").write_bytes(good)
+    (tmp_path / "en_y.mdl").write_bytes(good)
+    assert sbd.load_model(spark, f"file://{tmp_path}/en_x.mdl").name == "en_x"
+    for path, kind in ((f"file://{tmp_path}/none.mdl", sbd.CannotOpen), (f"file://{tmp_path}/en_y.mdl", sbd.WrongModel)):
+        with pytest.raises(kind):
+            sbd.load_model(spark, path)
+    with pytest.raises(sbd.NoModels, match="models directory"):
+        sbd.load_models(spark, f"file://{tmp_path}/nowhere")
+    for data, kind in ((b"", sbd.CorruptModel), (b"other\n", sbd.WrongModel), (good[:-3], sbd.CorruptModel), (good + b"x", sbd.CorruptModel)):
+        with pytest.raises(kind):
+            sbd.parse_model(data)
+    (tmp_path / "en_x.mdl").unlink()
+    (tmp_path / "en_y.mdl").unlink()
+    model = spark.read.format("binaryFile").load(f"file://{tmp_path}")
+    assert sbd._content(model) == []
