@@ -47,6 +47,7 @@ _latin, _uncased = points(LATIN_RANGES), points(UNCASED_RANGES)
 # Roman numeral signs are upper case without being letters that unicodedata calls so.
 _upper = {c for c in _latin - _uncased if chr(c).isupper()}
 _lower = _latin - _uncased - _upper
+UPPER_POINTS, LOWER_POINTS = _upper, _lower
 
 MARK = "[̀-ͯ]"
 RAW = f"[{ranges(_latin)}]"

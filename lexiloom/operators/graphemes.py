@@ -39,22 +39,28 @@ CF3 102B-102C 1038 1062-1064 1067-106D 1083 1087-108C 108F 109A-109C 1715 1A61 1
 
 
 @cache
-def pattern() -> re.Pattern:
-    """One cluster; its alternatives are ordered so that the first that matches is the longest."""
+def break_classes() -> dict[str, set[int]]:
+    """The code points of each break class; what is in none of them is an ordinary sign."""
     of = {k: {c for c in range(0x110000) if unicodedata.category(chr(c)) in k} for k in (("Mn", "Me"), ("Mc",))}
     extend = of["Mn", "Me"] - points(EXTEND_LATER) | points(EXTEND_BESIDES)
     spacing = (of["Mc",] - points(SPACING_LATER) | points(SPACING_BESIDES)) - extend
-    cls = lambda found: f"[{ranges(found)}]"
-    ext, after = cls(extend), cls(extend | spacing | {0x200D})
     lv = set(range(0xAC00, 0xD7A4, 28))
-    lvt = set(range(0xAC00, 0xD7A4)) - lv
-    lead, vowel, trail = (cls(points(x)) for x in ("1100-115F A960-A97C", "1160-11A7 D7B0-D7C6", "11A8-11FF D7CB-D7FB"))
-    hangul = f"{lead}*(?:{vowel}+|{cls(lv)}{vowel}*|{cls(lvt)}){trail}*|{lead}+|{trail}+"
-    people, tone = "[\U0001f466-\U0001f469]", "[\U0001f3fb-\U0001f3ff]"
-    emoji = f"(?:{cls(points(E_BASE))}|{people}){ext}*{tone}|\u200d{people}{ext}*{tone}|\u200d(?:[❤\U0001f48b\U0001f5e8]|{people})"
-    control = cls(points(CONTROL))[1:-1]
-    core = f"(?:{hangul}|{emoji}|[\U0001f1e6-\U0001f1ff]{{2}}|[^\r\n{control}])"
-    return re.compile(f"\r\n|{cls(points(PREPEND))}*{core}{after}*|[\r\n{control}]")
+    plain = {"Control": CONTROL, "Prepend": PREPEND, "E_Base": E_BASE, "E_Base_GAZ": "1F466-1F469", "E_Modifier": "1F3FB-1F3FF", "Glue_After_Zwj": "2764 1F48B 1F5E8", "Regional_Indicator": "1F1E6-1F1FF", "ZWJ": "200D", "CR": "D", "LF": "A", "L": "1100-115F A960-A97C", "V": "1160-11A7 D7B0-D7C6", "T": "11A8-11FF D7CB-D7FB"}
+    return {k: points(v) for k, v in plain.items()} | {"Extend": extend, "SpacingMark": spacing, "LV": lv, "LVT": set(range(0xAC00, 0xD7A4)) - lv}
+
+
+@cache
+def pattern() -> re.Pattern:
+    """One cluster; its alternatives are ordered so that the first that matches is the longest."""
+    own = break_classes()
+    cls = {k: f"[{ranges(v)}]" for k, v in own.items()}
+    ext, after = cls["Extend"], f"[{ranges(own['Extend'] | own['SpacingMark'] | own['ZWJ'])}]"
+    hangul = f"{cls['L']}*(?:{cls['V']}+|{cls['LV']}{cls['V']}*|{cls['LVT']}){cls['T']}*|{cls['L']}+|{cls['T']}+"
+    people, tone, joiner = cls["E_Base_GAZ"], cls["E_Modifier"], cls["ZWJ"]
+    emoji = f"(?:{cls['E_Base']}|{people}){ext}*{tone}|{joiner}{people}{ext}*{tone}|{joiner}(?:{cls['Glue_After_Zwj']}|{people})"
+    control = cls["Control"][1:-1]
+    core = f"(?:{hangul}|{emoji}|{cls['Regional_Indicator']}{{2}}|[^\r\n{control}])"
+    return re.compile(f"\r\n|{cls['Prepend']}*{core}{after}*|[\r\n{control}]")
 
 
 def graphemes(text: str) -> list[tuple[str, int, int, str]]:

@@ -7,6 +7,7 @@ engine takes the longest of many patterns.
 from __future__ import annotations
 
 from ..functions import charsets, lexicons
+from ..operators import properties
 from . import cases
 
 # Fixed values, stated here anew so that a wrong list of the engine's shows.
@@ -319,6 +320,9 @@ select code::int code, type as name, 'UNK' beyond, n from k""",
     "character_classes": f"""with t as (select text from documents union all select html from pages union all select translate(text, {_quoted(cases.DERIVED_SIGNS[0])}, {_quoted(cases.DERIVED_SIGNS[1])}) from documents),
 s as (select c, count(*) n from (select unnest(string_split(text, '')) c from t) where c <> '' group by c)
 select x.name as class, sum(n)::bigint n, count(*) signs from s join (values {', '.join(f"('{n}', '{p}')" for n, p in _CLASSES.items())}) x(name, rx) on regexp_full_match(c, rx) group by x.name""",
+    "property_counts": f"""with t as (select text from documents union all select html from pages union all select {_replaced('text', cases.DERIVED_CLUSTERS)} from documents),
+s as (select c, unicode(c) u, count(*) n from (select unnest(string_split(text, '')) c from t) where c <> '' group by c)
+select p.name property, sum(n)::bigint n, count(*) signs from s join (values {', '.join(map(str, properties.property_ranges()))}) p(name, a, z) on u between a and z group by p.name""",
     "feature_rules": f"""{_CAND}, f as (select *, {_unimask('l')} lm, {_unimask('r')} rm from cand)
 select doc_id, seq::int seq, {_case('l')} || '|' || right(l, 3) || '|' || {_feature('r_shape')} de, right(l, 4) || '|' || left(r, 4) || '|' || {_feature('r_shape')} || '/' || {_feature('l_mask')} en,
   lm fr, {_case('l')} || '|' || right(l, 2) || '|' || left(r, 4) || '/' || rm it, lm l_unimask, rm r_unimask from f""",

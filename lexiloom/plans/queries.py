@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import formatting, lexicons
 from ..functions import text as tx
-from ..operators import judged, ranges, sbd
+from ..operators import judged, properties, ranges, sbd
 from ..operators import segment as sg
 from ..operators.tokens import TYPES
 from ..sources import text as src
@@ -319,6 +319,14 @@ def character_classes(spark, sf_dir):
     return signs.select("n", F.explode(of).alias("class")).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("signs"))
 
 
+def property_counts(spark, sf_dir):
+    """How many signs of the documents, pages and documents with Hangul, emoji, flags and marks have each property."""
+    docs, pages = _docs(spark, sf_dir).select("text"), _docs(spark, sf_dir, "pages").select(F.col("html").alias("text"))
+    texts = docs.unionByName(pages).unionByName(docs.select(_replaced(F.col("text"), cases.DERIVED_CLUSTERS).alias("text")))
+    signs = texts.select(F.explode(F.split("text", "")).alias("sign")).groupBy("sign").agg(F.count("*").alias("n"))
+    return properties.with_properties(signs, "sign").groupBy("property").agg(F.sum("n").alias("n"), F.count("*").alias("signs"))
+
+
 def feature_rules(spark, sf_dir):
     """The features of each language's classifier, masks of Unicode categories included."""
     joined = lambda names: F.array_join(F.array(*[F.replace(sbd.feature(n), F.lit(sbd.SEPARATOR), F.lit("/")) for n in names]), "|")
@@ -452,7 +460,7 @@ QUERIES = {
         vocab_intersect, abbreviation_hits, languages, type_names, token_micro_batches,
         language_rules, sentence_rules, sentence_rules_bayes, grapheme_rules, character_classes, feature_rules, corpus_tokens, text_rules,
         corpus_contexts, text_lines, text_paragraphs,
-        conversation_sentences, nb_counts_stream, formatted_files, token_graphemes, feature_search,
+        conversation_sentences, nb_counts_stream, formatted_files, token_graphemes, feature_search, property_counts,
         model_file, cleaned_tokens, type_counts_stream,
     )
 }

@@ -62,3 +62,20 @@ def test_texts(spark):
 def test_type_names(spark):
     assert [r[0] for r in spark.range(12).orderBy("id").select(sg.type_name(F.col("id").cast("int"))).collect()] == "UNK LATIN PREFIX SUFFIX SYM NUM ABBR EMAIL URI PATH UNK UNK".split()
     assert [r.lang for r in sg.languages(spark).collect()] == ["de", "en", "fr", "it"]
+
+
+def test_properties_of_code_points(spark):
+    from lexiloom.operators import properties
+
+    rows = spark.createDataFrame([(s,) for s in ["a", "É", "́", "\U0001f1ee", "ᄀ", "한", "☃", "", None, "‍", "\r"]], "sign string")
+    found: dict = {}
+    for r in properties.with_properties(rows, "sign").collect():
+        found.setdefault(r.sign, set()).add(r.property)
+    assert found == {
+        "a": {"latin_letter", "latin_lowercase"}, "É": {"latin_letter", "latin_uppercase"}, "́": {"combining_diacritic", "Extend"}, "\U0001f1ee": {"Regional_Indicator"},
+        "ᄀ": {"L"}, "한": {"LVT"}, "‍": {"ZWJ"}, "\r": {"CR"},
+    }
+    sets = properties.property_sets()
+    assert len(sets["Extend"]) == 1828 and len(sets["SpacingMark"]) == 341 and len(sets["latin_letter"]) == 1349 and len(sets["latin_uppercase"]) == 477
+    breaks = [v for k, v in sets.items() if k[0].isupper()]
+    assert sum(map(len, breaks)) == len(set().union(*breaks))  # disjoint
