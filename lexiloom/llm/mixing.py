@@ -7,7 +7,8 @@ or of the text where there is none, so reruns agree. Rows of equal key, id and s
 each row gets when it is written, so a source of repeated rows meets its target, too.
 
 The prefix sums are taken over key ranges first; only the one range in which a source's budget runs out is sorted.
-The ranges are 4,096 steps of the key's distribution, so a source that holds a third of all rows is no hot task.
+The ranges are 65,536 steps of the distribution that keys have at the least weight: of a weight of 1 the fullest range has
+one row in 6,500, of 0.1 one in 65,000, so a source that holds a third of all rows is no hot task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, md5_fraction
 
-WEIGHTS, LIMIT, RANGES = (5, 2, 1), 3, 4096
+WEIGHTS, LIMIT, RANGES = (5, 2, 1), 3, 1 << 16
+#: The least weight that ``quality_weight`` gives.
+LEAST_WEIGHT = 0.1
 
 
 def quality_weight(text) -> F.Column:
@@ -60,13 +63,13 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, limit: int = LIMIT, w
     text = F.col("text").cast("string")
     docs = docs.drop("size", "source_size", "target", "times")
     size = F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
-    # The rarest draws come last: -ln(u) / weight. Its distribution at weight 1 deals it to ranges of like numbers.
+    # The rarest draws come last: -ln(u) / weight.
     key = -F.log(md5_fraction(F.coalesce(F.col("doc_id").cast("string"), F.md5(text)))) / (weight if weight is not None else quality_weight(F.coalesce(text, F.lit(""))))
     if any(c.startswith("_mix_") for c in docs.columns):
         raise ValueError("columns whose names begin with _mix_ are kept for inner use")
     name = lambda c: f"_mix_{c}"
     rows = docs.withColumn("size", size).withColumn(name("key"), key)
-    rows = scratch.save(rows.withColumn(name("range"), F.floor(RANGES * (1 - F.exp(-F.col(name("key"))))).cast("int")).withColumn(name("row"), F.monotonically_increasing_id()), "rows")
+    rows = scratch.save(rows.withColumn(name("range"), F.floor(RANGES * (1 - F.exp(-LEAST_WEIGHT * F.col(name("key"))))).cast("int")).withColumn(name("row"), F.monotonically_increasing_id()), "rows")
     sums = scratch.save(rows.groupBy(F.col("source").cast("string").alias("source"), F.col(name("range")).alias("range")).agg(F.sum("size").alias("size")), "sums")
     targets = mixture_targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).cast("int")
@@ -98,4 +101,4 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, limit: int = LIMIT, w
 
 def _few(table: DataFrame, limit: int = 50_000) -> bool:
     """Whether a table has few enough rows to be sent to every executor."""
-    return len(table.limit(limit + 1).select(F.lit(1)).collect()) <= limit
+    return table.limit(limit + 1).count() <= limit

@@ -447,6 +447,8 @@ def test_pipeline(spark, tmp_path):
     key = lambda x: (x[0] is not None, x[0] or 0, x[1] or "")
     assert sorted(((x.doc_id, x.text) for x in final), key=key) == sorted(seen[4], key=key)
     assert all(x.size == len((x.text or "").encode()) + 1 and 0 <= x.shard < 8 for x in final)
+    results = {"size", "slot", "shard"}  # columns of these names give way to the stage's own
+    assert set(docs.columns) <= set(final[0].asDict()) and all(x[c] == (None if x.doc_id is None else f"{c} {x.doc_id}") for x in final for c in set(CLASHING) - results)
 
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):
