@@ -342,6 +342,8 @@ select doc_id, md5(replace(t, chr(173), '')) visible_md5, md5(replace(t, chr(888
     + """ select doc_id conv_id, sent_no::bigint sent_no, min("offset") as "offset", count(*) n_tokens, md5(string_agg(str, ' ' order by tok_no)) sentence_md5 from sent group by doc_id, sent_no""",
     "nb_counts_stream": f"{_CAND}, val as ({_VALUES}) select feature, value, (count(*) filter (label = 'EOS'))::bigint n_eos, (count(*) filter (label = '!EOS'))::bigint n_not from val group by all",
     "formatted_files": f"{_TOK} select type || chr(9) || strlen(str) || chr(9) || regexp_replace(str, '[ \\t\\n]+', ' ', 'g') line, count(*) n from tok group by 1",
+    "feature_export": f"""{_CAND} select label, {_case('l')} l_case, {_feature('r_shape')} r_shape, count(*) n, count(*) filter (r = '') boundaries,
+  count(distinct case when l = '' then '***BOUNDARY***' else l end) words, count(distinct nullif({_feature('r_mask')}, '')) masks from cand group by all""",
     "token_graphemes": f"{_TOK} select type, count(*) tokens, sum(length_grapheme(str))::bigint clusters, sum(strlen(str))::bigint bytes from tok group by type",
     "feature_search": _search_sql(),
     "model_file": f"{_VAL},{_model('true', 'a')} select feature, value, round(lp_eos, 9) lp_eos, round(lp_not, 9) lp_not from pa where feature in ('l_case', 'l_len')",

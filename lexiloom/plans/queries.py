@@ -405,6 +405,16 @@ def formatted_files(spark, sf_dir):
     return spark.read.text(f"{root}/out").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
+def feature_export(spark, sf_dir):
+    """The periods' features as a table of text, written and read again; an empty neighbour is a boundary mark there."""
+    root = _scratch(spark, "features")
+    src.write_features(_candidates(spark, sf_dir), root)
+    names = ["label", *sbd.SIDES]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).option("sep", "\t").csv(root)
+    boundary = F.count(F.when(F.col("r_word") == "***BOUNDARY***", 1)).alias("boundaries")
+    return rows.groupBy("label", "l_case", "r_shape").agg(F.count("*").alias("n"), boundary, F.countDistinct("l_word").alias("words"), F.countDistinct("r_mask").alias("masks"))
+
+
 def token_graphemes(spark, sf_dir):
     """How many grapheme clusters lie in tokens of each type, by a join of byte ranges."""
     docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
@@ -460,7 +470,7 @@ QUERIES = {
         vocab_intersect, abbreviation_hits, languages, type_names, token_micro_batches,
         language_rules, sentence_rules, sentence_rules_bayes, grapheme_rules, character_classes, feature_rules, corpus_tokens, text_rules,
         corpus_contexts, text_lines, text_paragraphs,
-        conversation_sentences, nb_counts_stream, formatted_files, token_graphemes, feature_search, property_counts,
+        conversation_sentences, nb_counts_stream, formatted_files, token_graphemes, feature_search, property_counts, feature_export,
         model_file, cleaned_tokens, type_counts_stream,
     )
 }
