@@ -16,6 +16,7 @@ region in some tree is decided; a linked pair that shares none is missed, with a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .common import SHINGLE, Scratch, WordHashes, lower_words, ngrams
 from .components import connected_components
 
 TREES, LEVELS, DEPTH, NEIGHBOURS = 20, 8, 5, 8
+#: 64-bit words of the bitmap of a set in a dense region.
+BIT_WORDS = 8
 #: Shingles whose leaders a set of a dense region is held against first.
 LEADERS = 8
 #: The largest chance that a sparse pair exactly at the threshold shares ``depth`` values in no tree.
@@ -229,8 +232,13 @@ def _gram_sets(shingle: int):
                 part = b.slice(k, 256)
                 sets = [np.unique(ngrams(hashes.of(lower_words(t)), shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), grams], ["node", "n", "grams"])
+                flat = np.concatenate(sets)
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+                bits = np.zeros((len(sets), 64 * BIT_WORDS), np.uint8)
+                bits[np.repeat(np.arange(len(sets)), np.diff(ends)), (flat >> np.uint64(13)) % np.uint64(64 * BIT_WORDS)] = 1
+                words = pa.array(np.packbits(bits, axis=1).view(np.int64).ravel())
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BIT_WORDS), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), grams, bits], ["node", "n", "grams", "bits"])
 
     return run
 
@@ -273,12 +281,16 @@ def dense_links(sets: DataFrame, comp: DataFrame, merged: Callable[[DataFrame, D
     mine = rows.select("n", "node", "gram").join(counts.hint("merge"), "gram")
     mine = mine.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "gram"))).alias("order"))
     mine = mine.withColumn("m", F.size("order")).withColumn("length", (F.col("m") - least + 1).cast("int")).where("length > 0")
-    prefixes = scratch.save(mine.select("node", "n", "m", F.posexplode(F.expr("transform(slice(order, 1, length), x -> x.gram)")).alias("place", "gram")), "dense-prefixes")
+    mine = mine.join(sets.select("node", "bits").hint("merge"), "node")
+    prefixes = scratch.save(mine.select("node", "n", "m", "bits", F.posexplode(F.expr("transform(slice(order, 1, length), x -> x.gram)")).alias("place", "gram")), "dense-prefixes")
 
     def pairs(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
         n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place")
         room = F.least(i, j) + 1 + F.least(F.col("a.m") - i - 1, F.col("b.m") - j - 1)
         may = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m)) & (F.col("a.component") != F.col("b.component"))
+        for x, y in (("a", "b"), ("b", "a")):  # a bit that one set has and the other lacks stands for a shingle that they don't share
+            lacks = reduce(lambda u, v: u + v, [F.bit_count(F.get(f"{x}.bits", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"{y}.bits", F.lit(k))))) for k in range(BIT_WORDS)])
+            may &= (100 + percent) * (F.col(f"{x}.n") - lacks) >= percent * (n + m)
         found = a.alias("a").join(b.alias("b").hint("merge"), "gram").where(may)
         return scratch.save(found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), name)
 
@@ -288,7 +300,7 @@ def dense_links(sets: DataFrame, comp: DataFrame, merged: Callable[[DataFrame, D
         return scratch.save(both.mapInArrow(_similar(percent), "a long, b long"), name)
 
     at = scratch.save(placed(prefixes, comp), "dense-placed-1")
-    leader = F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "node", "n", "m", "place", "component")).alias("e")
+    leader = F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "node", "n", "m", "place", "component", "bits")).alias("e")
     first = at.groupBy("gram").agg(leader, F.count("*").alias("k")).where("k > 1").select("gram", "e.*")
     tried = pairs(at.where(F.col("place") < LEADERS), first, "dense-pairs-1")
     comp = merged(comp, verified(tried, "dense-links-1"), "dense-1")
@@ -353,7 +365,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     # In dense regions, an exact join of their documents.
     if dense.limit(1).count():
         own = texts.join(dense.hint("merge"), "node", "left_semi")
-        sets = scratch.save(own.mapInArrow(_gram_sets(shingle), "node long, n long, grams array<long>"), "dense-sets")
+        sets = scratch.save(own.mapInArrow(_gram_sets(shingle), "node long, n long, grams array<long>, bits array<long>"), "dense-sets")
         comp = dense_links(sets, comp, merged, scratch, percent)
     # A component's id is its least doc_id.
     linked = scratch.save(reps.select("node", "doc_id").join(comp.hint("merge"), "node"), "linked")
