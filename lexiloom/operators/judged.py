@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import charsets as cs
+from ..functions.batches import arrow_slices
 from ..sources.scratch import written
 from . import sbd
 from . import segment as sg
@@ -37,7 +38,7 @@ def events_of(text: str) -> list[tuple[bool, int, int]]:
     return out
 
 
-@F.arrow_udf(_EVENTS)
+@arrow_slices(_EVENTS)
 def sentence_events(text: pa.Array) -> pa.Array:
     def structs(rows):
         cols = zip(*rows, strict=True) if rows else [()] * 3
@@ -46,7 +47,7 @@ def sentence_events(text: pa.Array) -> pa.Array:
     return sg._lists([None if t is None else events_of(t) for t in text.to_pylist()], structs)
 
 
-@F.arrow_udf(T.ArrayType(sg.TOKENS))
+@arrow_slices(T.ArrayType(sg.TOKENS))
 def _with_decisions(text: pa.Array, lang: pa.Array, decided: pa.Array) -> pa.Array:
     """The in-row splitter with periods that are judged already, told by the offset of the token after them."""
     found = []
