@@ -51,3 +51,16 @@ def test_text_functions_over_more_than_a_slice(spark):
         unit = f"ẞÉﬁ­͸{r[0]}"
         want = [unit.casefold(), f"ẞÉﬁ­͸{r[0]}", f"ẞÉfi{r[0]}"]
         assert list(r[1:]) == [hashlib.md5((w * 20_000).encode()).hexdigest() for w in want]
+
+
+def test_batches_of_queries_are_bounded(spark):
+    """A batch of 10,000 texts was held whole, with its results: it grew with the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, found in (("64mb", batches.BATCH), (1000, 1000)):
+            spark.conf.set(key, given)
+            batches.bound_batches(spark)
+            assert int(spark.conf.get(key).rstrip("b")) == found
+    finally:
+        spark.conf.set(key, before)
