@@ -1,5 +1,7 @@
 """Where the engine's longest match and the SQL twins' leftmost-first one part ways."""
 
+import time
+
 from lexiloom.operators.sentences import MAX_TOKENS, rule_sentences
 from lexiloom.operators.tokens import tokenize
 
@@ -11,3 +13,9 @@ def test_a_number_takes_blanks_and_periods_in_any_order():
 def test_a_sentence_is_cut_before_the_period_of_its_last_token():
     first, second = rule_sentences("ñrrja. " * (MAX_TOKENS + 3), "es")[:2]
     assert len(first) == MAX_TOKENS and first[-2][0] == "ñrrja." and first[-1][0] == "ñrrja" and second[0][0] == "."
+
+
+def test_a_long_run_of_single_signs_takes_time_in_proportion():
+    start = time.time()
+    assert len(tokenize("%" * 300_000 + "x", "en")) == 300_001
+    assert time.time() - start < 30
