@@ -33,21 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_BYTES = 16 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Set the session's bound on Arrow batches to ``BATCH_BYTES`` unless it is lower already."""
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Set the session's bound on Arrow batches to ``size`` bytes unless it is lower already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int((spark.conf.get(key, None) or "0").rstrip("b") or 0) not in range(1, BATCH_BYTES + 1):
-        spark.conf.set(key, str(BATCH_BYTES))
+    if int((spark.conf.get(key, None) or "0").rstrip("b") or 0) not in range(1, size + 1):
+        spark.conf.set(key, str(size))
 
 
 class Scratch:
     """Intermediate tables of one call, written to the shared folder so that no lineage needs recomputing
     when an executor is lost. Tables that the result doesn't read are dropped as soon as they are used up."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, batch: int = BATCH_BYTES):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.held: list[str] = []
-        bound_batches(spark)
+        bound_batches(spark, batch)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -22,6 +22,8 @@ WINDOW, ROUNDS, BUCKET = 50, 4, 64
 #: Intervals of the anchor's offset by which large buckets are split.
 CORE = 16
 SIZES = (CORE, 1)
+#: Bytes of the Arrow batches: the JVM holds several of them outside its heap for each task.
+BATCH = 4 << 20
 #: Windows that are compared at once within a task.
 AT_ONCE = 1 << 17
 
@@ -178,7 +180,7 @@ def remove_repeated_substrings(docs: DataFrame, width: int = WINDOW, rounds: int
     one doc_id and different texts are never compared with each other. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
-    scratch = Scratch(docs.sparkSession, "recompression")
+    scratch = Scratch(docs.sparkSession, "recompression", BATCH)
 
     def compare(rest: DataFrame, docs: DataFrame) -> DataFrame:
         return compare_in_buckets(rest, docs, _contexts(width), _earlier, _part(), SIZES, "earlier_doc", bucket, scratch)

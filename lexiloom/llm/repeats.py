@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,15 +197,19 @@ def in_buckets(batches, solve: Callable[[list[tuple]], pa.RecordBatch], at_once:
 
 
 def context_batches(batches, of: Callable[[bytes, list], list[bytes]]) -> Iterator[pa.RecordBatch]:
-    """One row per asked occurrence with what ``of`` makes of it."""
+    """One row per asked occurrence with what ``of`` makes of it. A batch goes by parts of CHUNK bytes of text, since the
+    occurrences and their bytes take many times the room of the texts."""
     names = ["key", "doc_id", "tid", "first", "n", "bytes", "off"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
     for b in batches:
-        out: list = []
-        for doc, tid, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
-            out += [(a["sym"], doc, tid, a["first"], a["n"], x, a["off"]) for a, x in zip(asked, of(text, asked), strict=True)]
-        cols = zip(*out, strict=True) if out else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        lengths = pc.fill_null(pc.binary_length(b.column(2)), 0).to_pylist()
+        for x, y in chunks(lengths):
+            out: list = []
+            part = b.slice(x, y - x)
+            for doc, tid, text, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True):
+                out += [(a["sym"], doc, tid, a["first"], a["n"], z, a["off"]) for a, z in zip(asked, of(text, asked), strict=True)]
+            cols = zip(*out, strict=True) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def window_batch(doc: np.ndarray, tid: np.ndarray, first: np.ndarray) -> pa.RecordBatch:

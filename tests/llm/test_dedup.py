@@ -6,12 +6,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lexiloom.llm import line_dedup, near_dup, recompression, suffix_dedup
 from lexiloom.llm.common import Scratch
-from lexiloom.llm.repeats import range_argmin
+from lexiloom.llm.repeats import context_batches, range_argmin
 
 from .conftest import sentence
 
@@ -331,3 +332,17 @@ def test_digests_are_of_what_is_kept(odd):
 
     got = recompression.remove_repeated_substrings(odd).select("kept_text", F.sha2("kept_text", 256).alias("h")).collect()
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.h for r in got)
+
+
+def test_occurrences_of_a_large_batch_go_out_in_parts(spark):
+    texts = [sentence(random.Random(i), 3000) for i in range(200)]
+    asked = [[{"sym": i, "first": 0, "n": 1, "off": 0}] for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts), pa.array(asked)], ["doc_id", "tid", "text", "asked"])
+    parts = list(context_batches([batch, batch.slice(0, 0)], lambda text, asked: [text[:8]] * len(asked)))
+    assert len(parts) > 8 and [x for p in parts for x in p.column(1).to_pylist()] == list(range(len(texts)))
+    assert [x for p in parts for x in p.column(5).to_pylist()] == [t[:8].encode() for t in texts]
+
+
+def test_recompression_takes_small_batches(spark, odd):
+    recompression.remove_repeated_substrings(odd).count()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
