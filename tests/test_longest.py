@@ -2,7 +2,7 @@
 
 import time
 
-from lexiloom.operators.sentences import MAX_TOKENS, rule_sentences
+from lexiloom.operators.sentences import MAX_TOKENS, bayes_sentences, rule_sentences
 from lexiloom.operators.tokens import tokenize
 
 
@@ -19,3 +19,8 @@ def test_a_long_run_of_single_signs_takes_time_in_proportion():
     start = time.time()
     assert len(tokenize("%" * 300_000 + "x", "en")) == 300_001
     assert time.time() - start < 30
+
+
+def test_a_break_behind_the_period_at_which_a_sentence_is_cut_ends_nothing_more():
+    found = bayes_sentences("A " * (MAX_TOKENS + 2) + "a.\n\nB b.", "en", lambda _, right: right[0] == "")
+    assert [len(s) for s in found] == [MAX_TOKENS, 7]
