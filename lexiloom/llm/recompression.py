@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, mix
-from .repeats import Rolling, chunks, compare_in_buckets, context_batches, find_repeats, in_buckets, occurrence_batch, range_argmin, removed_units, window_batch
+from .repeats import Rolling, chunks, compare_in_buckets, find_repeats, in_buckets, occurrence_batch, range_argmin, removed_units, window_batch
 
 WINDOW, ROUNDS, BUCKET = 50, 4, 64
 #: Intervals of the anchor's offset by which large buckets are split.
@@ -114,19 +115,47 @@ def _occurrences(width: int, rounds: int):
 
 
 def _contexts(width: int):
-    """The hashes of each occurrence's windows, then those of the words that all windows of a coarse interval share."""
-    hashes = WordHashes()
-
-    def of(text, asked):
-        roll, out = Rolling(hashes.of(text.split())), []
-        for a in asked:
-            first = np.arange(a["first"], a["first"] + a["n"])
-            at = CORE * np.arange((a["off"] - a["n"] + 1) // CORE, a["off"] // CORE + 1)
-            core = a["first"] + a["off"] - at
-            out.append(roll.of(first, first + width).tobytes() + roll.of(core, core + max(1, width - CORE + 1)).tobytes())
-        return out
-
-    return lambda batches: context_batches(batches, of)
+    """The hashes of each occurrence's windows, then those of the words that all windows of a coarse interval share.
+
+    A part of some documents is hashed as one sequence, and all of its occurrences at once.
+    """
+    core = max(1, width - CORE + 1)
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            lengths = pc.fill_null(pc.binary_length(b.column(2)), 0).to_pylist()
+            for x, y in chunks(lengths):
+                part = b.slice(x, y - x)
+                parts = [hashes.of((t or b"").split()) for t in part.column(2).cast(pa.binary()).to_pylist()]
+                before = np.cumsum([0, *map(len, parts)])[:-1]
+                roll = Rolling(np.concatenate(parts))
+                asked = part.column(3).flatten()
+                sym, first, n, off = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("sym", "first", "n", "off"))
+                owner = np.repeat(np.arange(y - x), pc.list_value_length(part.column(3)).to_numpy(zero_copy_only=False))
+                start, n, off = before[owner] + first, n.astype(np.int64), off.astype(np.int64)
+                low = (off - n + 1) // CORE
+                coarse = off // CORE - low + 1
+                ends = np.cumsum(n + coarse)
+                begin = ends - n - coarse
+                of, i = _spread(n)
+                found = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+                found[begin[of] + i] = roll.of(start[of] + i, start[of] + i + width)
+                of, i = _spread(coarse)
+                at = start[of] + off[of] - CORE * (low[of] + i)
+                found[begin[of] + n[of] + i] = roll.of(at, at + core)
+                sizes = np.append(0, 8 * ends).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(sizes), pa.py_buffer(found)])
+                ids = [part.column(c).to_numpy()[owner] for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(sym), *map(pa.array, ids), pa.array(first), pa.array(n.astype(np.int32)), packed, pa.array(off.astype(np.int32))], ["key", "doc_id", "tid", "first", "n", "bytes", "off"])
+
+    return run
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of ``n`` items: whose it is, and its number there."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _earlier(batches):

@@ -346,3 +346,26 @@ def test_occurrences_of_a_large_batch_go_out_in_parts(spark):
 def test_recompression_takes_small_batches(spark, odd):
     recompression.remove_repeated_substrings(odd).count()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_contexts_are_hashed_by_parts_and_not_by_documents(monkeypatch):
+    from lexiloom.llm import recompression as rc
+
+    made = []
+
+    class Counted(rc.Rolling):
+        def __init__(self, values):
+            made.append(len(values))
+            super().__init__(values)
+
+    monkeypatch.setattr(rc, "Rolling", Counted)
+    texts = [" ".join(f"w{(i * j) % 97}" for i in range(60 + j)) for j in range(40)]
+    asked = [[{"sym": j, "first": f, "n": 11, "off": 20} for f in (0, j)] if j > 10 else [] for j in range(40)]
+    kind = pa.list_(pa.struct([("sym", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("off", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), pa.array(texts), pa.array(asked, kind)], ["doc_id", "tid", "text", "asked"])
+    rows = pa.Table.from_batches(list(rc._contexts(50)([batch]))).to_pylist()
+    assert len(made) == 1 and [(r["doc_id"], r["first"]) for r in rows] == [(j, f) for j in range(11, 40) for f in (0, j)]
+    for r in rows:  # offsets 10 to 20 lie in two intervals of 16
+        roll, at = Counted(rc.WordHashes().of(texts[r["doc_id"]].encode().split())), r["first"]
+        first, core = np.arange(at, at + 11), at + 20 - np.array([0, 16])
+        assert r["bytes"] == roll.of(first, first + 50).tobytes() + roll.of(core, core + 35).tobytes()
