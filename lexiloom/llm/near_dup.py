@@ -266,7 +266,7 @@ def dense_links(sets: DataFrame, comp: DataFrame, merged: Callable[[DataFrame, D
     rarest shingles: of the sets with a shingle, that with the fewest shingles of its own, as an original has which
     others are edited from. This joins most of a family at a cost that is linear in it. Then, for each shingle, the sets
     that are not in its largest component are held against all of other components, so that no link between
-    components is left. Lengths and places rule out pairs as in ``line_dedup``.
+    components is left; a pair comes up once, at the first shingle that it shares. Lengths and places rule out pairs as in ``line_dedup``.
     """
     least = F.floor((F.col("n") * percent + 99) / 100)
 
@@ -284,15 +284,16 @@ def dense_links(sets: DataFrame, comp: DataFrame, merged: Callable[[DataFrame, D
     mine = mine.join(sets.select("node", "bits").hint("merge"), "node")
     prefixes = scratch.save(mine.select("node", "n", "m", "bits", F.posexplode(F.expr("transform(slice(order, 1, length), x -> x.gram)")).alias("place", "gram")), "dense-prefixes")
 
-    def pairs(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    def pairs(a: DataFrame, b: DataFrame, name: str, once: F.Column | None = None) -> DataFrame:
         n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place")
         room = F.least(i, j) + 1 + F.least(F.col("a.m") - i - 1, F.col("b.m") - j - 1)
         may = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m)) & (F.col("a.component") != F.col("b.component"))
         for x, y in (("a", "b"), ("b", "a")):  # a bit that one set has and the other lacks stands for a shingle that they don't share
             lacks = reduce(lambda u, v: u + v, [F.bit_count(F.get(f"{x}.bits", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"{y}.bits", F.lit(k))))) for k in range(BIT_WORDS)])
             may &= (100 + percent) * (F.col(f"{x}.n") - lacks) >= percent * (n + m)
-        found = a.alias("a").join(b.alias("b").hint("merge"), "gram").where(may)
-        return scratch.save(found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), name)
+        found = a.alias("a").join(b.alias("b").hint("merge"), "gram").where(may if once is None else may & once)
+        found = found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+        return scratch.save(found.distinct() if once is None else found, name)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda end: sets.select(F.col("node").alias(end), F.col("grams").alias(f"g{end}")).hint("merge")
@@ -306,8 +307,14 @@ def dense_links(sets: DataFrame, comp: DataFrame, merged: Callable[[DataFrame, D
     comp = merged(comp, verified(tried, "dense-links-1"), "dense-1")
     at = scratch.save(placed(prefixes, comp), "dense-placed-2")
     sizes = at.groupBy("gram", "component").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
-    at = scratch.save(at.join(sizes.where("parts > 1").hint("merge"), "gram"), "dense-open")
-    more = pairs(at.where("component != main").drop("main", "parts"), at.drop("main", "parts"), "dense-pairs-2").join(tried, ["a", "b"], "left_anti")
+    at = at.join(sizes.where("parts > 1").hint("merge"), "gram")
+    # With each shingle those before it: two sets meet at the first one that they share, and at no other.
+    own = [F.first(c).alias(c) for c in ("n", "m", "bits", "component")]
+    at = at.groupBy("node").agg(*own, F.array_sort(F.collect_list(F.struct("place", "gram", "main"))).alias("open"))
+    at = at.select("node", "n", "m", "bits", "component", F.expr("transform(open, x -> x.gram)").alias("grams"), F.posexplode("open").alias("at", "e"))
+    at = scratch.save(at.select("node", "n", "m", "bits", "component", "e.*", F.expr("slice(grams, 1, at)").alias("before")), "dense-open")
+    once = ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & ~F.arrays_overlap("a.before", "b.before")
+    more = pairs(at.where("component != main"), at, "dense-pairs-2", once).join(tried, ["a", "b"], "left_anti")
     return merged(comp, verified(more, "dense-links-2"), "dense-2")
 
 

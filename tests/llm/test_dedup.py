@@ -369,3 +369,29 @@ def test_contexts_are_hashed_by_parts_and_not_by_documents(monkeypatch):
         roll, at = Counted(rc.WordHashes().of(texts[r["doc_id"]].encode().split())), r["first"]
         first, core = np.arange(at, at + 11), at + 20 - np.array([0, 16])
         assert r["bytes"] == roll.of(first, first + 50).tobytes() + roll.of(core, core + 35).tobytes()
+
+
+def test_pairs_of_a_dense_region_come_up_once(spark):
+    base, saved = [f"w{i}" for i in range(120)], {}
+
+    class Seen(Scratch):
+        def save(self, df, name):
+            saved[name] = df, super().save(df, name)
+            return saved[name][1]
+
+    # One word in other places: similar to the base, not to each other; in the same place: similar.
+    texts = [" ".join([*base[:k], f"x{j}", *base[k + 1 :]]) for k in range(10, 110, 8) for j in (k, k + 500)[: 1 + k % 3]]
+    scratch = Seen(spark, "dense-test")
+    sets = scratch.save(spark.createDataFrame(list(enumerate(texts)), "node long, text string").mapInArrow(near_dup._gram_sets(5), "node long, n long, grams array<long>, bits array<long>"), "sets")
+
+    def merged(comp, links, name):
+        stars = comp.where("node != component").select(comp.node.alias("a"), comp.component.alias("b"))
+        return scratch.save(near_dup.connected_components(stars.unionByName(links), scratch, f"cc-{name}"), f"components-{name}")
+
+    comp = near_dup.dense_links(sets, spark.createDataFrame([], "node long, component long"), merged, scratch, 85)
+    want = [c for c in components(list(enumerate(texts)), 85)]
+    got = {r.node: r.component for r in comp.collect()}
+    assert len({got.get(i, -1 - i) for i in range(len(texts))}) == len(set(want)) < len(texts)
+    plan, table = saved["dense-pairs-2"]
+    rows = [(r.a, r.b) for r in table.collect()]
+    assert len(rows) > 20 and len(rows) == len(set(rows)) and "Aggregate" not in plan._jdf.queryExecution().optimizedPlan().toString()
