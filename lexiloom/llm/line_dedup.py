@@ -3,8 +3,10 @@
 A line is the set of its words. Equal sets are one entry, numbered in the order of their first lines, so any number of
 copies costs one. In each set the words are put in order of rarity; two sets whose Jaccard similarity reaches the
 threshold must share a word among the first few of each (the prefix filter), must be of similar size (the length
-filter), and the places of the shared word must leave room for enough overlap (the positional filter). What passes is
-verified on the whole lines.
+filter), and the places of the shared word must leave room for enough overlap (the positional filter). Each set has a
+sketch of 128 bits, the parities of how many of its words fall into each of 128 bins: two sets differ in at least as many
+words as their sketches do in bits, so pairs that differ in more than the threshold allows are ruled out (in the joins by
+the sketch folded to 64 bits), and no similar one is. What passes is verified on the whole lines.
 
 A line goes if any earlier line is similar, so one such line is enough to know. First each set is held against the
 earliest set of each of its prefix words, which settles most members of a large family of variants at a cost that is
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-PERCENT, BUCKETS, HOT = 80, 1 << 16, 64
+PERCENT, BUCKETS, HOT = 80, 1 << 16, 512
 _BLANKS = r"[\x20\x09-\x0D]+"
 #: A set's number, size and a word's place in one long, the last two up to a limit from which on the filters let all pass.
 _SIZE, _PLACE = 12, 11
@@ -50,7 +52,7 @@ def word_ranks(docs: DataFrame) -> list[int]:
 
 
 def line_sets(docs: DataFrame, ranks: list[int], percent: int) -> DataFrame:
-    """(doc_id, tid, line_no, set_id, check, n, codes): the lines that have words, with one code more than their prefixes.
+    """(doc_id, tid, line_no, set_id, check, n, low, high, codes): the lines that have words, with one code more than their prefixes.
 
     A code is a word's rank and 47 bits of its hash; the order of codes is that of rarity.
     """
@@ -61,16 +63,27 @@ def line_sets(docs: DataFrame, ranks: list[int], percent: int) -> DataFrame:
     lines = lines.select("doc_id", "tid", "line_no", F.sort_array(F.array_distinct(F.transform(_hashes(F.col("line")), code))).alias("all"))
     n = F.size("all")
     length = n - F.floor((n * percent + 99) / 100).cast("int") + 2
-    return lines.select("doc_id", "tid", "line_no", F.xxhash64("all").alias("set_id"), F.hash("all").alias("check"), n.alias("n"), F.slice("all", F.lit(1), length).alias("codes"))
+    sketch = [_parities("all", half).alias(name) for half, name in ((0, "low"), (1, "high"))]
+    return lines.select("doc_id", "tid", "line_no", F.xxhash64("all").alias("set_id"), F.hash("all").alias("check"), n.alias("n"), *sketch, F.slice("all", F.lit(1), length).alias("codes"))
+
+
+def _parities(codes: str, half: int) -> Column:
+    """One half of a sketch: a bit for each of 64 bins, whether an odd number of the words falls into it."""
+    mine = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half))
+    bit = lambda c: F.call_function("shiftleft", mine(c).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
 def numbered(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, set_id, check, n, codes, doc_id, tid, line_no): one row per set, with its first line, numbered in that order."""
+    """(id, set_id, check, n, low, high, codes, doc_id, tid, line_no): one row per set, with its first line, numbered in that order."""
     first = F.min(F.struct("doc_id", "line_no", "tid")).alias("first")
-    sets = lines.groupBy("set_id", "check").agg(first, F.first("n").alias("n"), F.first("codes").alias("codes"))
+    sets = lines.groupBy("set_id", "check").agg(first, *[F.first(c).alias(c) for c in ("n", "low", "high", "codes")])
+    sets = scratch.save(sets, "sets-any")  # sampling for the ranges would group them once more
+    scratch.tidy()
     sets = sets.repartitionByRange("first").sortWithinPartitions("first")
-    sets = scratch.save(sets.select("set_id", "check", "n", "codes", "first.*", F.monotonically_increasing_id().alias("at")), "sets-raw")
+    sets = scratch.save(sets.select("set_id", "check", "n", "low", "high", "codes", "first.*", F.monotonically_increasing_id().alias("at")), "sets-raw")
     part = F.shiftright("at", 33).cast("int")
+    scratch.drop("sets-any")
     counts = sorted((r.part, r.n) for r in sets.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # one number a partition
     starts, total = [0] * ((counts[-1][0] if counts else 0) + 1), 0
     for p, n in counts:
@@ -78,7 +91,7 @@ def numbered(lines: DataFrame, scratch: Scratch) -> DataFrame:
     if total >= 1 << (63 - _SIZE - _PLACE):
         raise ValueError("too many different lines to number")
     start = F.get(F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), part)
-    return sets.select((start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"), "set_id", "check", "n", "codes", "doc_id", "tid", "line_no")
+    return sets.select((start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"), "set_id", "check", "n", "low", "high", "codes", "doc_id", "tid", "line_no")
 
 
 def _packed(place) -> Column:
@@ -99,10 +112,27 @@ def _may_match(a, b, percent: int) -> Column:
     return unknown | ((100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m)))
 
 
-def _pairs(a: DataFrame, b: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """(id, earlier): the pairs of rows of ``a`` with earlier ones of ``b`` that may match, once each. Both have keys and x."""
-    rows = a.join(b.select(*keys, F.col("x").alias("y")).hint("merge"), keys).where(F.col("y") < F.col("x"))
-    return rows.where(_may_match(F.col("x"), F.col("y"), percent)).select(_id("x").alias("id"), _id("y").alias("earlier")).where("earlier < id").distinct()
+def _may_differ(bits: Column, n, m, percent: int) -> Column:
+    """Whether sets of n and m words that differ in ``bits`` words at least may reach the threshold."""
+    return (100 + percent) * (n + m - bits) >= 2 * percent * (n + m)
+
+
+def _pairs(a: DataFrame, b: DataFrame, key: str, percent: int) -> DataFrame:
+    """(id, earlier): the pairs of rows of ``a`` with earlier ones of ``b`` that may match. Both have the key, x and s, the folded sketch."""
+    a, b = a.alias("a"), b.alias("b")
+    rows = a.join(b.hint("merge"), [F.col(f"a.{key}") == F.col(f"b.{key}"), F.col("b.x") < F.col("a.x")]).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s"))).alias("bits"))
+    size = lambda x: F.shiftright(x, _PLACE).bitwiseAND(F.lit((1 << _SIZE) - 1))
+    near = _may_differ(F.col("bits"), size("x"), size("y"), percent) | (F.greatest(size("x"), size("y")) == (1 << _SIZE) - 1)
+    return rows.where(near & _may_match(F.col("x"), F.col("y"), percent)).select(_id("x").alias("id"), _id("y").alias("earlier")).where("earlier < id")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (id, earlier) that their whole sketches don't rule out, once each."""
+    mine = sets.select("id", "n", "low", "high")
+    theirs = sets.select(F.col("id").alias("earlier"), F.col("n").alias("m"), F.col("low").alias("l"), F.col("high").alias("h"))
+    rows = pairs.distinct().join(mine.hint("merge"), "id").join(theirs.hint("merge"), "earlier")
+    bits = F.bit_count(F.col("low").bitwiseXOR(F.col("l"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("h")))
+    return rows.where(_may_differ(bits, F.col("n"), F.col("m"), percent)).select("id", "earlier")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -114,11 +144,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, s
     behind = lambda x, i: x["line_no"] - F.coalesce(F.when(i > 0, F.get("a", i - 1)["line_no"]), F.lit(-1))
     fields = F.array_join(F.transform("a", lambda x, i: F.lpad(x["id"].cast("string"), behind(x, i) * _FIELD, " ")), "").cast("binary")
     asked = asked.select("doc_id", "tid", fields.alias("fields"))
-    texts = docs.join(asked.hint("merge"), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"])
+    texts = docs.join(asked.hint("shuffle_hash"), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"])
     number = lambda i: F.trim(F.substring("fields", i * _FIELD + 1, F.lit(_FIELD)).cast("string")).try_cast("long")
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(number(i).alias("id"), i.alias("line_no"), x.alias("line"))), lambda y: y["id"].isNotNull())
     lines = texts.select("doc_id", F.explode(lines).alias("a")).select(F.col("a.id").alias("id"), F.struct("doc_id", "a.line_no").alias("place"), F.col("a.line").alias("line"))
     lines = scratch.save(lines.select("id", "place", F.array_distinct(_hashes(F.col("line"))).alias("words")), f"words-{name}")
+    scratch.tidy()
     theirs = lines.select(F.col("id").alias("earlier"), F.col("place").alias("before"), F.col("words").alias("others"))
     rows = pairs.join(lines.hint("merge"), "id").join(theirs.hint("merge"), "earlier").where("before < place")  # one place in two texts of one id is neither
     both = F.size(F.array_intersect("words", "others"))
@@ -129,24 +160,34 @@ def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, s
 
 def similar_sets(sets: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(id): the sets that are similar to an earlier one."""
+    folded = F.col("low").bitwiseXOR(F.col("high")).alias("s")
     prefix = F.posexplode(F.slice("codes", F.lit(1), F.size("codes") - 1)).alias("place", "code")
-    rows = sets.select("id", "n", prefix).select("code", _packed(F.col("place")).alias("x"))
+    rows = sets.select("id", "n", folded, prefix).select("code", _packed(F.col("place")).alias("x"), "s")
     # A word of one set only can't bring two together.
-    known = scratch.save(rows.groupBy("code").agg(F.min("x").alias("x"), F.count("*").alias("k")).where("k > 1"), "earliest")
-    tried = scratch.save(_pairs(rows, known, ["code"], percent), "pairs-1")
+    known = scratch.save(rows.groupBy("code").agg(F.min("x").alias("y"), F.count("*").alias("k")).where("k > 1"), "earliest")
+    scratch.tidy()
+    rows = scratch.save(rows.join(known.hint("shuffle_hash"), "code").select("code", "x", "s", "y", (F.col("k") > HOT).alias("hot")), "rows")
+    scratch.drop("earliest")
+    tried = rows.where("y < x").where(_may_match(F.col("x"), F.col("y"), percent)).select(_id("x").alias("id"), _id("y").alias("earlier")).where("earlier < id")
+    tried = scratch.save(_alike(tried, sets, percent), "pairs-1")
     scratch.tidy()
     settled = _similar(tried, sets, docs, percent, scratch, "1")
+    scratch.tidy()
     # Open sets against all that share a prefix word with them; pairs that were tried need no second look.
-    left = sets.join(settled.select("id", F.lit(True).alias("settled")).hint("merge"), "id", "left").select("id", "n", "codes", F.col("settled").isNull().alias("open"))
-    behind = F.posexplode("codes").alias("place", "code")
-    rows = left.select("id", "n", "open", "codes", behind).where("place < size(codes) - 1").select("code", "open", _packed(F.col("place")).alias("x"), F.expr("slice(codes, place + 2, size(codes))").alias("next"))
-    cold, hot = known.where(F.col("k") <= HOT).select("code"), known.where(F.col("k") > HOT).select("code")
-    one = scratch.save(rows.drop("next").join(cold.hint("merge"), "code", "left_semi"), "cold")
-    two = rows.join(hot.hint("merge"), "code", "left_semi").select("code", "open", "x", F.explode("next").alias("second"))
-    two = scratch.save(two, "hot")
-    more = _pairs(one.where("open").drop("open"), one.drop("open"), ["code"], percent).unionByName(_pairs(two.where("open").drop("open"), two.drop("open"), ["code", "second"], percent))
-    more = scratch.save(more.distinct().join(tried, ["id", "earlier"], "left_anti"), "pairs-2")
-    scratch.drop("cold", "hot")
+    hot = rows.where("hot").groupBy(_id("x").alias("id")).agg(F.collect_list("code").alias("hots"))
+    two = sets.select("id", "n", folded, "codes").join(hot.hint("merge"), "id").join(settled.select("id", F.lit(True).alias("settled")).hint("merge"), "id", "left")
+    two = two.select("id", "n", "s", "codes", "hots", F.col("settled").isNull().alias("open"), F.posexplode("codes").alias("place", "code"))
+    two = two.where(F.col("place") < F.size("codes") - 1).where(F.array_contains("hots", F.col("code")))
+    two = two.select("code", "open", _packed(F.col("place")).alias("x"), "s", F.explode(F.expr("slice(codes, place + 2, size(codes))")).alias("second"))
+    two = scratch.save(two.select(F.xxhash64("code", "second").alias("code"), "open", "x", "s"), "hot")
+    scratch.tidy()
+    one = rows.where("not hot").select("code", "x", "s")
+    more = scratch.save(_pairs(one, one, "code", percent).distinct(), "cold-pairs")
+    scratch.drop("rows")
+    more = more.unionByName(_pairs(two.where("open").drop("open"), two.drop("open"), "code", percent))
+    more = more.join(settled.hint("merge"), "id", "left_anti").join(tried.hint("merge"), ["id", "earlier"], "left_anti")
+    more = scratch.save(_alike(more, sets, percent), "pairs-2")
+    scratch.drop("cold-pairs", "hot")
     return settled.unionByName(_similar(more, sets, docs, percent, scratch, "2"))
 
 
@@ -163,7 +204,8 @@ def remove_similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.save(line_sets(docs, word_ranks(docs), percent), "lines")
     sets = numbered(lines, scratch)
-    scratch.tidy()
+    lines = scratch.save(lines.select("doc_id", "tid", "line_no", "set_id", "check"), "places")
+    scratch.drop("lines")
     gone = similar_sets(sets, docs, scratch, percent).select("id", F.lit(True).alias("similar"))
     known = sets.join(gone.hint("merge"), "id", "left").select("set_id", "check", "similar", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     out = lines.select("doc_id", "tid", "line_no", "set_id", "check").join(scratch.save(known, "known").hint("merge"), ["set_id", "check"])
@@ -174,7 +216,7 @@ def remove_similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signs = F.array_join(F.transform("g", lambda x, i: F.lpad(F.lit("1"), behind(x, i), "0")), "").cast("binary")
     gone = scratch.save(gone.select("doc_id", "tid", F.size("g").cast("long").alias("n_gone"), signs.alias("signs")), "removed")
     scratch.keep("removed")
-    rows = docs.join(gone.hint("merge"), ["doc_id", "tid"], "left").withColumn("lines", F.split("text", "\n", -1))
+    rows = docs.join(gone.hint("shuffle_hash"), ["doc_id", "tid"], "left").withColumn("lines", F.split("text", "\n", -1))
     kept = F.filter("lines", lambda x, i: F.coalesce(F.substring("signs", i + 1, F.lit(1)) != F.lit(bytearray(b"1")), F.lit(True)))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long")
     return rows.select("doc_id", n_lines.alias("n_lines"), F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(kept, "\n"), F.lit("")).alias("kept_text"))
