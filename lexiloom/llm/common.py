@@ -55,6 +55,13 @@ class Scratch:
         self.held.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """Append to a table of several parts."""
+        df.write.mode("append").parquet(f"{self.root}/{name}")
+        if name not in self.held:
+            self.held.append(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str, tidy: bool = True) -> None:
         """Delete tables, and unless told otherwise the shuffle files of finished queries."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

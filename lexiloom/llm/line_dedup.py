@@ -5,8 +5,8 @@ copies costs one. In each set the words are put in order of rarity; two sets who
 threshold must share a word among the first few of each (the prefix filter), must be of similar size (the length
 filter), and the places of the shared word must leave room for enough overlap (the positional filter). Each set has a
 sketch of 128 bits, the parities of how many of its words fall into each of 128 bins: two sets differ in at least as many
-words as their sketches do in bits, so pairs that differ in more than the threshold allows are ruled out (in the joins by
-the sketch folded to 64 bits), and no similar one is. What passes is verified on the whole lines.
+words as their sketches do in bits, so the joins rule out pairs that differ in more than the threshold allows, and no
+similar one. What passes is verified on the whole lines.
 
 A line goes if any earlier line is similar, so one such line is enough to know. First each set is held against the
 earliest set of each of its prefix words, which settles most members of a large family of variants at a cost that is
@@ -17,6 +17,9 @@ with each word behind it instead of alone.
 Rarity needs only some order that is the same everywhere: words are counted in 65,536 hash buckets over all lines, and
 a word's place is its bucket's rank, then its hash. Words that make up more than that share of a corpus stand apart
 by their own counts, and all others are rarer.
+
+What is grouped or joined by words or texts is dealt to ``SLICES`` slices by their hashes, one after the other, so that
+the disk holds the shuffles of one slice at a time. Pairs of words get as many slices as keep them as small, or below ``LEAST`` rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-PERCENT, BUCKETS, HOT = 80, 1 << 16, 512
+PERCENT, BUCKETS, HOT, SLICES, LEAST = 80, 1 << 16, 512, 4, 1 << 20
 _BLANKS = r"[\x20\x09-\x0D]+"
 #: A set's number, size and a word's place in one long, the last two up to a limit from which on the filters let all pass.
 _SIZE, _PLACE = 12, 11
@@ -74,12 +77,18 @@ def _parities(codes: str, half: int) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
-def numbered(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, set_id, check, n, low, high, codes, doc_id, tid, line_no): one row per set, with its first line, numbered in that order."""
+def different_sets(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(set_id, check, first, n, low, high, codes): one row per set, with its first line."""
     first = F.min(F.struct("doc_id", "line_no", "tid")).alias("first")
-    sets = lines.groupBy("set_id", "check").agg(first, *[F.first(c).alias(c) for c in ("n", "low", "high", "codes")])
-    sets = scratch.save(sets, "sets-any")  # sampling for the ranges would group them once more
-    scratch.tidy()
+    for k in range(SLICES):
+        own = lines.where(F.pmod("set_id", F.lit(SLICES)) == k)
+        sets = scratch.add(own.groupBy("set_id", "check").agg(first, *[F.first(c).alias(c) for c in ("n", "low", "high", "codes")]), "sets-any")
+        scratch.tidy()
+    return sets
+
+
+def numbered(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, set_id, check, n, low, high, codes, doc_id, tid, line_no): the sets, numbered in the order of their first lines."""
     sets = sets.repartitionByRange("first").sortWithinPartitions("first")
     sets = scratch.save(sets.select("set_id", "check", "n", "low", "high", "codes", "first.*", F.monotonically_increasing_id().alias("at")), "sets-raw")
     part = F.shiftright("at", 33).cast("int")
@@ -117,22 +126,19 @@ def _may_differ(bits: Column, n, m, percent: int) -> Column:
     return (100 + percent) * (n + m - bits) >= 2 * percent * (n + m)
 
 
-def _pairs(a: DataFrame, b: DataFrame, key: str, percent: int) -> DataFrame:
-    """(id, earlier): the pairs of rows of ``a`` with earlier ones of ``b`` that may match. Both have the key, x and s, the folded sketch."""
-    a, b = a.alias("a"), b.alias("b")
-    rows = a.join(b.hint("merge"), [F.col(f"a.{key}") == F.col(f"b.{key}"), F.col("b.x") < F.col("a.x")]).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s"))).alias("bits"))
-    size = lambda x: F.shiftright(x, _PLACE).bitwiseAND(F.lit((1 << _SIZE) - 1))
-    near = _may_differ(F.col("bits"), size("x"), size("y"), percent) | (F.greatest(size("x"), size("y")) == (1 << _SIZE) - 1)
-    return rows.where(near & _may_match(F.col("x"), F.col("y"), percent)).select(_id("x").alias("id"), _id("y").alias("earlier")).where("earlier < id")
+def _near(x, y, low: str, high: str, l: str, h: str, percent: int) -> Column:  # noqa: E741
+    """Whether two packed rows may match by their sizes, places and sketches."""
+    bits = F.bit_count(F.col(low).bitwiseXOR(F.col(l))) + F.bit_count(F.col(high).bitwiseXOR(F.col(h)))
+    size = lambda c: F.shiftright(c, _PLACE).bitwiseAND(F.lit((1 << _SIZE) - 1))
+    alike = _may_differ(bits, size(x), size(y), percent) | (F.greatest(size(x), size(y)) == (1 << _SIZE) - 1)
+    return alike & _may_match(F.col(x), F.col(y), percent)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (id, earlier) that their whole sketches don't rule out, once each."""
-    mine = sets.select("id", "n", "low", "high")
-    theirs = sets.select(F.col("id").alias("earlier"), F.col("n").alias("m"), F.col("low").alias("l"), F.col("high").alias("h"))
-    rows = pairs.distinct().join(mine.hint("merge"), "id").join(theirs.hint("merge"), "earlier")
-    bits = F.bit_count(F.col("low").bitwiseXOR(F.col("l"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("h")))
-    return rows.where(_may_differ(bits, F.col("n"), F.col("m"), percent)).select("id", "earlier")
+def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
+    """(id, earlier): the pairs of rows (code, x, low, high) of ``a`` with earlier ones of ``b`` that may match, once each."""
+    a, b = a.alias("a"), b.alias("b")
+    rows = a.join(b.hint("merge"), [F.col("a.code") == F.col("b.code"), F.col("b.x") < F.col("a.x"), _near("a.x", "b.x", "a.low", "a.high", "b.low", "b.high", percent)])
+    return rows.select(_id("a.x").alias("id"), _id("b.x").alias("earlier")).where("earlier < id").distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -143,51 +149,76 @@ def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, s
     asked = asked.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list(F.struct("line_no", "id"))).alias("a"))
     behind = lambda x, i: x["line_no"] - F.coalesce(F.when(i > 0, F.get("a", i - 1)["line_no"]), F.lit(-1))
     fields = F.array_join(F.transform("a", lambda x, i: F.lpad(x["id"].cast("string"), behind(x, i) * _FIELD, " ")), "").cast("binary")
-    asked = asked.select("doc_id", "tid", fields.alias("fields"))
-    texts = docs.join(asked.hint("shuffle_hash"), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"])
-    number = lambda i: F.trim(F.substring("fields", i * _FIELD + 1, F.lit(_FIELD)).cast("string")).try_cast("long")
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(number(i).alias("id"), i.alias("line_no"), x.alias("line"))), lambda y: y["id"].isNotNull())
-    lines = texts.select("doc_id", F.explode(lines).alias("a")).select(F.col("a.id").alias("id"), F.struct("doc_id", "a.line_no").alias("place"), F.col("a.line").alias("line"))
-    lines = scratch.save(lines.select("id", "place", F.array_distinct(_hashes(F.col("line"))).alias("words")), f"words-{name}")
+    asked = scratch.save(asked.select("doc_id", "tid", fields.alias("fields")), f"asked-{name}")
     scratch.tidy()
+    number = lambda i: F.trim(F.substring("fields", i * _FIELD + 1, F.lit(_FIELD)).cast("string")).try_cast("long")
+    found = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(number(i).alias("id"), i.alias("line_no"), x.alias("line"))), lambda y: y["id"].isNotNull())
+    for k in range(SLICES):
+        own = F.pmod(F.xxhash64("doc_id", "tid"), F.lit(SLICES)) == k
+        texts = docs.where(own).join(asked.where(own).hint("shuffle_hash"), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"])
+        rows = texts.select("doc_id", F.explode(found).alias("a")).select(F.col("a.id").alias("id"), F.struct("doc_id", "a.line_no").alias("place"), F.col("a.line").alias("line"))
+        lines = scratch.add(rows.select("id", "place", F.array_distinct(_hashes(F.col("line"))).alias("words")), f"words-{name}")
+        scratch.tidy()
     theirs = lines.select(F.col("id").alias("earlier"), F.col("place").alias("before"), F.col("words").alias("others"))
     rows = pairs.join(lines.hint("merge"), "id").join(theirs.hint("merge"), "earlier").where("before < place")  # one place in two texts of one id is neither
     both = F.size(F.array_intersect("words", "others"))
     found = scratch.save(rows.where(100 * both >= percent * (F.size("words") + F.size("others") - both)).select("id").distinct(), f"similar-{name}")
-    scratch.drop(f"words-{name}")
+    scratch.drop(f"words-{name}", f"asked-{name}")
     return found
 
 
+def _prefix_rows(sets: DataFrame, k: int) -> DataFrame:
+    """(code, x, low, high): one slice of the sets' prefix words."""
+    prefix = F.posexplode(F.slice("codes", F.lit(1), F.size("codes") - 1)).alias("place", "code")
+    rows = sets.select("id", "n", "low", "high", prefix).where(F.pmod("code", F.lit(SLICES)) == k)
+    return rows.select("code", _packed(F.col("place")).alias("x"), "low", "high")
+
+
+def _hot_rows(sets: DataFrame, k: int, slices: int) -> DataFrame:
+    """(code, x, low, high, open): one slice of the hot prefix words with each word behind them."""
+    rows = sets.select("id", "n", "low", "high", "codes", "hots", "open", F.posexplode("codes").alias("place", "code"))
+    rows = rows.where(F.col("place") < F.size("codes") - 1).where(F.array_contains("hots", F.col("code")))
+    rows = rows.select("code", "open", _packed(F.col("place")).alias("x"), "low", "high", F.explode(F.expr("slice(codes, place + 2, size(codes))")).alias("second"))
+    rows = rows.select(F.xxhash64("code", "second").alias("code"), "x", "low", "high", "open")
+    return rows.where(F.pmod("code", F.lit(slices)) == k)
+
+
 def similar_sets(sets: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(id): the sets that are similar to an earlier one."""
-    folded = F.col("low").bitwiseXOR(F.col("high")).alias("s")
-    prefix = F.posexplode(F.slice("codes", F.lit(1), F.size("codes") - 1)).alias("place", "code")
-    rows = sets.select("id", "n", folded, prefix).select("code", _packed(F.col("place")).alias("x"), "s")
-    # A word of one set only can't bring two together.
-    known = scratch.save(rows.groupBy("code").agg(F.min("x").alias("y"), F.count("*").alias("k")).where("k > 1"), "earliest")
-    scratch.tidy()
-    rows = scratch.save(rows.join(known.hint("shuffle_hash"), "code").select("code", "x", "s", "y", (F.col("k") > HOT).alias("hot")), "rows")
-    scratch.drop("earliest")
-    tried = rows.where("y < x").where(_may_match(F.col("x"), F.col("y"), percent)).select(_id("x").alias("id"), _id("y").alias("earlier")).where("earlier < id")
-    tried = scratch.save(_alike(tried, sets, percent), "pairs-1")
-    scratch.tidy()
+    for k in range(SLICES):
+        rows = _prefix_rows(sets, k)
+        # A word of one set only can't bring two together.
+        known = rows.groupBy("code").agg(F.min("x").alias("y"), F.min_by("low", "x").alias("l"), F.min_by("high", "x").alias("h"), F.count("*").alias("k")).where("k > 1")
+        known = scratch.save(known, "earliest")
+        scratch.tidy()
+        rows = rows.join(known.hint("shuffle_hash"), "code")
+        earlier = F.when((F.col("y") < F.col("x")) & (_id("y") < _id("x")) & _near("x", "y", "low", "high", "l", "h", percent), _id("y")).alias("earlier")
+        rows = scratch.save(rows.select("code", "x", "low", "high", earlier, (F.col("k") > HOT).alias("hot")), "rows")
+        scratch.drop("earliest")
+        tried = scratch.add(rows.where("earlier is not null").select(_id("x").alias("id"), "earlier"), "tried")
+        hot = scratch.add(rows.where("hot").select(_id("x").alias("id"), "code"), "hot-words")
+        one = rows.where("not hot").select("code", "x", "low", "high")
+        more = scratch.add(_pairs(one, one, percent), "more")
+        scratch.drop("rows")
+    tried = scratch.save(tried.distinct(), "pairs-1")
+    scratch.drop("tried")
     settled = _similar(tried, sets, docs, percent, scratch, "1")
     scratch.tidy()
     # Open sets against all that share a prefix word with them; pairs that were tried need no second look.
-    hot = rows.where("hot").groupBy(_id("x").alias("id")).agg(F.collect_list("code").alias("hots"))
-    two = sets.select("id", "n", folded, "codes").join(hot.hint("merge"), "id").join(settled.select("id", F.lit(True).alias("settled")).hint("merge"), "id", "left")
-    two = two.select("id", "n", "s", "codes", "hots", F.col("settled").isNull().alias("open"), F.posexplode("codes").alias("place", "code"))
-    two = two.where(F.col("place") < F.size("codes") - 1).where(F.array_contains("hots", F.col("code")))
-    two = two.select("code", "open", _packed(F.col("place")).alias("x"), "s", F.explode(F.expr("slice(codes, place + 2, size(codes))")).alias("second"))
-    two = scratch.save(two.select(F.xxhash64("code", "second").alias("code"), "open", "x", "s"), "hot")
-    scratch.tidy()
-    one = rows.where("not hot").select("code", "x", "s")
-    more = scratch.save(_pairs(one, one, "code", percent).distinct(), "cold-pairs")
-    scratch.drop("rows")
-    more = more.unionByName(_pairs(two.where("open").drop("open"), two.drop("open"), "code", percent))
-    more = more.join(settled.hint("merge"), "id", "left_anti").join(tried.hint("merge"), ["id", "earlier"], "left_anti")
-    more = scratch.save(_alike(more, sets, percent), "pairs-2")
-    scratch.drop("cold-pairs", "hot")
+    two = sets.select("id", "n", "low", "high", "codes").join(hot.groupBy("id").agg(F.collect_list("code").alias("hots")).hint("merge"), "id")
+    two = two.join(settled.select("id", F.lit(True).alias("settled")).hint("merge"), "id", "left")
+    two = scratch.save(two.select("id", "n", "low", "high", "codes", "hots", F.col("settled").isNull().alias("open")), "hot")
+    scratch.drop("hot-words")
+    behind = F.aggregate(F.sequence(F.lit(1), F.size("codes") - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.when(F.array_contains("hots", F.get("codes", i - 1)), F.size("codes") - i).otherwise(0))
+    most = max((sets.agg(F.sum(F.size("codes") - 1)).first()[0] or 0) // SLICES, LEAST)  # rows of a slice
+    slices = -(-(two.agg(F.sum(behind)).first()[0] or 0) // most)
+    for k in range(slices):
+        rows = _hot_rows(two, k, slices)
+        more = scratch.add(_pairs(rows.where("open").drop("open"), rows.drop("open"), percent), "more")
+        scratch.tidy()
+    more = more.distinct().join(settled.hint("merge"), "id", "left_anti").join(tried.hint("merge"), ["id", "earlier"], "left_anti")
+    more = scratch.save(more, "pairs-2")
+    scratch.drop("more", "hot")
     return settled.unionByName(_similar(more, sets, docs, percent, scratch, "2"))
 
 
@@ -203,9 +234,10 @@ def remove_similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.save(line_sets(docs, word_ranks(docs), percent), "lines")
-    sets = numbered(lines, scratch)
+    sets = different_sets(lines, scratch)
     lines = scratch.save(lines.select("doc_id", "tid", "line_no", "set_id", "check"), "places")
     scratch.drop("lines")
+    sets = numbered(sets, scratch)
     gone = similar_sets(sets, docs, scratch, percent).select("id", F.lit(True).alias("similar"))
     known = sets.join(gone.hint("merge"), "id", "left").select("set_id", "check", "similar", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     out = lines.select("doc_id", "tid", "line_no", "set_id", "check").join(scratch.save(known, "known").hint("merge"), ["set_id", "check"])
